@@ -1,0 +1,13 @@
+"""The registered queries of the engine."""
+
+
+def flagship(spark, sf_dir):
+    raise NotImplementedError
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {}
