@@ -41,3 +41,35 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def small(df: DataFrame, limit: int) -> DataFrame:
     """Broadcast df only when it has at most ``limit`` rows; beyond that the planner joins by shuffle."""
     return F.broadcast(df) if len(df.limit(limit + 1).select(F.lit(1)).collect()) <= limit else df
+
+
+def append(docs: DataFrame, columns: str, compute, text_col: str = "text", keep: bool = True) -> DataFrame:
+    """docs with columns computed from whole texts in Arrow batches.
+
+    columns: their DDL; those that docs has already are replaced. compute: called once per task, gives a
+    function from a list of texts (null: empty) to a list of column values. keep=False drops the text.
+    """
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    added = T.StructType.fromDDL(columns)
+    kept = [c for c in docs.columns if c not in added.names or c == text_col]
+    schema = T.StructType([docs.schema[c] for c in kept if keep or c != text_col] + added.fields)
+    at, n = kept.index(text_col), len(added)
+    arrow = to_arrow_schema(schema)
+
+    def run(batches):
+        f = compute()
+        for batch in batches:
+            values = f(["" if x is None else x for x in batch.column(at).to_pylist()])
+            before = [c for i, c in enumerate(batch.columns) if keep or i != at]
+            yield pa.RecordBatch.from_arrays(before + [pa.array(v, arrow.field(len(before) + i).type) for i, v in zip(range(n), values, strict=True)], names=schema.names)
+
+    return docs.select(*kept).mapInArrow(run, schema)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """The texts of at most ``most`` labelled documents, chosen by a hash of their id (a documented bound)."""
+    chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")

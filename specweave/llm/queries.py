@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from specweave.llm import license_scan, mix_sources
+from specweave.llm import license_scan, mix_sources, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_mix_sources": mix_sources.op2_mix_sources,
+        "op4_packing": packing.op4_packing,
+        "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+        "op7_quality_rules": quality_rules.op7_quality_rules,
     }
 
 
