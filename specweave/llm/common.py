@@ -5,8 +5,13 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 #: Fixed value: white space that separates words where a contract says ``[^\x20\x09-\x0D]+``.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -49,10 +54,6 @@ def append(docs: DataFrame, columns: str, compute, text_col: str = "text", keep:
     columns: their DDL; those that docs has already are replaced. compute: called once per task, gives a
     function from a list of texts (null: empty) to a list of column values. keep=False drops the text.
     """
-    import pyarrow as pa
-    from pyspark.sql import types as T
-    from pyspark.sql.pandas.types import to_arrow_schema
-
     added = T.StructType.fromDDL(columns)
     kept = [c for c in docs.columns if c not in added.names or c == text_col]
     schema = T.StructType([docs.schema[c] for c in kept if keep or c != text_col] + added.fields)
@@ -73,3 +74,28 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
     """The texts of at most ``most`` labelled documents, chosen by a hash of their id (a documented bound)."""
     chosen = labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id").limit(most).select("doc_id", "quality", F.coalesce("toxic", F.lit(0)).alias("toxic"))
     return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+
+
+#: Bits of a key bitmap: 4 MB whatever the input; with more keys than bits it only marks more rows.
+KEY_BITS = 1 << 25
+
+
+def marked_by(keys: DataFrame, key: str):
+    """A column function telling whether a long key may be among ``keys``: never wrongly false.
+
+    The keys are folded into a bitmap of fixed size on the executors, so rows that surely have no partner need
+    not move in the join that follows.
+    """
+    bit = F.pmod(F.col(key), F.lit(KEY_BITS)) + 1
+    folded = keys.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("map"))
+    bits = np.zeros(KEY_BITS // 8 + 4096, np.uint8)
+    for part, found in folded.collect():  # KEY_BITS / 32768 rows of 4 KB at most
+        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(found, np.uint8)
+    shared = keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may_have(k: pd.Series) -> pd.Series:
+        at = k.to_numpy(np.int64) % KEY_BITS
+        return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return may_have

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specweave.llm import license_scan, mix_sources, packing, quality_classifier, quality_rules
+from specweave.llm import license_scan, line_dedup, media, mix_sources, near_dedup, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict:
@@ -11,7 +11,10 @@ def queries() -> dict:
         "op2_mix_sources": mix_sources.op2_mix_sources,
         "op4_packing": packing.op4_packing,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
+        "op6_media_chunks": media.op6_media_chunks,
         "op7_quality_rules": quality_rules.op7_quality_rules,
+        "op8_line_dedup": line_dedup.op8_line_dedup,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
     }
 
 
