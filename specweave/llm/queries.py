@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from specweave.llm import license_scan, line_dedup, media, mix_sources, near_dedup, packing, quality_classifier, quality_rules
+from specweave.llm import license_scan, line_dedup, lm_scoring, media, mix_sources, near_dedup, packing, quality_classifier, quality_rules
 
 
 def queries() -> dict:
     return {
         "op1_license_scan": license_scan.op1_license_scan,
         "op2_mix_sources": mix_sources.op2_mix_sources,
+        "op3_lm_scoring": lm_scoring.op3_lm_scoring,
         "op4_packing": packing.op4_packing,
         "op5_quality_classifier": quality_classifier.op5_quality_classifier,
         "op6_media_chunks": media.op6_media_chunks,
