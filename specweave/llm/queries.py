@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from specweave.llm import license_scan, line_dedup, lm_scoring, media, mix_sources, near_dedup, packing, quality_classifier, quality_rules
+from specweave.llm import license_scan, line_dedup, lm_scoring, media, mix_sources, near_dedup, packing, quality_classifier, quality_rules, substring_dedup
 
 
 def queries() -> dict:
@@ -16,6 +16,7 @@ def queries() -> dict:
         "op7_quality_rules": quality_rules.op7_quality_rules,
         "op8_line_dedup": line_dedup.op8_line_dedup,
         "op9_near_dedup": near_dedup.op9_near_dedup,
+        "op10_substring_dedup": substring_dedup.op10_substring_dedup,
     }
 
 
