@@ -11,12 +11,15 @@ RELATION_TYPES = ("ENABLES", "TRIGGERS", "PREVENTS", "MODIFIES", "CONTROLS", "PR
 DECISIONS = ("YES", "NO", "UNCERTAIN")
 ISOLATION_LABELS = ("GENUINE_GAP", "IMPLICIT_DEPENDENCY")
 
+#: All white space of Unicode and the four separators of ASCII.
+WHITE_SPACE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
 def strip(c: Column) -> Column:
     """Without white space of any kind at the ends (trim() takes spaces only)."""
-    return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def stable_id(prefix: str, *values: Column) -> Column:

@@ -32,27 +32,39 @@ def requirements_scope(text: Column) -> Column:
 
 
 def _parts(text: Column, pattern: str) -> Column:
-    return F.filter(F.transform(F.split(strip(text), pattern), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(text, pattern), strip), lambda x: x != "")
 
 
 def _marker(block: Column) -> Column:
     return F.regexp_extract(strip(F.regexp_extract(block, _FIRST_LINE, 0)), _MARKER, 1)
 
 
-def segment(text: Column) -> Column:
-    """array<struct<seq, requirement_id, block>>: the split with the most blocks, preamble dropped.
+def split_columns(text: Column) -> dict[str, Column]:
+    """The six splits of a scoped, stripped text and the split at blank lines, as columns to be computed once each."""
+    return {f"_p{i}": _parts(text, p) for i, p in enumerate((*SPLITS, r"\n{2,}"))}
 
-    Without a usable split the text is cut at blank lines; blocks without an identifier are BLOCK-n.
-    """
-    scoped = requirements_scope(F.coalesce(text, F.lit("")))
-    splits = F.array(*(F.struct(F.size(_parts(scoped, p)).alias("n"), F.lit(-i).alias("order"), _parts(scoped, p).alias("parts")) for i, p in enumerate(SPLITS)))
-    longest = F.array_max(F.filter(splits, lambda s: s["n"] >= 2))
-    parts = F.coalesce(longest["parts"], _parts(scoped, r"\n{2,}"))
-    marked = F.transform(parts, lambda p: F.struct(_marker(p).alias("id"), p.alias("block")))
-    return F.transform(_without_preamble(marked), lambda m, i: F.struct(i.alias("seq"), F.when(m["id"] != "", m["id"]).otherwise(F.concat(F.lit("BLOCK-"), (i + 1).cast("string"))).alias("requirement_id"), m["block"].alias("block")))
 
+def longest_split() -> Column:
+    """Of the columns of split_columns: most parts, at least two, the first pattern on ties; else blank lines."""
+    n = [F.size(f"_p{i}") for i in range(len(SPLITS))]
+    most = F.greatest(*n)
+    chosen = F.col(f"_p{len(SPLITS)}")
+    for i in reversed(range(len(SPLITS))):
+        chosen = F.when((n[i] == most) & (most >= 2), F.col(f"_p{i}")).otherwise(chosen)
+    return chosen
 
-def _without_preamble(marked: Column) -> Column:
-    later = F.exists(F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1))), lambda m: m["id"] != "")
-    drop = (F.size(marked) >= 2) & (F.try_element_at(marked, F.lit(1))["id"] == "") & later
-    return F.when(drop, F.slice(marked, 2, F.greatest(F.size(marked), F.lit(1)))).otherwise(marked)
+
+def marked(parts: Column) -> Column:
+    """array<struct<id, block>>; id is empty where a block's first line has no identifier."""
+    return F.transform(parts, lambda p: F.struct(_marker(p).alias("id"), p.alias("block")))
+
+
+def numbered(blocks: Column) -> Column:
+    """array<struct<seq, requirement_id, block>> of marked blocks, preamble dropped, BLOCK-n where none is marked."""
+    return F.transform(_without_preamble(blocks), lambda m, i: F.struct(i.alias("seq"), F.when(m["id"] != "", m["id"]).otherwise(F.concat(F.lit("BLOCK-"), (i + 1).cast("string"))).alias("requirement_id"), m["block"].alias("block")))
+
+
+def _without_preamble(blocks: Column) -> Column:
+    rest = F.slice(blocks, 2, F.greatest(F.size(blocks), F.lit(1)))
+    drop = (F.size(blocks) >= 2) & (F.try_element_at(blocks, F.lit(1))["id"] == "") & F.exists(rest, lambda m: m["id"] != "")
+    return F.when(drop, rest).otherwise(blocks)

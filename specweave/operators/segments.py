@@ -5,12 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.functions.segmentation import segment
+from specweave.functions.scalars import strip
+from specweave.functions.segmentation import longest_split, marked, numbered, requirements_scope, split_columns
 
 
 def blocks(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """A row per block: keys, seq (from 0), requirement_id, block."""
-    return docs.select(*keys, F.inline(segment(F.col(text))))
+    """A row per block: keys, seq (from 0), requirement_id, block.
+
+    The split with the most blocks wins; without one the text is cut at blank lines. Each step is a projection of
+    its own, so no split is computed twice.
+    """
+    scoped = docs.select(*keys, strip(requirements_scope(F.coalesce(F.col(text), F.lit("")))).alias("_scope"))
+    split = scoped.select(*keys, *(c.alias(n) for n, c in split_columns(F.col("_scope")).items()))
+    chosen = split.select(*keys, longest_split().alias("_parts"))
+    named = chosen.select(*keys, marked(F.col("_parts")).alias("_marked"))
+    return named.select(*keys, F.inline(numbered(F.col("_marked"))))
 
 
 def line_blocks(lines: DataFrame, keys: list[str], order: str, line: str, opens: str) -> DataFrame:

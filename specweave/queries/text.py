@@ -1,2 +1,142 @@
-QUERIES = {}
-SQL = {}
+"""Text queries: segmentation by lines, headings, scopes, dialects, numbering, rendering, sharding, audits."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from specweave.operators import render
+from specweave.operators.numbering import assign_numbers, numbering_context
+from specweave.operators.segments import blocks, context, line_blocks, scope_lines
+from specweave.queries.graph import table
+from specweave.sources.datasets import compare_counts, shard
+
+D = ["doc_id"]
+
+
+def _lines(spark, sf_dir) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("n", "line"))
+
+
+def _specs(spark, sf_dir) -> DataFrame:
+    """Every document as a numbered specification: its lines under markers of a dialect that its id picks."""
+    marker = F.element_at(F.array(F.format_string("%d.%d ", (F.col("doc_id") % 9 + 1).cast("int"), F.col("n") + 1), F.format_string("FR-%03d ", F.col("n") + 1), F.format_string("F%d ", F.col("n") + 1), F.format_string("Function Requirement %d ", F.col("n") + 1), F.format_string("FR-DCI-%03d ", F.col("n") + 1)), (F.col("doc_id") % 5 + 1).cast("int"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", F.concat(marker, F.regexp_replace("line", r"[0-9.#|]+", "")).alias("t")))), lambda x: x["t"]), "\n")
+    return _lines(spark, sf_dir).groupBy("doc_id").agg(text.alias("text"), F.count(F.lit(1)).alias("n_lines"))
+
+
+def seg_lines(spark, sf_dir):
+    """Blocks that start at lines of at least 8 words."""
+    flagged = _lines(spark, sf_dir).withColumn("opens", F.size(F.split("line", " ")) >= 8)
+    b = line_blocks(flagged, D, "n", "line", "opens")
+    return b.select("doc_id", F.col("block_no").cast("bigint").alias("block_no"), "n_lines", F.md5("block").alias("block_md5"))
+
+
+def seg_turns(spark, sf_dir):
+    """Conversations cut at each user turn."""
+    c = table(spark, sf_dir, "conversations").withColumn("opens", F.col("role") == "user")
+    b = line_blocks(c, ["conv_id"], "turn", "text", "opens")
+    return b.select("conv_id", F.col("block_no").cast("bigint").alias("block_no"), "n_lines", F.length("block").cast("bigint").alias("n_chars"))
+
+
+def seg_blocks(spark, sf_dir):
+    """The library's segmentation of numbered specifications: a block per line."""
+    return _blocks(spark, sf_dir).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.min_by("requirement_id", "seq").alias("first_id"), F.max_by("requirement_id", "seq").alias("last_id"))
+
+
+def _blocks(spark, sf_dir):
+    return blocks(_specs(spark, sf_dir), D)
+
+
+def seg_headings(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    heads = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))).alias("n", "heading"))
+    return heads.select("page_id", F.col("n").cast("bigint").alias("n"), "heading")
+
+
+def scope_section(spark, sf_dir):
+    """Lines from the first long heading line that holds the letters ``th`` to the next heading line."""
+    flagged = _lines(spark, sf_dir).withColumns({"heading": F.col("line").rlike(r"^[A-Z]") & (F.length("line") < 60), "wanted": F.col("line").contains("th")})
+    return scope_lines(flagged, D, "n", "heading", "wanted").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_lines"), F.min("n").cast("bigint").alias("first_line"), F.sum(F.length("line")).alias("n_chars"))
+
+
+def context_lookup(spark, sf_dir):
+    """The context of each document's second and fourth requirement; the whole text where it has neither."""
+    docs = _specs(spark, sf_dir)
+    b = blocks(docs, D)
+    wanted = b.where(F.col("seq").isin(1, 3)).groupBy("doc_id").agg(F.array_sort(F.collect_set("requirement_id")).alias("requirement_ids"))
+    asked = docs.select("doc_id").join(wanted, "doc_id", "left").withColumn("requirement_ids", F.coalesce("requirement_ids", F.array(F.lit("none"))))
+    return context(asked, b, docs, D).select("doc_id", F.md5("context").alias("context_md5"), F.length("context").cast("bigint").alias("n_chars"))
+
+
+def dialect_vote(spark, sf_dir):
+    docs = _specs(spark, sf_dir)
+    return numbering_context(docs, blocks(docs, D), D).groupBy("dialect").agg(F.count(F.lit(1)).alias("n_documents"), F.max("last").alias("most"))
+
+
+def numbering_next(spark, sf_dir):
+    docs = _specs(spark, sf_dir)
+    more = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
+    return assign_numbers(more, numbering_context(docs, blocks(docs, D), D), D).select("doc_id", F.col("seq").cast("bigint").alias("seq"), "fr_number")
+
+
+def render_refined(spark, sf_dir):
+    """Every specification with one requirement per label of it appended."""
+    docs = _specs(spark, sf_dir)
+    kept = table(spark, sf_dir, "labels").select(
+        "doc_id", F.lit(1).alias("seq"), F.concat(F.lit("Quality is "), F.col("quality").cast("string")).alias("requirement"), F.lit("Text").alias("affected_element"), F.array(F.lit("R1"), F.lit("R2")).alias("source_frs"),
+        F.array(F.lit("a"), F.lit("b ")).alias("supporting_excerpts"), F.lit("operation").alias("diagnostic_view"), F.when(F.col("toxic") == 1, F.lit("MISSING_AUDIT")).alias("gap_type"), F.when(F.col("quality") == 1, F.lit(0.25)).alias("dps"),
+    )
+    numbers = numbering_context(docs, blocks(docs, D), D)
+    out = render.refined_documents(docs, assign_numbers(kept, numbers, D), numbers, D)
+    return out.select("doc_id", F.md5("body").alias("body_md5"), F.length("body").cast("bigint").alias("n_chars"))
+
+
+def shard_documents(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1).select("doc_id", "pos")
+    parts = None
+    for i in range(3):
+        one = shard(d, f"{i}/3").groupBy(F.lit(i).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("sum_ids"))
+        parts = one if parts is None else parts.unionByName(one)
+    return parts
+
+
+def audit_compare(spark, sf_dir):
+    counted = _lines(spark, sf_dir).groupBy(F.col("doc_id").alias("document_id")).agg(F.count(F.lit(1)).alias("n"))
+    audit = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("document_id"), (F.col("quality") * 5 + 1).cast("int").alias("fr_count"))
+    known = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").alias("document_id"), F.lit(7).alias("fr_count"))
+    return compare_counts(counted, audit, known).groupBy("status").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+QUERIES = {f.__name__: f for f in (seg_lines, seg_turns, seg_blocks, seg_headings, scope_section, context_lookup, dialect_vote, numbering_next, render_refined, shard_documents, audit_compare)}
+
+_LINES = "l AS (SELECT doc_id, i - 1 AS n, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"
+_SPEC = (
+    _LINES
+    + """,
+sl AS (SELECT doc_id, n, CASE doc_id % 5 WHEN 0 THEN (doc_id % 9 + 1) || '.' || (n + 1) WHEN 1 THEN 'FR-' || lpad(CAST(n + 1 AS VARCHAR), CAST(greatest(3, length(CAST(n + 1 AS VARCHAR))) AS INT), '0') WHEN 2 THEN 'F' || (n + 1) WHEN 3 THEN 'Function Requirement ' || (n + 1)
+  ELSE 'FR-DCI-' || lpad(CAST(n + 1 AS VARCHAR), CAST(greatest(3, length(CAST(n + 1 AS VARCHAR))) AS INT), '0') END AS id, regexp_replace(line, '[0-9.#|]+', '', 'g') AS rest FROM l),
+sb AS (SELECT doc_id, n, id, trim(id || ' ' || rest) AS block FROM sl),
+sd AS (SELECT doc_id, count(*) AS n_lines, trim(string_agg(id || ' ' || rest, chr(10) ORDER BY n)) AS body, string_agg(id || ' ' || rest, chr(10) ORDER BY n) AS text FROM sl GROUP BY doc_id),
+nx AS (SELECT doc_id, n_lines, k, CASE doc_id % 5 WHEN 0 THEN (doc_id % 9 + 1) || '.' || (n_lines + k) WHEN 1 THEN 'FR-' || lpad(CAST(n_lines + k AS VARCHAR), CAST(greatest(3, length(CAST(n_lines + k AS VARCHAR))) AS INT), '0') WHEN 2 THEN 'F' || (n_lines + k)
+  WHEN 3 THEN 'Function Requirement ' || (n_lines + k) ELSE 'FR-DCI-' || lpad(CAST(n_lines + k AS VARCHAR), CAST(greatest(3, length(CAST(n_lines + k AS VARCHAR))) AS INT), '0') END AS fr_number FROM sd, (SELECT unnest([1, 2]) AS k))"""
+)
+SQL = {
+    "seg_lines": f"WITH {_LINES}, b AS (SELECT *, sum(CASE WHEN len(string_split(line, ' ')) >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block_no FROM l) SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY n)) AS block_md5 FROM b GROUP BY doc_id, block_no",
+    "seg_turns": "WITH b AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS block_no FROM conversations) SELECT conv_id, CAST(block_no AS BIGINT) AS block_no, count(*) AS n_lines, CAST(length(string_agg(text, chr(10) ORDER BY turn)) AS BIGINT) AS n_chars FROM b GROUP BY conv_id, block_no",
+    "seg_blocks": f"WITH {_SPEC} SELECT doc_id, count(*) AS n_blocks, arg_min(id, n) AS first_id, arg_max(id, n) AS last_id FROM sb GROUP BY doc_id",
+    "seg_headings": "WITH h AS (SELECT page_id, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS hs FROM pages) SELECT page_id, i - 1 AS n, hs[i] AS heading FROM (SELECT *, unnest(range(1, len(hs) + 1)) AS i FROM h)",
+    "scope_section": f"""WITH {_LINES}, f AS (SELECT *, regexp_matches(line, '^[A-Z]') AND length(line) < 60 AS heading, contains(line, 'th') AS wanted FROM l),
+s AS (SELECT *, sum(CASE WHEN heading THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS sec FROM f), c AS (SELECT *, min(CASE WHEN heading AND wanted THEN sec END) OVER (PARTITION BY doc_id) AS ch FROM s)
+SELECT doc_id, count(*) AS n_lines, min(n) AS first_line, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM c WHERE ch IS NULL OR sec = ch GROUP BY doc_id""",
+    "context_lookup": f"WITH {_SPEC}, h AS (SELECT doc_id, string_agg(block, chr(10) || chr(10) ORDER BY n) AS c FROM sb WHERE n IN (1, 3) GROUP BY doc_id) SELECT sd.doc_id, md5(coalesce(c, text)) AS context_md5, CAST(length(coalesce(c, text)) AS BIGINT) AS n_chars FROM sd LEFT JOIN h ON sd.doc_id = h.doc_id",
+    "dialect_vote": f"WITH {_SPEC} SELECT CASE doc_id % 5 WHEN 0 THEN 'dot' WHEN 1 THEN 'dash' WHEN 2 THEN 'letter' WHEN 3 THEN 'word' ELSE 'compound' END AS dialect, count(*) AS n_documents, max(n_lines) AS most FROM sd GROUP BY 1",
+    "numbering_next": f"WITH {_SPEC} SELECT doc_id, CAST(k AS BIGINT) AS seq, fr_number FROM nx",
+    "render_refined": f"""WITH {_SPEC}, r AS (SELECT nx.doc_id, chr(10) || chr(10) || fr_number || ' Text' || chr(10) || 'Requirement: Quality is ' || quality || chr(10) || 'Source requirements: R1, R2' || chr(10) || 'Evidence: a | b' || chr(10) || 'Diagnostic view: operation'
+  || CASE WHEN toxic = 1 THEN chr(10) || 'Gap type: MISSING_AUDIT' ELSE '' END || CASE WHEN quality = 1 THEN chr(10) || 'DPS: 0.2500' ELSE '' END AS more FROM nx JOIN labels ON nx.doc_id = labels.doc_id WHERE k = 1),
+o AS (SELECT sd.doc_id, body || coalesce(more, '') || chr(10) AS t FROM sd LEFT JOIN r ON sd.doc_id = r.doc_id) SELECT doc_id, md5(t) AS body_md5, CAST(length(t) AS BIGINT) AS n_chars FROM o""",
+    "shard_documents": "WITH p AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS pos FROM documents) SELECT CAST(pos % 3 AS INT) AS shard, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS sum_ids FROM p GROUP BY 1",
+    "audit_compare": f"""WITH {_LINES}, c AS (SELECT doc_id, count(*) AS n FROM l GROUP BY doc_id), j AS (SELECT c.n, quality * 5 + 1 AS fr, CASE WHEN toxic = 1 THEN 7 END AS k, labels.doc_id IS NULL AS none FROM c LEFT JOIN labels ON c.doc_id = labels.doc_id)
+SELECT CASE WHEN none THEN 'unrecorded' WHEN n = fr THEN 'match' WHEN n = k THEN 'known_error' ELSE 'mismatch' END AS status, count(*) AS n_documents FROM j GROUP BY 1""",
+}
