@@ -3,9 +3,10 @@
 Shingles of five words are labelled with their occurrence number. Each of SKETCHES hash functions samples the
 two least labelled shingles and keeps them in text order, so an entry agrees only if the shingles and their
 order agree; it follows edit similarity. Entries are banded by three. Texts with equal words are collapsed
-first. In each bucket members are held against the bucket's first; where that leaves several classes in a
-bucket, members of different classes are held against each other, so no link between different texts of a
-bucket is lost and settled groups are never expanded into pairs. A candidate is verified by an alignment of
+first. In each bucket members are held against the member that meets most others. Where that leaves several
+classes in a bucket, its members meet members of other classes in an exact join on their rarest shingles, with
+prefix, length and positional filters; so no link between different texts of a bucket is lost, and groups are
+not expanded into pairs. A candidate is verified by an alignment of
 its two shingle sequences within a band that no pair of the wanted similarity leaves; its similarity is
 aligned / (n + m - aligned), at least 0.8. Classes are the connected components of the verified links.
 
@@ -167,6 +168,33 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+def _between_classes(rows: DataFrame, sources: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different label that may be similar: all that the prefix and positional filters leave.
+
+    Shingles are ordered by rarity among the rows. Those that one row alone has come first and cannot match, so a
+    text with many edits of its own meets nobody, however large its family is.
+    """
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [labelled_shingles(words_of(x or "")).view(np.int64) for x in batch.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["row", "size", "label", "shingles"])
+
+    texts = rows.join(sources.withColumnRenamed("_row", "row"), "row").select("row", "size", "label", "text")
+    listed = stage(texts.mapInArrow(sets, "row long, size int, label long, shingles array<long>"), "near-sets")
+    each = listed.select("row", "size", "label", F.explode("shingles").alias("shingle"))
+    common = stage(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
+    # At most the shingles of one text; those of its own stand before them.
+    ordered = each.join(common, "shingle").groupBy("row", "size", "label").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
+    entries = ordered.select("row", "size", "label", F.posexplode("s").alias("i", "e"), (F.col("size") - F.size("s")).alias("own"))
+    rest = F.col("size") - F.col("own") - F.col("i")  # shingles from this one on
+    entries = stage(entries.select("row", "size", "label", F.col("e.shingle").alias("shingle"), rest.alias("rest")).where(F.col("rest") >= F.ceil(F.col("size") * SIMILARITY - 1e-9)), "near-entries")
+    other = entries.toDF("b", "size_b", "label_b", "shingle", "rest_b")
+    need = F.ceil((F.col("size") + F.col("size_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+    met = entries.join(other, "shingle").where((F.col("row") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.least("rest", "rest_b") >= need))
+    return stage(met.select(F.col("row").alias("a"), "b").distinct(), "near-pairs")
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """docs with class_id, n_links (verified links of its text) and keep."""
     names = ("class_id", "n_links", "keep", "_row", "_digest", "_size", "_bands")
@@ -181,24 +209,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "near-texts",
     )
     members = texts.where("size > 0").select("row", "size", F.explode("bands").alias("key"))
-    heads = stage(members.groupBy("key").agg(F.min("row").alias("head"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "head"), "near-heads")
+    buckets = stage(members.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-buckets")
+    shared = stage(members.join(buckets, "key").select("key", "row", "size", "n"), "near-shared")
+    # The head of a bucket is the member that meets most others over all its buckets: the middle of its family.
+    met = shared.groupBy("row").agg(F.sum("n").alias("met"))
+    best = F.max_by(F.struct("row", "size"), F.struct("met", (-F.col("row")).alias("r")))
+    heads = stage(shared.join(met, "row").groupBy("key").agg(best.alias("h")).select("key", F.col("h.row").alias("head"), F.col("h.size").alias("head_size")), "near-heads")
     fits = lambda x, y: F.col(x) * SIMILARITY <= F.col(y)  # noqa: E731  lengths differ too much otherwise
-    sizes = texts.select(F.col("row").alias("head"), F.col("size").alias("head_size"))
-    shared = stage(members.join(heads, "key").select("key", "head", "row", "size"), "near-shared")
-    pairs = shared.where("row <> head").select("row", "size", "head").distinct().join(sizes, "head").where(fits("size", "head_size") & fits("head_size", "size"))
+    headed = stage(shared.select("key", "row", "size").join(heads, "key"), "near-headed")
+    pairs = headed.where((F.col("row") != F.col("head")) & fits("size", "head_size") & fits("head_size", "size")).select("row", "head").distinct()
     sources = all_rows.select("_row", "text")
     links = stage(_verified(pairs.select(F.col("row").alias("a"), F.col("head").alias("b")), sources), "near-links")
 
-    # Buckets that still hold several classes: members of different classes meet.
+    # Members of buckets that still hold several classes meet by an exact prefix-filtered join.
     classes = components(links)
-    placed = stage(shared.join(classes.withColumnRenamed("node", "row"), "row", "left").select("key", "head", "row", "size", F.coalesce("label", "row").alias("label")), "near-placed")
+    placed = stage(headed.join(classes.withColumnRenamed("node", "row"), "row", "left").select("key", "row", "size", F.coalesce("label", "row").alias("label")), "near-placed")
     open_keys = placed.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi AND n > 2").select("key")
-    open_rows = stage(placed.join(open_keys, "key", "left_semi"), "near-open")
-    if open_rows.limit(1).count():
-        other = open_rows.select("key", F.col("row").alias("b"), F.col("size").alias("size_b"), F.col("label").alias("label_b"))
-        more = open_rows.join(other, "key").where((F.col("row") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.col("row") != F.col("head")) & fits("size", "size_b") & fits("size_b", "size"))
-        late = stage(_verified(more.select(F.col("row").alias("a"), "b").distinct(), sources), "near-late")
-        if late.limit(1).count():
+    open_rows = stage(placed.join(open_keys, "key", "left_semi").select("row", "size", "label").distinct(), "near-open")
+    if not open_rows.isEmpty():
+        late = stage(_verified(_between_classes(open_rows, sources), sources), "near-late")
+        if not late.isEmpty():
             links = stage(links.unionByName(late), "near-links")
             classes = components(links)
 
