@@ -15,7 +15,7 @@ from specweave.storage import stage
 
 # The ablation variants by name and the switches each turns off; the last six are the finer ones.
 VARIANTS = {
-    "Full DIOReq": (),
+    "Full pipeline": (),
     "Without Dependency View": ("dependency_view",),
     "Without Operation View": ("operation_view",),
     "Without Isolation View": ("isolation_view",),
