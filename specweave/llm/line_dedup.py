@@ -4,8 +4,9 @@ A line is the set of its lower-cased words. Equal sets are collapsed to their fi
 remaining set are ordered by rarity (counts of all lines in a table of fixed size; collisions cost speed, not
 results), and only the prefix in which two similar sets must share a word is indexed; words that occur in one
 line only are left out. Index entries meet by word under the length and positional filters, and Jaccard is
-verified on the whole lines. Each set first meets the first set of each of its words; only sets not yet matched
-meet the others, so large groups of similar lines are not expanded into pairs.
+verified on the whole lines; a 64-bit sketch of the words bounds the difference of two sets before that. Sets with
+frequent words first meet one set of each such word; of the sets that this settles no two meet again, so large
+groups of similar lines are not expanded into pairs.
 
 The order of lines is doc_id (null last), a hash of the document, line number. Whether a line goes depends on
 all earlier lines, kept or not, so the result depends neither on partitioning nor on the order of work.
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm.common import documents, marked_by, stage, whole_text
+from specweave.llm.common import documents, marked_by, small, stage, whole_text
 
 SIMILARITY = 0.8
 #: Sets of fewer words can only equal another set or are matched by one of this size.
@@ -36,6 +37,10 @@ LEAST_JOINED = 4
 #: Entries of the rarity table (one byte each), in slices of 65,536.
 TABLE = 1 << 24
 SLICE = 1 << 16
+#: Counts that the table keeps as they are; words beyond are frequent, and their sets meet a head first.
+EXACT_LEVELS = 128
+#: Matched sets that are broadcast at most.
+MAX_BROADCAST = 1_000_000
 
 
 def _lines(text: str) -> Iterator[tuple[int, set[bytes]]]:
@@ -49,17 +54,17 @@ def _hashes(words) -> np.ndarray:
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
-    """Counts up to 128 as they are, larger ones by logarithm."""
+    """Counts up to EXACT_LEVELS as they are, larger ones by logarithm."""
     c = np.maximum(counts, 1)
-    return np.where(c <= 128, c, np.minimum(255, 128 + 4 * np.log2(c / 128))).astype(np.uint8)
+    return np.where(c <= EXACT_LEVELS, c, np.minimum(255, EXACT_LEVELS + np.maximum(1, 4 * np.log2(c / EXACT_LEVELS)))).astype(np.uint8)
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = np.zeros(TABLE, np.int64)
     for batch in batches:
-        found = [_hashes(words) for text in batch.column(0).to_pylist() for _, words in _lines(text)]
-        if found:
-            np.add.at(table, np.concatenate(found) & (TABLE - 1), 1)
+        for text in batch.column(0).to_pylist():
+            at, n = np.unique(_hashes(text.encode("utf-8", "replace").lower().split()) & (TABLE - 1), return_counts=True)
+            table[at] += n
     at = np.flatnonzero(table)
     for i in range(0, len(at), SLICE):
         part = at[i : i + SLICE]
@@ -67,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def rarity(texts: DataFrame) -> bytes:
-    """How many lines have each word, by bucket, over all texts."""
+    """How often each word occurs, by bucket, over all texts."""
     counts = texts.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -85,42 +90,69 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole_text()))
 
 
+def _prefixes(lines: list[set[bytes]], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one document's lines: (prefix entries, entries per line, word sketch of 64 bits per line)."""
+    sizes = np.array([len(x) for x in lines])
+    h = _hashes([w for x in lines for w in x])
+    of = np.repeat(np.arange(len(lines)), sizes)
+    starts = np.cumsum(sizes) - sizes
+    bit = (h * np.uint32(0x9E3779B1)) >> np.uint32(26)
+    sketch = np.bitwise_or.reduceat(np.uint64(1) << bit.astype(np.uint64), starts)
+    rank = levels[h & (TABLE - 1)].astype(np.uint64) << np.uint64(32) | h
+    order = np.lexsort((rank, of))
+    rank, place = rank[order], np.arange(len(h)) - starts[of]
+    length = np.where(sizes >= LEAST_JOINED, sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(np.int64) + 1, 0)
+    kept = (place < length[of]) & (rank >> np.uint64(32) > 1)
+    frequent = (rank[kept] >> np.uint64(32) > EXACT_LEVELS).astype(np.int64)
+    entries = frequent << 62 | place[kept].astype(np.int64) << 32 | (rank[kept] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    return entries, np.bincount(of[kept], minlength=len(lines)), sketch.view(np.int64)
+
+
 def _sets(texts: DataFrame, table: bytes) -> DataFrame:
-    """A row per line: doc_id, key, line, digest, size, prefix (position and hash of each indexed word)."""
+    """A row per line: doc_id, key, line, digest, size, sketch, prefix (whether frequent, position and hash of each indexed word)."""
     shared = texts.sparkSession.sparkContext.broadcast(table)
     kind = texts.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
-            at, numbers, digests, sizes, prefixes = [], [], [], [], []
+            at, numbers, digests, sizes, prefixes, counts, sketches = [], [], [], [], [], [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
-                for number, words in _lines(text):
-                    n, prefix = len(words), []
-                    if n >= LEAST_JOINED:
-                        h = _hashes(words)
-                        order = np.sort(levels[h & (TABLE - 1)].astype(np.uint64) << np.uint64(32) | h)[: n - math.ceil(SIMILARITY * n - 1e-9) + 1]
-                        places = np.flatnonzero(order >> np.uint64(32) > 1)
-                        prefix = (places.astype(np.int64) << 32 | (order[places] & np.uint64(0xFFFFFFFF)).astype(np.int64)).tolist()
-                    at.append(i)
-                    numbers.append(number)
-                    digests.append(hashlib.blake2b(b" ".join(sorted(words)), digest_size=16).digest())
-                    sizes.append(n)
-                    prefixes.append(prefix)
+                if own := list(_lines(text)):
+                    entries, n, sketch = _prefixes([w for _, w in own], levels)
+                    prefixes.append(entries)
+                    counts.append(n)
+                    sketches.append(sketch)
+                    for number, words in own:
+                        at.append(i)
+                        numbers.append(number)
+                        digests.append(hashlib.blake2b(b" ".join(sorted(words)), digest_size=16).digest())
+                        sizes.append(len(words))
             take = pa.array(at, pa.int64())
+            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else [0], pa.int32())
+            flat = pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64())
+            both = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["doc_id", "key", "line", "digest", "size", "prefix"],
-            )
-
-    return texts.mapInArrow(run, f"doc_id {kind}, key long, line int, digest binary, size int, prefix array<long>")
-
-
-def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The late lines (key, line) of the pairs (x: earlier, y: later; structs with key and line) that match."""
-    wanted = stage(pairs.select(F.explode(F.array(*(F.struct(F.col(f"{s}.key").alias("key"), F.col(f"{s}.line").alias("line")) for s in "xy"))).alias("w")).select("w.*").distinct(), "line-wanted")
+                [
+                    batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
+                    pa.array(both), pa.ListArray.from_arrays(ends, flat),
+                ],
+                ["doc_id", "key", "line", "digest", "size", "sketch", "prefix"],
+            )
+
+    return texts.mapInArrow(run, f"doc_id {kind}, key long, line int, digest binary, size int, sketch long, prefix array<long>")
+
+
+def _resembling(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
+    """(sid, key, line) of the later set of each pair (a, b) of set ids that is similar."""
+    of = lambda x: sets.select(F.col("sid").alias(x), F.col("first").alias(f"f{x}"))
+    near = pairs.join(of("a"), "a").join(of("b"), "b")
+    first = F.col("fa") < F.col("fb")
+    near = near.select(F.when(first, F.col("fa")).otherwise(F.col("fb")).alias("x"), F.when(first, F.col("fb")).otherwise(F.col("fa")).alias("y"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("sid"))
+    near = stage(near.select(F.col("x.key").alias("kx"), F.col("x.line").alias("lx"), F.col("y.key").alias("ky"), F.col("y.line").alias("ly"), "sid"), "line-near")
+    wanted = stage(near.select("kx", "lx").union(near.select("ky", "ly")).distinct().toDF("key", "line"), "line-wanted")
     may = marked_by(wanted, "key")
-    asked = wanted.groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("lines"))  # lines of one document
+    asked = wanted.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))  # lines of one document
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,20 +164,18 @@ def _similar(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     found = texts.where(may("key")).select("key", "text").join(asked, "key").mapInArrow(cut, "key long, line int, words string")
     found = stage(found.dropDuplicates(["key", "line"]), "line-words")
-    of = lambda s: found.select(F.col("key").alias(f"k{s}"), F.col("line").alias(f"l{s}"), F.col("words").alias(f"w{s}"))
-    met = pairs.select(F.col("x.key").alias("kx"), F.col("x.line").alias("lx"), F.col("y.key").alias("ky"), F.col("y.line").alias("ly"))
-    met = met.join(of("x"), ["kx", "lx"]).join(of("y"), ["ky", "ly"]).select("ky", "ly", "wx", "wy")
+    met = near.join(found.toDF("kx", "lx", "wx"), ["kx", "lx"]).join(found.toDF("ky", "ly", "wy"), ["ky", "ly"]).select("sid", "ky", "ly", "wx", "wy")
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 a, b = set(x.encode("utf-8", "replace").lower().split()), set(y.encode("utf-8", "replace").lower().split())
                 both = len(a & b)
                 keep.append(both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9)
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:3]], ["sid", "key", "line"])
 
-    return stage(met.mapInArrow(verify, "key long, line int").distinct(), "line-matched")
+    return stage(met.mapInArrow(verify, "sid long, key long, line int").distinct(), "line-matched")
 
 
 def late_lines(docs: DataFrame) -> DataFrame:
@@ -153,33 +183,37 @@ def late_lines(docs: DataFrame) -> DataFrame:
     texts = _keyed(docs).select("doc_id", F.col("_key").alias("key"), whole_text().alias("text"))
     lines = _sets(texts, rarity(texts))
     at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    sets = stage(lines.groupBy("digest").agg(F.min(at).alias("first"), F.first("size").alias("size"), F.first("prefix").alias("prefix")).select("digest", "first", "size", "prefix"), "line-sets")
-    entries = sets.where(F.size("prefix") > 0).select("first", "size", F.explode("prefix").alias("p"))
-    entries = entries.select("first", "size", F.shiftright("p", 32).alias("pos"), F.expr("p & 4294967295L").alias("word"))
-    e = F.struct("first", "size", "pos")
-    heads = stage(entries.groupBy("word").agg(F.min(e).alias("x"), F.count(F.lit(1)).alias("n")).where("n > 1").select("word", "x"), "line-heads")
-
-    def meet(earlier: DataFrame, later: DataFrame) -> DataFrame:
-        """Distinct candidate pairs under the order, length and positional filters."""
-        x, y = F.col("x"), F.col("y")
-        n, m = x["size"], y["size"]
-        need = F.ceil((n + m) * SIMILARITY / (1 + SIMILARITY) - 1e-9)
-        most = F.least(x["pos"], y["pos"]) + 1 + F.least(n - x["pos"], m - y["pos"]) - 1
-        fits = (x["first"] < y["first"]) & (n >= SIMILARITY * m - 1e-9) & (m >= SIMILARITY * n - 1e-9) & (most >= need)
-        return stage(earlier.join(later, "word").where(fits).select(F.col("x.first").alias("x"), F.col("y.first").alias("y")).distinct(), "line-pairs")
-
-    later = entries.select("word", e.alias("y"))
-    done = _similar(meet(heads, later), texts)
-    # Sets without a match so far meet the other earlier sets of their words; a word's head was met already.
-    left = sets.where(F.size("prefix") > 0).join(done, (F.col("first.key") == done["key"]) & (F.col("first.line") == done["line"]), "left_anti")
-    left = left.select("first", "size", F.explode("prefix").alias("p")).select("first", "size", F.shiftright("p", 32).alias("pos"), F.expr("p & 4294967295L").alias("word"))
-    left = stage(left.join(heads.select("word", F.col("x.first").alias("head")), "word").where("first <> head").select("word", e.alias("y")), "line-left")
-    others = entries.join(left.select("word").distinct(), "word", "left_semi").join(heads.select("word", F.col("x.first").alias("head")), "word").where("first <> head")
-    more = _similar(meet(stage(others.select("word", e.alias("x")), "line-others"), left), texts)
+    same = lines.groupBy("digest").agg(F.min(at).alias("first"), *(F.first(c).alias(c) for c in ("size", "sketch", "prefix")))
+    sets = stage(same.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
+
+    def entries(rows: DataFrame) -> DataFrame:
+        """word, sid, sketch and the packed size, position and settled mark of each index entry."""
+        p = F.col("p")
+        packed = F.shiftleft(F.col("size").cast("long"), 32) + F.shiftleft(F.shiftright(p, 32).bitwiseAND(F.lit((1 << 30) - 1)), 1) + F.col("settled").cast("long")
+        return rows.select("sid", "size", "sketch", "settled", F.explode("prefix").alias("p")).select(F.expr("p & 4294967295L").alias("word"), "sid", "sketch", packed.alias("packed"), (p >= 1 << 62).alias("frequent"))
+
+    def fit(x: str, y: str):
+        """Length and positional filters, and the bound on the difference that the sketches give."""
+        n, m = (F.shiftright(F.col(f"{s}.packed"), 32) for s in (x, y))
+        i, j = (F.shiftright(F.col(f"{s}.packed"), 1).bitwiseAND(F.lit((1 << 31) - 1)) for s in (x, y))
+        need = F.ceil((n + m) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
+        apart = F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch")))
+        return (n >= SIMILARITY * m - 1e-9) & (m >= SIMILARITY * n - 1e-9) & (F.least(n - i, m - j) >= need) & (apart <= n + m - 2 * need)
+
+    # Sets with frequent words meet the first set of each: large groups are settled without being expanded.
+    frequent = entries(sets.withColumn("settled", F.lit(False))).where("frequent").select("word", "sid", "sketch", "packed")
+    heads = stage(frequent.groupBy("word").agg(F.min(F.struct("sid", "sketch", "packed")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("word", "h"), "line-heads")
+    star = frequent.alias("e").join(heads.alias("x"), "word").where(F.col("e.sid") != F.col("x.h.sid")).where(fit("e", "x.h"))
+    done = _resembling(star.select(F.col("x.h.sid").alias("a"), F.col("e.sid").alias("b")).distinct(), sets, texts)
+    # Then all sets meet by word, but for pairs of settled ones.
+    known = small(done.select("sid", F.lit(True).alias("settled")).distinct(), MAX_BROADCAST)
+    e = entries(sets.join(known, "sid", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))).select("word", "sid", "sketch", "packed")
+    pairs = e.alias("x").join(e.alias("y"), F.col("x.word") == F.col("y.word")).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.packed").bitwiseAND(F.col("y.packed")).bitwiseAND(F.lit(1)) == 0)).where(fit("x", "y"))
+    more = _resembling(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), sets, texts)
     # All lines but the first of an equal set, and the first lines of matched sets.
     firsts = sets.select("digest", F.col("first.key").alias("fk"), F.col("first.line").alias("fl"))
     equal = lines.select("key", "line", "digest").join(firsts, "digest").where("key <> fk OR line <> fl").select("key", "line")
-    return equal.unionByName(done).unionByName(more)
+    return equal.unionByName(done.select("key", "line")).unionByName(more.select("key", "line"))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
