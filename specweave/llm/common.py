@@ -80,22 +80,22 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 KEY_BITS = 1 << 25
 
 
-def marked_by(keys: DataFrame, key: str):
+def marked_by(keys: DataFrame, key: str, n_bits: int = KEY_BITS):
     """A column function telling whether a long key may be among ``keys``: never wrongly false.
 
     The keys are folded into a bitmap of fixed size on the executors, so rows that surely have no partner need
     not move in the join that follows.
     """
-    bit = F.pmod(F.col(key), F.lit(KEY_BITS)) + 1
+    bit = F.pmod(F.col(key), F.lit(n_bits)) + 1
     folded = keys.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("map"))
-    bits = np.zeros(KEY_BITS // 8 + 4096, np.uint8)
-    for part, found in folded.collect():  # KEY_BITS / 32768 rows of 4 KB at most
+    bits = np.zeros(n_bits // 8 + 4096, np.uint8)
+    for part, found in folded.collect():  # n_bits / 32768 rows of 4 KB at most
         bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(found, np.uint8)
     shared = keys.sparkSession.sparkContext.broadcast(bits.tobytes())
 
     @F.pandas_udf("boolean")
     def may_have(k: pd.Series) -> pd.Series:
-        at = k.to_numpy(np.int64) % KEY_BITS
+        at = k.to_numpy(np.int64) % n_bits
         return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
 
     return may_have
