@@ -137,6 +137,18 @@ def test_passages_are_found_and_clean_texts_left_alone(make):
     assert substring_dedup.repeated_passages(make(rows).where("false")).count() == 0
 
 
+def test_passages_far_apart_are_both_found(make):
+    rng = random.Random(17)
+    rows, want = [], set()
+    for i, (here, there) in enumerate(((0, 40), (0, 80), (60, 60), (100, 100), (150, 150))):
+        p, q, head = words(60, rng), words(60, rng), words(20, rng)
+        rows += [(2 * i, " ".join(p + words(there, rng) + q)), (2 * i + 1, " ".join(head + p + words(here, rng) + q))]
+        want |= {(2 * i + 1, x) for at in (20, 80 + here) for x in range(at, at + 60)}
+    got = substring_dedup.repeated_passages(make(rows)).collect()
+    found = {(r["doc_id"], x) for r in got for x in range(r["start_word"], r["start_word"] + r["n_words"])}
+    assert want <= found and len(found - want) < 0.05 * len(want)
+
+
 def test_mix_comes_near_targets(make):
     rng = random.Random(16)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", "c", "d", None])) for i in range(900)]
