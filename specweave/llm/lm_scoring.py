@@ -1,9 +1,9 @@
 """Language-model scoring: a causal self-attention model in numpy over subword ids, beside a word-count base.
 
 Training documents are those whose crc32(doc_id as text) mod 7 is not 2. All their words are counted in Spark.
-Each gives one window of subword ids, so what the model learns from grows with the corpus; ids are counted over
-the windows, and the weights are trained where the windows lie by local Adagrad steps, averaged on the driver
-after each round (at most TRAINERS small weight sets).
+Their whole texts are cut into consecutive windows of subword ids, in which each id and the end is predicted once;
+ids are counted over all windows, and the weights are trained where the windows lie by local Adagrad steps,
+averaged on the driver after each round (at most TRAINERS small weight sets).
 
 The model: an embedding per id bucket plus one per position, one causal attention head, a residual sum and a
 softmax over classes of ids; frequent ids are classes of their own, rarer ones share classes of equal mass, in
@@ -40,14 +40,14 @@ LENGTH, OVERLAP = 32, 6
 WIDTH, BUCKETS, OWN_BUCKETS = 8, 4096, 3072
 CLASSES, OWN_CLASSES = 96, 84
 ROUNDS, BATCH, RATE, TRAINERS = 3, 64, 0.2, 256
-#: Words from which a training window is encoded.
-WINDOW_WORDS = 24
 #: Words whose counts are broadcast, at most.
 HEAVY = 200_000
 #: Distinct words a task holds before it passes their counts on.
 HELD = 400_000
 #: Windows in one batch of attention.
 AT_ONCE = 256
+#: Training windows in one Arrow batch, about.
+PASSED_ON = 8192
 _END_WORD = b"\n"
 
 
@@ -172,8 +172,16 @@ def score_all(w: dict, t: dict, coded: list[np.ndarray]) -> list[float]:
 # --- the corpus ----------------------------------------------------------------------------------------------
 
 
+def windows_of(ids: np.ndarray) -> np.ndarray:
+    """Consecutive windows (n, LENGTH + 1) of a text's ids and end, each first id the one before; -1 after the end."""
+    n = len(ids) // LENGTH + 1
+    flat = np.full(n * LENGTH + 1, -1, "<i4")
+    flat[0], flat[1 : len(ids) + 1], flat[len(ids) + 1] = END, ids, END
+    return np.lib.stride_tricks.sliding_window_view(flat, LENGTH + 1)[::LENGTH]
+
+
 def _gather(path: str):
-    """Word counts of the training documents in a task, and a window of ids of each."""
+    """Word counts of the training documents in a task, and all windows of their ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder, counts = subwords(path), Counter()
@@ -188,13 +196,10 @@ def _gather(path: str):
                 if is_training(doc_id):
                     counts.update(text.encode("utf-8", "replace").lower().split())
                     counts[_END_WORD] += 1
-                    pieces = text.split(" ")
-                    draw = zlib.crc32(b"window%d" % zlib.crc32(text.encode("utf-8", "replace")))
-                    at = 0 if draw % 4 == 0 else (draw >> 2) % max(1, len(pieces) - WINDOW_WORDS + 1)
-                    part = pieces[at : at + WINDOW_WORDS]
-                    ids = np.frombuffer(coder.encode(" ".join(part)), "<u4").astype(np.int32)
-                    ids = np.concatenate([[END] if at == 0 else [], ids, [END] if at + len(part) == len(pieces) else []])[: LENGTH + 1]
-                    windows.append(np.pad(ids, (0, LENGTH + 1 - len(ids)), constant_values=-1).astype("<i4").tobytes())
+                    windows += [x.tobytes() for x in windows_of(np.frombuffer(coder.encode(text), "<u4"))]
+                    if len(windows) >= PASSED_ON:
+                        yield told(Counter(), windows)
+                        windows = []
             yield told(Counter(), windows)
             if len(counts) > HELD:
                 yield told(counts, [])

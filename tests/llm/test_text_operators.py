@@ -168,6 +168,22 @@ def test_windows_score_each_id_once():
         assert lm_scoring.score_all(w, t, [ids])[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_every_id_of_the_training_texts_is_learnt_from(make):
+    rng = random.Random(9)
+    rows = [*EDGE, *((200 + i, " ".join(rng.choice(["alpha", "Beta", f"rare{i}"]) for _ in range(n))) for i, n in enumerate((31, 32, 33, 700, 5000)))]
+    s, want = Subwords(tokenizer_path()), Counter()
+    for i, t in rows:
+        if lm_scoring.is_training(i):
+            want.update([*np.frombuffer(s.encode(t or ""), "<u4").tolist(), lm_scoring.END])
+    gathered = make(rows).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(lm_scoring._gather(tokenizer_path()), "word binary, n long, window binary")
+    windows = gathered.where("window IS NOT NULL").select("window")
+    assert {r["id"]: r["n"] for r in windows.mapInArrow(lm_scoring._count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()} == want
+    for n in (0, 1, 31, 32, 33, 64, 100):
+        w = lm_scoring.windows_of(np.arange(n))
+        following = w[:, 1:].ravel()
+        assert following[following >= 0].tolist() == [*range(n), lm_scoring.END] and w[1:, 0].tolist() == w[:-1, -1].tolist()
+
+
 def test_base_scores_and_learning(make):
     rng = random.Random(7)
     rows = [*EDGE, *((100 + i, " ".join(rng.choice(["alpha", "Beta", "gamma", "delta", f"rare{i}"]) for _ in range(60))) for i in range(60))]
