@@ -149,6 +149,19 @@ def test_passages_far_apart_are_both_found(make):
     assert want <= found and len(found - want) < 0.05 * len(want)
 
 
+def test_passages_with_edits_are_found(make):
+    rng = random.Random(18)
+    rows, edits = [], {}
+    for i in range(120):
+        every, p, start = (5, 6, 8, 10, 12, 15)[i % 6], words(60, rng), rng.randrange(5)
+        q = [w + "x" if k % every == start % every else w for k, w in enumerate(p)]
+        rows += [(2 * i, " ".join(words(30, rng) + p + words(30, rng))), (2 * i + 1, " ".join(words(30, rng) + q + words(30, rng)))]
+        edits[2 * i + 1] = every
+    got = {r["doc_id"] for r in substring_dedup.repeated_passages(make(rows)).collect()}
+    recall = {e: sum(i in got for i in edits if edits[i] == e) / 20 for e in set(edits.values())}
+    assert got <= set(edits) and all(recall[e] >= 0.95 for e in recall if e > 5) and recall[5] >= 0.8, recall
+
+
 def test_mix_comes_near_targets(make):
     rng = random.Random(16)
     rows = [(i, " ".join(["w"] * rng.randint(0, 60)), rng.choice(["a", "b", "c", "d", None])) for i in range(900)]
