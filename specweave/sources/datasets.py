@@ -7,6 +7,8 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from specweave.storage import small
+
 REQUIRED = ("system_id", "document_id", "text")
 
 
@@ -55,7 +57,7 @@ def compare_counts(counted: DataFrame, audit: DataFrame, known: DataFrame | None
     """counted (document_id, n) against the audit: status match, unrecorded, known_error or mismatch."""
     joined = counted.join(audit, "document_id", "left")
     if known is not None:
-        joined = joined.join(F.broadcast(known.limit(10_000).select("document_id", F.col("fr_count").alias("_right"))), "document_id", "left")
+        joined = joined.join(small(known.select("document_id", F.col("fr_count").alias("_right"))), "document_id", "left")
     else:
         joined = joined.withColumn("_right", F.lit(None).cast("int"))
     status = F.when(F.col("fr_count").isNull(), "unrecorded").when(F.col("n") == F.col("fr_count"), "match").when(F.col("n") == F.col("_right"), "known_error").otherwise("mismatch")

@@ -5,6 +5,7 @@ import json
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from specweave.operators import render
 from specweave.sources import datasets as d
@@ -48,6 +49,13 @@ def test_shards_cover_each_document_once(spark):
             d.parse_shard(bad)
 
 
+def test_all_known_errors_count(spark):
+    for n in (12_000, 60_000):  # broadcast, and joined by shuffle
+        ids = spark.range(n).select(F.col("id").cast("string").alias("document_id"))
+        counted, audit, known = ids.withColumn("n", F.lit(7)), ids.withColumn("fr_count", F.lit(6)), ids.withColumn("fr_count", F.lit(7))
+        assert d.compare_counts(counted, audit, known).where("status = 'known_error'").count() == n
+
+
 def test_docx(spark, tmp_path):
     table = "<w:tbl><w:tr><w:tc>" + p("a  b") + "</w:tc><w:tc>" + p("c") + "</w:tc></w:tr><w:tr><w:tc>" + p("") + "</w:tc><w:tc>" + p(" ") + "</w:tc></w:tr></w:tbl>"
     body = p("Title") + p("1.1 Login", "Heading2") + p("") + p("") + p(" text ") + table
