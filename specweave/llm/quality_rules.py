@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from specweave.llm.common import append, documents, labelled_sample
 
-#: Labelled rows in the fit, at most, and lines of each in the fit.
+#: Labelled rows in the fit, at most, and lines of one training sequence; longer texts give several.
 MAX_LABELLED, FIT_LINES = 4_000, 64
 #: Content share from which a document is kept.
 LEAST_CONTENT = 0.5
@@ -129,9 +129,11 @@ def viterbi(scores: list[list[float]], t: list[list[float]]) -> list[int]:
 
 
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    sample = append(labelled_sample(docs, labels, most), "f binary", lambda: lambda texts: [[np.array(scan(x)[1][:FIT_LINES]).tobytes() for x in texts]], keep=False)
+    sample = append(labelled_sample(docs, labels, most), "f binary", lambda: lambda texts: [[np.array(scan(x)[1]).tobytes() for x in texts]], keep=False)
     got = sample.toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
-    return fit([np.frombuffer(x).reshape(-1, N_FEATURES) for x in got["f"].to_pylist()], (np.array(got["quality"].to_pylist(), np.int64) > 0).astype(int))
+    texts, states = [np.frombuffer(x).reshape(-1, N_FEATURES) for x in got["f"].to_pylist()], (np.array(got["quality"].to_pylist(), np.int64) > 0).astype(int)
+    starts = [range(0, len(x), FIT_LINES) for x in texts]
+    return fit([x[i : i + FIT_LINES] for x, at in zip(texts, starts, strict=True) for i in at], np.repeat(states, [len(at) for at in starts]))
 
 
 def apply_rules(docs: DataFrame, model) -> DataFrame:

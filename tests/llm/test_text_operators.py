@@ -72,6 +72,14 @@ def test_field_learns_lines():
     assert all(set(quality_rules.viterbi((s @ w).tolist(), t.tolist())) == {i % 2} for i, s in enumerate(x))
 
 
+def test_field_is_fitted_on_all_lines(spark, make, monkeypatch):
+    rows = [(i, "\n".join(f"line {k} of {i}" for k in range(n))) for i, n in enumerate((1, 63, 64, 65, 128, 300))]
+    seen = []
+    monkeypatch.setattr(quality_rules, "fit", lambda sequences, states: seen.extend(zip(map(len, sequences), states, strict=True)))
+    quality_rules.train(make(rows), spark.createDataFrame([(i, i % 2, 0) for i in range(6)], "doc_id long, quality int, toxic int"))
+    assert [sum(n for n, s in seen if s == q) for q in (0, 1)] == [1 + 64 + 128, 63 + 65 + 300] and max(n for n, _ in seen) <= quality_rules.FIT_LINES
+
+
 def test_media_round_trip(make):
     rng = random.Random(3)
     long = "".join(rng.choice("abc de\n") for _ in range(40_000))
