@@ -196,8 +196,12 @@ def _between_classes(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """docs with class_id, n_links (verified links of its text) and keep."""
-    names = ("class_id", "n_links", "keep", "_row", "_digest", "_size", "_bands")
+    """docs with class_id, n_checked_links and keep.
+
+    n_checked_links counts the verified pairs of a text with heads of its buckets, and those found late between
+    classes; not all similar texts, as members of a family need not be held against each other.
+    """
+    names = ("class_id", "n_checked_links", "keep", "_row", "_digest", "_size", "_bands")
     kept = [c for c in docs.columns if c not in names]
     schema = T.StructType([docs.schema[c] for c in kept] + T.StructType.fromDDL("_row long, _digest binary, _size int, _bands array<long>").fields)
     all_rows = stage(docs.select(*kept).mapInArrow(_sketch(schema, kept.index("text")), schema), "near-rows")
@@ -232,15 +236,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             links = stage(links.unionByName(late), "near-links")
             classes = components(links)
 
-    ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_links"))
+    ends = links.select(F.explode(F.array("a", "b")).alias("row")).groupBy("row").agg(F.count(F.lit(1)).alias("n_checked_links"))
     own = texts.select("_digest", "row").join(classes.withColumnRenamed("node", "row"), "row", "left").join(ends, "row", "left")
-    own = stage(own.select("_digest", F.coalesce("label", "row").alias("label"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "near-own")
+    own = stage(own.select("_digest", F.coalesce("label", "row").alias("label"), F.coalesce("n_checked_links", F.lit(0)).cast("long").alias("n_checked_links")), "near-own")
     # The least doc_id of a class names it and stays.
     stays = texts.join(own, "_digest").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))).alias("first"))
     stays = stage(stays.select("label", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("stays")), "near-stays")
-    named = stage(own.join(stays, "label").select("_digest", "class_id", "n_links", "stays"), "near-named")
+    named = stage(own.join(stays, "label").select("_digest", "class_id", "n_checked_links", "stays"), "near-named")
     done = all_rows.select(*kept, "_row", "_digest").join(named, "_digest")
-    return done.select(*kept, "class_id", "n_links", (F.col("_row") == F.col("stays")).alias("keep"))
+    return done.select(*kept, "class_id", "n_checked_links", (F.col("_row") == F.col("stays")).alias("keep"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

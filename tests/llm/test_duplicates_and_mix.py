@@ -68,6 +68,15 @@ def test_near_classes_match_brute_force(make, docs_rows):
     assert len({cls[i] for i in (9001, 9002, 9003)}) == 1
 
 
+def test_links_are_named_as_the_checked_ones(make):
+    rng = random.Random(19)
+    base = words(150, rng)
+    docs = make([(i, " ".join(edited(base, 1, rng))) for i in range(12)]).withColumn("n_links", F.lit("kept"))
+    got = near_dedup.near_duplicates(docs).collect()
+    assert {r["n_links"] for r in got} == {"kept"} and len({r["class_id"] for r in got}) == 1
+    assert all(1 <= r["n_checked_links"] <= 11 for r in got)
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(12)
     for _ in range(60):
