@@ -7,6 +7,7 @@ documents at once.
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -122,9 +123,16 @@ def prepare(docs: DataFrame, caller: Caller, models: ModelConfig | None = None,
     return Prepared(docs, cut, elements, relations, edges, exclusions, records, stage(calls, "calls"))
 
 
-def validated(findings: DataFrame, p: Prepared, caller: Caller, models: ModelConfig, config: PipelineConfig) -> DataFrame:
+def _spent(log: list[DataFrame] | None, called: DataFrame) -> DataFrame:
+    """called, with what it cost noted in log."""
+    if log is not None:
+        log.append(called.select(*KEYS, "prompt_tokens", "completion_tokens", "api_calls", "error"))
+    return called
+
+
+def validated(findings: DataFrame, p: Prepared, caller: Caller, models: ModelConfig, config: PipelineConfig, log: list[DataFrame] | None = None) -> DataFrame:
     payload = [c for c in findings.columns if c not in KEYS]
-    asked = caller.call(_ask(findings.join(p.docs, KEYS), "validate", models.validation_model, models.validation_temperature, "Validate a finding as JSON.", finding=F.struct(*payload), text=F.col("text")))
+    asked = _spent(log, caller.call(_ask(findings.join(p.docs, KEYS), "validate", models.validation_model, models.validation_temperature, "Validate a finding as JSON.", finding=F.struct(*payload), text=F.col("text"))))
     said = lambda part: F.when(variant_kind(_field(F.col("response"), part)) == "OBJECT", coerce_str(_field(_field(F.col("response"), part), "decision"))).otherwise(F.lit(""))
     # A call is made even where a decision is overridden.
     return review.decide(asked, said("evidence"), said("coverage"), said("boundary"), (F.lit(config.evidence_validation), F.lit(config.coverage_validation), F.lit(config.boundary_validation)))
@@ -142,47 +150,47 @@ def _fields(item: Column) -> dict[str, Column]:
     return {"gap_type": coerce_str(_field(item, "gap_type")), "item_frs": coerce_str_list(_field(item, "source_frs")), "excerpts": coerce_str_list(_field(item, "supporting_excerpts")), "reason": coerce_str(_field(item, "reason"))}
 
 
-def nominate_dependency(selected: DataFrame, p: Prepared, caller: Caller, models: ModelConfig) -> DataFrame:
+def nominate_dependency(selected: DataFrame, p: Prepared, caller: Caller, models: ModelConfig, log: list[DataFrame] | None = None) -> DataFrame:
     """Findings of ranked records; one request per record that has review patterns."""
     rows = review.with_patterns(review.with_sources(selected, p.elements, KEYS), KEYS)
     rows = context(rows, p.blocks, p.docs, KEYS, "record_frs")
-    asked = caller.call(_ask(rows, "dependency", models.validation_model, models.validation_temperature, "Nominate findings as JSON.", source=F.col("source"), target=F.col("target"), path=F.col("path"), relation_types=F.col("relation_types"), patterns=F.col("patterns"), text=F.col("context")))
+    asked = _spent(log, caller.call(_ask(rows, "dependency", models.validation_model, models.validation_temperature, "Nominate findings as JSON.", source=F.col("source"), target=F.col("target"), path=F.col("path"), relation_types=F.col("relation_types"), patterns=F.col("patterns"), text=F.col("context"))))
     affected = _field(F.col("item"), "affected_element")
     raw = F.when(affected.isNull(), F.lit("")).when(variant_kind(affected) == "VOID", F.lit(None)).otherwise(F.try_variant_get(affected, "$", "string"))
     items = _items(asked, "findings").withColumns(_fields(F.col("item")) | {"affected": coerce_str(affected), "raw_affected": raw, "order": F.col("rank") * 1000 + F.col("item_pos")})
     return _findings(review.dependency_findings(items))
 
 
-def nominate_isolation(p: Prepared, caller: Caller, models: ModelConfig) -> DataFrame:
+def nominate_isolation(p: Prepared, caller: Caller, models: ModelConfig, log: list[DataFrame] | None = None) -> DataFrame:
     alone = context(entities.isolated(p.elements, p.relations, KEYS), p.blocks, p.docs, KEYS, "source_frs")
-    asked = caller.call(_ask(alone, "isolation", models.validation_model, models.validation_temperature, "Classify a disconnected element as JSON.", element=F.col("name"), element_type=F.col("element_type"), excerpts=F.col("supporting_excerpts"), text=F.col("context")))
+    asked = _spent(log, caller.call(_ask(alone, "isolation", models.validation_model, models.validation_temperature, "Classify a disconnected element as JSON.", element=F.col("name"), element_type=F.col("element_type"), excerpts=F.col("supporting_excerpts"), text=F.col("context"))))
     answer = F.col("response")
     return _findings(review.isolation_findings(asked.withColumns(_fields(answer) | {"label": coerce_str(_field(answer, "label")), "order": F.lit(1 << 30) + F.col("seq")})))
 
 
-def nominate_operation(p: Prepared, caller: Caller, models: ModelConfig) -> DataFrame:
+def nominate_operation(p: Prepared, caller: Caller, models: ModelConfig, log: list[DataFrame] | None = None) -> DataFrame:
     fit = p.elements.where(F.col("element_type").isin("DATA", "FUNCTION")).groupBy(*KEYS).agg(_ordered(F.col("name"), "seq").alias("names"))
-    asked = caller.call(_ask(fit.join(p.docs, KEYS), "operation", models.validation_model, models.validation_temperature, "Diagnose operation coverage as JSON.", elements=F.col("names"), text=F.col("text")))
+    asked = _spent(log, caller.call(_ask(fit.join(p.docs, KEYS), "operation", models.validation_model, models.validation_temperature, "Diagnose operation coverage as JSON.", elements=F.col("names"), text=F.col("text"))))
     items = _items(asked, "findings").withColumns(_fields(F.col("item")) | {"affected": coerce_str(_field(F.col("item"), "affected_element")), "order": F.lit(1 << 40) + F.col("item_pos")})
     return _findings(review.operation_findings(items))
 
 
-def generate(findings: DataFrame, p: Prepared, caller: Caller, models: ModelConfig) -> DataFrame:
+def generate(findings: DataFrame, p: Prepared, caller: Caller, models: ModelConfig, log: list[DataFrame] | None = None) -> DataFrame:
     """Candidates of eligible findings; the request leaves dps and the reviewers' reasons out."""
     fit = findings.where(eligible(F.col("evidence_decision"), F.col("coverage_decision"), F.col("boundary_decision"))).select(*KEYS, *FINDING, "boundary_decision")
     rows = context(fit, p.blocks, p.docs, KEYS, "source_frs").join(p.elements.groupBy(*KEYS).agg(_ordered(F.col("name"), "seq").alias("names")), KEYS, "left")
     sent = ["finding_id", "view", "gap_type", "source_frs", "supporting_excerpts", "source_element", "target_element", "affected_element", "relation_type", "dependency_path", "nomination_reason", "boundary_decision"]
-    asked = caller.call(_ask(rows, "generate", models.generation_model, models.generation_temperature, "Generate a requirement as JSON.", **{c: F.col(c) for c in sent}, text=F.col("context"), element_names=F.col("names")))
+    asked = _spent(log, caller.call(_ask(rows, "generate", models.generation_model, models.generation_temperature, "Generate a requirement as JSON.", **{c: F.col(c) for c in sent}, text=F.col("context"), element_names=F.col("names"))))
     made = asked.withColumn("requirement", coerce_str(_field(F.col("response"), "requirement")))
     return review.candidates(made).withColumn("seq", F.col("order"))
 
 
-def consolidated(candidates: DataFrame, p: Prepared, caller: Caller, models: ModelConfig, config: PipelineConfig) -> DataFrame:
+def consolidated(candidates: DataFrame, p: Prepared, caller: Caller, models: ModelConfig, config: PipelineConfig, log: list[DataFrame] | None = None) -> DataFrame:
     if not (config.consolidation or config.refinement or config.deduplication or config.final_filtering):
         return outcome.pass_through(candidates, KEYS)
     rows = candidates.groupBy(*KEYS).agg(_ordered(F.col("candidate_id"), "seq").alias("ids"), _ordered(F.struct("candidate_id", "requirement", "gap_type", "affected_element"), "seq").alias("listed")).join(p.docs, KEYS)
     switches = {k: F.lit(getattr(config, k)) for k in ("consolidation", "refinement", "deduplication", "final_filtering")}
-    asked = caller.call(_ask(rows, "consolidate", models.validation_model, models.validation_temperature, "Consolidate candidates as JSON.", ids=F.col("ids"), candidates=F.col("listed"), text=F.col("text"), **switches))
+    asked = _spent(log, caller.call(_ask(rows, "consolidate", models.validation_model, models.validation_temperature, "Consolidate candidates as JSON.", ids=F.col("ids"), candidates=F.col("listed"), text=F.col("text"), **switches)))
     item = F.col("item")
     groups = _items(asked, "candidates").select(*KEYS, F.col("item_pos").alias("pos"), *(coerce_str(_field(item, c)).alias(c) for c in ("decision", "requirement", "reason")), coerce_str_list(_field(item, "source_candidate_ids")).alias("source_candidate_ids"))
     return outcome.consolidate(candidates, groups, KEYS)
@@ -192,26 +200,27 @@ def run(p: Prepared, caller: Caller, models: ModelConfig | None = None, config:
     """Stages 3 to 5: findings, candidates, outcomes (kept ones numbered) and the three documents per run."""
     models, config = models or ModelConfig(), config or PipelineConfig()
     found: list[DataFrame] = []
+    log = [p.calls]
     ranked = ranking.rank_records(p.records, signal or ("dps" if config.use_dps_ranking else "unranked"), KEYS, seed)
     selected = ranking.cut(ranked, config.dependency_budget)
     if config.dependency_view:
-        found.append(nominate_dependency(selected, p, caller, models))
+        found.append(nominate_dependency(selected, p, caller, models, log))
     if config.isolation_view:
-        found.append(nominate_isolation(p, caller, models))
+        found.append(nominate_isolation(p, caller, models, log))
     if config.operation_view:
-        found.append(nominate_operation(p, caller, models))
+        found.append(nominate_operation(p, caller, models, log))
     empty = _findings(p.docs.where("false").withColumns({"finding_id": F.lit(""), "source_frs": F.array().cast("array<string>"), "supporting_excerpts": F.array().cast("array<string>")}))
     findings = empty
     for f in found:
         findings = findings.unionByName(f)
-    findings = stage(validated(stage(findings, "findings"), p, caller, models, config).drop("response"), "validated")
-    candidates = stage(generate(findings, p, caller, models), "candidates")
-    outcomes = stage(consolidated(candidates, p, caller, models, config), "outcomes")
+    findings = stage(validated(stage(findings, "findings"), p, caller, models, config, log).drop("response"), "validated")
+    candidates = stage(generate(findings, p, caller, models, log), "candidates")
+    outcomes = stage(consolidated(candidates, p, caller, models, config, log), "outcomes")
     numbers = numbering_context(p.docs, p.blocks, KEYS)
     kept = stage(assign_numbers(outcomes.where("outcome = 'KEEP'"), numbers, KEYS), "kept")
     demoted, removed = outcomes.where("outcome = 'DEMOTE'"), outcomes.where("outcome = 'REMOVE'")
     return {
-        "selected": selected, "findings": findings, "candidates": candidates, "outcomes": outcomes, "kept": kept, "usage": usage(p.calls, KEYS),
+        "selected": selected, "findings": findings, "candidates": candidates, "outcomes": outcomes, "kept": kept, "usage": usage(reduce(DataFrame.unionByName, log), KEYS),
         "refined": render.refined_documents(p.docs, kept, numbers, KEYS), "design_constraints": render.design_constraints(p.docs, demoted, removed, KEYS), "report": render.refinement_report(p.docs, numbers, kept, demoted, removed, KEYS),
     }
 

@@ -1,6 +1,7 @@
 """Coercion, merging, consolidation, the model protocol and the stub pipeline."""
 
 import json
+import os
 import sys
 
 import pytest
@@ -96,6 +97,27 @@ def test_environment(monkeypatch):
     assert ModelConfig.from_environment().validation_temperature is None
 
 
+class Failing(StubClient):
+    """Fails until the marker file is there."""
+
+    def __init__(self, marker):
+        self.marker = marker
+
+    def complete(self, model, system, user, temperature):
+        if not os.path.exists(self.marker):
+            raise ConnectionError("down")
+        return "{}", 2, 1
+
+
+def test_failed_requests_are_sent_again(spark, tmp_path):
+    caller = Caller(spark, Failing(str(tmp_path / "up")), sleep=quiet)
+    ask = spark.createDataFrame([("m", 0.1, "s", "u", "1")], "model string, temperature double, system string, user string, repetition string")
+    assert caller.call(ask).first()["error"] == "ConnectionError: down"
+    (tmp_path / "up").touch()
+    assert (r := caller.call(ask).first())["error"] is None and r["prompt_tokens"] == 2
+    assert Caller(spark, StubClient()).cache != Caller(spark, StubClient()).cache
+
+
 class Malformed(StubClient):
     """Answers of the wrong shape, one for each kind of request."""
 
@@ -120,11 +142,13 @@ def test_stub_pipeline_and_malformed_answers(spark):
     assert text.startswith(DOC) and "\n1.4 " in text and text.endswith("\n")
     before = caller.responses().count()
     run(ready, caller)
-    again = caller.responses().count() - before
+    assert caller.responses().count() == before
+    found = {r["view"]: r["count"] for r in done["findings"].where("document_id = 'a'").groupBy("view").count().collect()}
+    assert found.get("dependency") and found.get("operation") == 1
+    spent = {r["document_id"]: r["api_calls"] for r in done["usage"].collect()}
+    assert sum(spent.values()) >= before and spent["a"] > ready.calls.where("document_id = 'a'").count()
     bad = Caller(spark, Malformed({"elements": "x", "relations": None, "findings": [1, None]}), sleep=quiet)
     assert prepare(runs_of(docs, 1), bad).elements.count() == 0
-    if again:
-        pytest.xfail(f"{again} requests of a repeated run are not replayed but sent again; open")
 
 
 def test_ablation_configs_share_preparations():

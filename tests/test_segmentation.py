@@ -15,10 +15,10 @@ CASES = {
     "word": ("Function Requirement 1: a\nFunction Requirement 2: b", ["Function Requirement 1", "Function Requirement 2"], ("word", "", 2), ["Function Requirement 3", "Function Requirement 4"]),
     "letter": ("F1 Login\nF2 Logout", ["F1", "F2"], ("letter", "", 2), ["F3", "F4"]),
     "space": ("FR 1: a\nFR 2: b", ["FR 1", "FR 2"], ("space", "", 2), ["FR 3:", "FR 4:"]),
-    "dot3": ("3.1 A\n3.1.1 x\n3.1.2 y", ["3.1.1", "3.1.2"], ("dot3", "3.1", 2), ["3.1.3", "3.1.4"]),
+    "dot3": ("The system\n3.1.1 x\n3.1.2 y", ["3.1.1", "3.1.2"], ("dot3", "3.1", 2), ["3.1.3", "3.1.4"]),
     "compound": ("FR-DCI-001 a\nFR-DCI-002 b", ["FR-DCI-001", "FR-DCI-002"], ("compound", "", 2), ["FR-DCI-003", "FR-DCI-004"]),
-    "sections hold FR": ("2.1 One\nFR-001 a\nFR-002 b\n2.2 Two\nFR-003 c\nFR-004 d\nFR-005 e", ["FR-001", "FR-002", "FR-003", "FR-004", "FR-005"], ("dash", "", 5), ["FR-006", "FR-007"]),
-    "nested": ("3.1 A\n3.1.1 a\n3.1.2 b\n3.2 B\n3.2.1 c\n3.2.2 d", ["3.1.1", "3.1.2", "3.2.1", "3.2.2"], ("dot3", "3.1", 2), ["3.1.3", "3.1.4"]),
+    "sections hold FR": ("Web store\n2.1 One\nFR-001 a\nFR-002 b\n2.2 Two\nFR-003 c\nFR-004 d\nFR-005 e", ["FR-001", "FR-002", "FR-003", "FR-004", "FR-005"], ("dash", "", 5), ["FR-006", "FR-007"]),
+    "nested": ("The system\n3.1 A\n3.1.1 a\n3.1.2 b\n3.2 B\n3.2.1 c\n3.2.2 d", ["3.1.1", "3.1.2", "3.2.1", "3.2.2"], ("dot3", "3.1", 2), ["3.1.3", "3.1.4"]),
     "scope": ("1. Introduction\nabc\n2. Functional Requirements\n2.1 a\n2.2 b\n3. External Interfaces\n3.1 c\n3.2 d", ["2.1", "2.2"], ("dot", "2", 2), ["2.3", "2.4"]),
     "preamble": ("Requirements of the system\n3.1 a\n3.2 b", ["3.1", "3.2"], ("dot", "3", 2), ["3.3", "3.4"]),
     "prose": ("One thing.\n\nAnother thing.\n\n\nLast thing.", ["BLOCK-1", "BLOCK-2", "BLOCK-3"], ("space", "", 0), ["FR 1:", "FR 2:"]),
