@@ -80,22 +80,42 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, most: int) -> DataFrame:
 KEY_BITS = 1 << 25
 
 
+def bitmap_of(rows: DataFrame, bit: Column, n_bits: int = KEY_BITS) -> bytes:
+    """The bits (non-negative longs, taken modulo n_bits) of all rows as one bitmap, folded on the executors."""
+    at = F.pmod(bit, F.lit(n_bits)) + 1
+    folded = rows.select(at.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("map"))
+    bits = np.zeros(n_bits // 8 + 4096, np.uint8)
+    for part, found in folded.collect():  # n_bits / 32768 rows of 4 KB at most
+        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(found, np.uint8)
+    return bits[: n_bits // 8].tobytes()
+
+
+def marked(bits: bytes, bit: np.ndarray) -> np.ndarray:
+    """Which of these bits (taken modulo the bitmap's size) are set."""
+    at = bit & (len(bits) * 8 - 1)
+    return (np.frombuffer(bits, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
 def marked_by(keys: DataFrame, key: str, n_bits: int = KEY_BITS):
     """A column function telling whether a long key may be among ``keys``: never wrongly false.
 
     The keys are folded into a bitmap of fixed size on the executors, so rows that surely have no partner need
     not move in the join that follows.
     """
-    bit = F.pmod(F.col(key), F.lit(n_bits)) + 1
-    folded = keys.select(bit.alias("b")).groupBy(F.expr("bitmap_bucket_number(b)").alias("part")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("map"))
-    bits = np.zeros(n_bits // 8 + 4096, np.uint8)
-    for part, found in folded.collect():  # n_bits / 32768 rows of 4 KB at most
-        bits[(part - 1) * 4096 : part * 4096] = np.frombuffer(found, np.uint8)
-    shared = keys.sparkSession.sparkContext.broadcast(bits.tobytes())
+    shared = keys.sparkSession.sparkContext.broadcast(bitmap_of(keys, F.col(key), n_bits))
 
     @F.pandas_udf("boolean")
     def may_have(k: pd.Series) -> pd.Series:
-        at = k.to_numpy(np.int64) % n_bits
-        return pd.Series((np.frombuffer(shared.value, np.uint8)[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+        return pd.Series(marked(shared.value, k.to_numpy(np.int64)))
 
     return may_have
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """Each name with as many underscores before it as keep it from clashing with columns."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out

@@ -1,238 +1,492 @@
 """Line dedup by an exact set-similarity join: a line goes if an earlier line has Jaccard similarity >= 0.8.
 
-A line is the set of its lower-cased words. Equal sets are collapsed to their first line. The words of each
-remaining set are ordered by rarity (counts of all lines in a table of fixed size; collisions cost speed, not
-results), and only the prefix in which two similar sets must share a word is indexed; words that occur in one
-line only are left out. Index entries meet by word under the length and positional filters, and Jaccard is
-verified on the whole lines; a 64-bit sketch of the words bounds the difference of two sets before that. Sets with
-frequent words first meet one set of each such word; of the sets that this settles no two meet again, so large
-groups of similar lines are not expanded into pairs.
-
-The order of lines is doc_id (null last), a hash of the document, line number. Whether a line goes depends on
-all earlier lines, kept or not, so the result depends neither on partitioning nor on the order of work.
+A line is the set of its lower-cased words. The words of each set are ordered by rarity (counts of all texts in a
+table of fixed size; collisions cost speed, not results), and only the prefix in which two similar sets must share
+a word is indexed; words that occur once are left out. Index entries are dealt by word to parts of bounded size,
+packed, so few rows move. In a part the entries of a word meet under the length and positional filters and a bound
+on the difference that 96 bits of parity give; of what passes, only the best partner of a line is reported, and
+Jaccard is verified on the whole lines. Lines whose best partner fails although there are others meet all of
+theirs, in further rounds over the words concerned. So each line is held against every earlier line it could match,
+but groups of similar lines are not expanded into pairs. The entries of a frequent word are dealt in blocks; its
+lines visit all blocks.
+
+Equal sets are found by 128-bit digests, which are parts of the same index.
+
+The order of lines is doc_id (null last; ids that are no integers by their hash), a hash of the document, line
+number. Whether a line goes depends on all earlier lines, kept or not, so the result depends neither on
+partitioning nor on the order of work.
 
 Defined cases: a null or empty text has no line to remove; lines without a word stay; equal rows (same doc_id
-and text) are one document and treated alike; an empty table gives an empty result; other columns are kept, and
-n_chars, if there, is set to the new length.
+and text) are one document and treated alike; an empty table gives an empty result; other columns are kept, those
+named n_lines or n_removed are replaced, and n_chars, if there, is set to the new length.
 """
 
 from __future__ import annotations
 
-import hashlib
-import math
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from specweave.llm.common import documents, marked_by, small, stage, whole_text
+from specweave.llm import wordhash
+from specweave.llm.common import bitmap_of, documents, fresh, marked, marked_by, stage, whole_text
 
 SIMILARITY = 0.8
 #: Sets of fewer words can only equal another set or are matched by one of this size.
 LEAST_JOINED = 4
 #: Entries of the rarity table (one byte each), in slices of 65,536.
-TABLE = 1 << 24
-SLICE = 1 << 16
-#: Counts that the table keeps as they are; words beyond are frequent, and their sets meet a head first.
-EXACT_LEVELS = 128
-#: Matched sets that are broadcast at most.
-MAX_BROADCAST = 1_000_000
+TABLE, SLICE = 1 << 24, 1 << 16
+#: Groups in which the counts of a slice are added before they meet.
+GROUPS = 256
+#: Words of the texts for each part of the index, and parts at least.
+PART_WORDS, LEAST_PARTS = 8_000_000, 64
+#: Entries of one word in a block, on average; a word with more has several blocks.
+BLOCK = 50_000
+#: Pairs looked at at once.
+AT_ONCE = 1 << 21
+#: An index entry, 44 bytes. at, key and line name a line; rest counts the words from this one on.
+ENTRY = np.dtype([("word", "<u4"), ("block", "<u2"), ("role", "u1"), ("level", "u1"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4"), ("size", "<u4"), ("rest", "<u4"), ("id", "<u4"), ("near", "<u8"), ("more", "<u4")])
+#: Roles of an entry: it is met by later lines, it looks for earlier ones.
+MET, LOOKS = 1, 2
+#: An equal-set entry.
+SAME = np.dtype([("digest", "<u8"), ("other", "<u8"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4")])
 
 
-def _lines(text: str) -> Iterator[tuple[int, set[bytes]]]:
-    for i, line in enumerate(text.encode("utf-8", "replace").lower().split(b"\n")):
-        if words := set(line.split()):
-            yield i, words
+def packed(rows: np.ndarray) -> bytes:
+    """Rows byte plane by byte plane, so that the many equal bytes of small numbers compress."""
+    return np.ascontiguousarray(rows.view(np.uint8).reshape(len(rows), rows.dtype.itemsize).T).tobytes()
 
 
-def _hashes(words) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+def unpacked(data: bytes, kind: np.dtype) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(kind.itemsize, -1)
+    return np.ascontiguousarray(planes.T).reshape(-1).view(kind)
 
 
 def _level(counts: np.ndarray) -> np.ndarray:
-    """Counts up to EXACT_LEVELS as they are, larger ones by logarithm."""
+    """Counts up to 128 as they are, larger ones by logarithm, in 8 bits."""
     c = np.maximum(counts, 1)
-    return np.where(c <= EXACT_LEVELS, c, np.minimum(255, EXACT_LEVELS + np.maximum(1, 4 * np.log2(c / EXACT_LEVELS)))).astype(np.uint8)
+    return np.where(c <= 128, c, np.minimum(255, 128 + np.maximum(1, 4 * np.log2(c / 128)))).astype(np.uint8)
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    table = np.zeros(TABLE, np.int64)
-    for batch in batches:
-        for text in batch.column(0).to_pylist():
-            at, n = np.unique(_hashes(text.encode("utf-8", "replace").lower().split()) & (TABLE - 1), return_counts=True)
-            table[at] += n
-    at = np.flatnonzero(table)
-    for i in range(0, len(at), SLICE):
-        part = at[i : i + SLICE]
-        yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(table[part])], ["bucket", "n"])
+def _blocks(level: np.ndarray) -> np.ndarray:
+    """Blocks of a word of this level: one for each BLOCK occurrences."""
+    n = np.where(level <= 128, level, 128 * 2 ** ((level.astype(np.float64) - 127) / 4))
+    return np.minimum(np.ceil(n / BLOCK), 65_535).astype(np.int64)
 
 
-def rarity(texts: DataFrame) -> bytes:
-    """How often each word occurs, by bucket, over all texts."""
-    counts = texts.select("text").mapInArrow(_count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The word counts of a task by slice: places and counts of four bytes each."""
+    table, task = np.zeros(TABLE, np.uint32), TaskContext.get().partitionId() % GROUPS
+    for batch in batches:
+        for _, texts in wordhash.parts(batch.column(0)):
+            at, n = np.unique((wordhash.words(texts).h & np.uint64(TABLE - 1)).astype(np.uint32), return_counts=True)
+            table[at] += n.astype(np.uint32)
+    yield _sliced(table, task)
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        row = np.zeros(SLICE, np.uint8)
-        row[pdf["bucket"].to_numpy() % SLICE] = _level(pdf["n"].to_numpy())
-        return pd.DataFrame({"part": [int(pdf["bucket"].iloc[0]) // SLICE], "levels": [row.tobytes()]})
 
-    table = np.zeros(TABLE, np.uint8)
-    for part, levels in counts.groupBy(F.expr(f"bucket div {SLICE}")).applyInPandas(fold, "part long, levels binary").collect():  # 256 rows of 64 KB
-        table[part * SLICE : (part + 1) * SLICE] = np.frombuffer(levels, np.uint8)
-    return table.tobytes()
+def _sliced(table: np.ndarray, task: int) -> pa.RecordBatch:
+    at = np.flatnonzero(table)
+    of = at // SLICE
+    ends = np.flatnonzero(np.diff(of, append=-1)) + 1
+    pairs = np.stack([(at % SLICE).astype(np.uint32), table[at].astype(np.uint32)])
+    blobs = [np.ascontiguousarray(pairs[:, a:b]).tobytes() for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)] if len(at) else []
+    part = of[ends - 1] if len(at) else of
+    return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(np.full(len(part), task, np.int32)), pa.array(blobs, pa.binary())], ["part", "task", "counts"])
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_key", F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole_text()))
+def _added(listed: list[bytes]) -> np.ndarray:
+    row = np.zeros(SLICE, np.int64)
+    for blob in listed:
+        at, n = np.frombuffer(blob, "<u4").reshape(2, -1)
+        row[at] += n
+    return row
 
 
-def _prefixes(lines: list[set[bytes]], levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one document's lines: (prefix entries, entries per line, word sketch of 64 bits per line)."""
-    sizes = np.array([len(x) for x in lines])
-    h = _hashes([w for x in lines for w in x])
-    of = np.repeat(np.arange(len(lines)), sizes)
-    starts = np.cumsum(sizes) - sizes
-    bit = (h * np.uint32(0x9E3779B1)) >> np.uint32(26)
-    sketch = np.bitwise_or.reduceat(np.uint64(1) << bit.astype(np.uint64), starts)
-    rank = levels[h & (TABLE - 1)].astype(np.uint64) << np.uint64(32) | h
-    order = np.lexsort((rank, of))
-    rank, place = rank[order], np.arange(len(h)) - starts[of]
-    length = np.where(sizes >= LEAST_JOINED, sizes - np.ceil(SIMILARITY * sizes - 1e-9).astype(np.int64) + 1, 0)
-    kept = (place < length[of]) & (rank >> np.uint64(32) > 1)
-    frequent = (rank[kept] >> np.uint64(32) > EXACT_LEVELS).astype(np.int64)
-    entries = frequent << 62 | place[kept].astype(np.int64) << 32 | (rank[kept] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    return entries, np.bincount(of[kept], minlength=len(lines)), sketch.view(np.int64)
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [np.minimum(_added(x), (1 << 32) - 1) for x in batch.column(1).to_pylist()]
+        blobs = [np.stack([at.astype(np.uint32), r[at].astype(np.uint32)]).tobytes() for r in rows for at in [np.flatnonzero(r)]]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["part", "counts"])
 
 
-def _sets(texts: DataFrame, table: bytes) -> DataFrame:
-    """A row per line: doc_id, key, line, digest, size, sketch, prefix (whether frequent, position and hash of each indexed word)."""
-    shared = texts.sparkSession.sparkContext.broadcast(table)
-    kind = texts.schema["doc_id"].dataType.simpleString()
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        sums = [_added(x) for x in batch.column(1).to_pylist()]
+        rows = [np.where(x > 0, _level(x), 0).astype(np.uint8).tobytes() for x in sums]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.binary()), pa.array([int(x.sum()) for x in sums], pa.int64())], ["part", "levels", "n"])
+
+
+def rarity(texts: DataFrame) -> tuple[bytes, int]:
+    """(how often each word occurs, by bucket of the table; number of words) over all texts."""
+    counts = texts.select("text").mapInArrow(_count, "part int, task int, counts binary")
+    merged = counts.groupBy("part", "task").agg(F.collect_list("counts").alias("counts")).select("part", "counts").mapInArrow(_merge, "part int, counts binary")
+    sums = merged.groupBy("part").agg(F.collect_list("counts").alias("counts")).mapInArrow(_levels, "part int, levels binary, n long")
+    table, total = np.zeros(TABLE, np.uint8), 0
+    for part, levels, n in sums.collect():  # 256 rows of 64 KB
+        table[part * SLICE : (part + 1) * SLICE] = np.frombuffer(levels, np.uint8)
+        total += n
+    return table.tobytes(), total
+
+
+def order_of(docs: DataFrame) -> Column:
+    """A long that orders documents by doc_id: integers as they are, other ids by their hash, null last."""
+    own = F.col("doc_id").cast("long") if isinstance(docs.schema["doc_id"].dataType, T.IntegralType) else F.xxhash64(F.col("doc_id").cast("string"))
+    return F.coalesce(own, F.lit((1 << 63) - 1))
+
+
+def _keyed(docs: DataFrame) -> dict[str, Column]:
+    """The columns _at and _key that name a document."""
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), whole_text()).bitwiseAND(F.lit((1 << 32) - 1))
+    return {"_at": order_of(docs), "_key": key}
+
+
+def line_sets(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    """The word sets of all lines that have words.
+
+    (text, line, size, first word of each set) and, for all words of all sets in order, the hashes.
+    """
+    data, offsets = wordhash.raw(texts)
+    starts, ends = wordhash.borders(data, offsets)
+    h = wordhash.hashes(data, starts, ends)
+    first = np.searchsorted(starts, offsets)
+    text, line = wordhash.lines(data, offsets, starts, first)
+    if not len(h):
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, h
+    own = np.cumsum(np.concatenate([[0], (np.diff(text) != 0) | (np.diff(line) != 0)]))
+    order = np.argsort(own.astype(np.uint64) << np.uint64(40) | h >> np.uint64(24))
+    own, h, text, line = own[order], h[order], text[order], line[order]
+    new = np.concatenate([[True], (own[1:] != own[:-1]) | (h[1:] != h[:-1])])
+    own, h, text, line = own[new], h[new], text[new], line[new]
+    at = np.flatnonzero(np.diff(own, prepend=-1))
+    return text[at], line[at], np.diff(np.append(at, len(h))), at, h
+
+
+def digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two independent sums over the words of each set."""
+    add = lambda x: np.add.reduceat(x, at)
+    return add(wordhash.mix(h + np.uint64(0x51ED270B0A1F39C1))), add(wordhash.mix(h ^ np.uint64(0xA3B195354A39B70D)))
+
+
+def parities(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 32 bits of parity of each set: two sets differ in at least as many words as in bits of either."""
+    one, two = np.uint64(1), np.uint32(1)
+    return np.bitwise_xor.reduceat(one << (h & np.uint64(63)), at), np.bitwise_xor.reduceat(two << (h >> np.uint64(6) & np.uint64(31)).astype(np.uint32), at)
+
+
+def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Words that sets of n and m words must share."""
+    return np.ceil((n + m) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9).astype(np.int64)
+
+
+def prefixes(size: np.ndarray, h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(set, word, rest, level) of the indexed words of the sets."""
+    of = np.repeat(np.arange(len(size), dtype=np.uint64), size)
+    key = of << np.uint64(40) | levels[(h & np.uint64(TABLE - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
+    key.sort()
+    starts = np.cumsum(size) - size
+    length = np.where(size >= LEAST_JOINED, size - np.ceil(SIMILARITY * size - 1e-9).astype(np.int64) + 1, 0)
+    place = np.arange(len(h)) - np.repeat(starts, size)
+    kept = np.flatnonzero((place < np.repeat(length, size)) & (key >> np.uint64(32) & np.uint64(255) > 1))
+    key, place = key[kept], place[kept]
+    of = (key >> np.uint64(40)).astype(np.int64)
+    return of, key.astype(np.uint32), size[of] - place, (key >> np.uint64(32) & np.uint64(255)).astype(np.uint8)
+
+
+def _dealt(rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """(part, packed rows, their places) of each part."""
+    order = np.argsort(part, kind="stable")
+    rows, part = rows[order], part[order]
+    ends = np.flatnonzero(np.diff(part, append=-1)) + 1
+    lo = 0
+    for hi in ends.tolist():
+        yield int(part[lo]), packed(rows[lo:hi]), order[lo:hi]
+        lo = hi
+
+
+def entries(size: np.ndarray, h: np.ndarray, at: np.ndarray, name: tuple, ident: np.ndarray, levels: np.ndarray, words=None, asked=None) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of sets, and the set of each. words: only these words; asked: which sets look for partners (default: all)."""
+    of, word, rest, level = prefixes(size, h, levels)
+    if words is not None:
+        here = marked(words, word.astype(np.int64))
+        of, word, rest, level = of[here], word[here], rest[here], level[here]
+    near, more = parities(h, at)
+    rows = np.zeros(len(of), ENTRY)
+    rows["word"], rows["rest"], rows["level"], rows["size"] = word, rest, level, size[of]
+    rows["at"], rows["key"], rows["line"] = (x[of] for x in name)
+    rows["id"], rows["near"], rows["more"] = ident[of].astype(np.uint32), near[of], more[of]
+    looks = np.ones(len(of), bool) if asked is None else asked[of]
+    rows["role"] = np.where(looks, MET | LOOKS, MET)
+    blocks = _blocks(level)
+    if len(many := np.flatnonzero(blocks > 1)):
+        own = (ident[of[many]] >> np.uint64(32)) % blocks[many].astype(np.uint64)
+        rows["block"][many] = own
+        again = np.repeat(many[looks[many]], blocks[many[looks[many]]])
+        visits = rows[again]
+        visits["block"] = np.arange(len(again)) - np.repeat(np.cumsum(n := blocks[many[looks[many]]]) - n, n)
+        away = visits["block"] != rows["block"][again]
+        visits["role"] = LOOKS
+        rows, of = np.concatenate([rows, visits[away]]), np.concatenate([of, of[again[away]]])
+    return rows, of
+
+
+def partners(rows: np.ndarray, every: bool = False) -> tuple[np.ndarray, ...]:
+    """(rows in order, their places before, later, earlier, number of partners).
+
+    later and earlier are places in the ordered rows: each looking line with its best partner, or with every one.
+    """
+    order = np.lexsort((rows["line"], rows["key"], rows["at"]))
+    rows = rows[order]
+    group = rows["word"].astype(np.uint64) << np.uint64(16) | rows["block"]
+    # Of equal sets the first line stays for all: a copy need not look, as its digest tells that it is late.
+    same = wordhash.mix(wordhash.mix(group) + wordhash.mix(rows["near"] + (rows["id"].astype(np.uint64) << np.uint64(32) | rows["size"])))
+    by = np.argsort(same, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], same[by][1:] != same[by][:-1]])[: len(by)])
+    copies = np.diff(np.append(first, len(by)))
+    place = np.sort(by[first])
+    copies = copies[np.argsort(by[first])]
+    place, copies = place[at := np.argsort(group[place], kind="stable")], copies[at]
+    rows, order, group = rows[place], order[place], group[place]
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])[: len(group)])
+    start = np.repeat(start, np.diff(np.append(start, len(group))))
+    n = np.arange(len(rows)) - start  # earlier entries of the same word
+    looks = np.flatnonzero((rows["role"] & LOOKS > 0) & (n > 0))
+    size, rest, met = rows["size"].astype(np.int64), rows["rest"].astype(np.int64), rows["role"] & MET > 0
+    near, more = rows["near"].copy(), rows["more"].copy()
+    later, earlier, counts = [], [], []
+    total, lo = np.cumsum(n[looks]), 0
+    while lo < len(looks):
+        hi = max(lo + 1, int(np.searchsorted(total, (total[lo - 1] if lo else 0) + AT_ONCE, "right")))
+        own = looks[lo:hi]
+        lo = hi
+        j = np.repeat(own, n[own])
+        i = np.arange(len(j)) - np.repeat(np.cumsum(n[own]) - n[own], n[own]) + start[j]
+        a, b = size[i], size[j]
+        fit = np.flatnonzero((a * 5 >= b * 4) & (b * 5 >= a * 4) & met[i])
+        i, j, a, b = i[fit], j[fit], a[fit], b[fit]
+        need = needed(a, b)
+        far = np.maximum(np.bitwise_count(near[i] ^ near[j]), np.bitwise_count(more[i] ^ more[j]))
+        fit = np.flatnonzero((np.minimum(rest[i], rest[j]) >= need) & (far <= a + b - 2 * need))
+        i, j, far = i[fit], j[fit], far[fit]
+        if not every and len(j):
+            best = np.lexsort((i, -copies[i], far, j))
+            i, j = i[best], j[best]
+            ends = np.flatnonzero(np.diff(j, prepend=-1))
+            counts.append(np.diff(np.append(ends, len(j))))
+            i, j = i[ends], j[ends]
+        later.append(j)
+        earlier.append(i)
+    flat = lambda x: np.concatenate([np.zeros(0, np.int64), *x])
+    return rows, order, flat(later), flat(earlier), flat(counts)
+
+
+def settled(rows: np.ndarray, sets: np.ndarray) -> np.ndarray:
+    """The looking rows that have a similar earlier set; sets: the word hashes of all rows in order."""
+    ends = np.cumsum(rows["size"].astype(np.int64))
+    rows, order, later, earlier, _ = partners(rows, every=True)
+    ends, size = ends[order], rows["size"].astype(np.int64)
+    own = lambda i: sets[ends[i] - size[i] : ends[i]]
+    # 512 bits of parity leave few pairs that are not similar.
+    used = np.unique(np.concatenate([later, earlier]))
+    wide = np.zeros((len(rows), 8), np.uint64)
+    for i in used.tolist():
+        h = own(i)
+        np.bitwise_xor.at(wide[i], (h >> np.uint64(12) & np.uint64(7)).astype(np.int64), np.uint64(1) << (h >> np.uint64(15) & np.uint64(63)))
+    found = np.zeros(len(rows), bool)
+    for lo in range(0, len(later), AT_ONCE // 8):
+        j, i = later[lo : lo + AT_ONCE // 8], earlier[lo : lo + AT_ONCE // 8]
+        need = needed(size[i], size[j])
+        fit = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= size[i] + size[j] - 2 * need
+        for y, x, k in zip(j[fit].tolist(), i[fit].tolist(), need[fit].tolist(), strict=True):
+            if not found[y]:
+                found[y] = len(np.intersect1d(own(y), own(x), assume_unique=True)) >= k
+    return rows[found]
+
+
+def _code(at: Column, key: Column, line: Column) -> Column:
+    low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
+    n = low(at) * 40_499 + low(F.shiftrightunsigned(at, 32)) * 40_487 + key * 40_507 + line.cast("long") * 40_503
+    return n.bitwiseXOR(F.shiftright(n, 17))
+
+
+def _codes(at: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """As _code."""
+    low = np.int64((1 << 32) - 1)
+    n = (at & low) * 40_499 + (at >> 32 & low) * 40_487 + key.astype(np.int64) * 40_507 + line.astype(np.int64) * 40_503
+    return n ^ n >> 17
+
+
+def _gather(shared, n_parts: int):
+    """(part, packed rows, packed words) of the index: entries by word, then equal sets by digest.
+
+    shared: the levels and, in a further round, bitmaps of the lines that look and of the words that count; then
+    the words of the sets go along and digests do not.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        levels = np.frombuffer(shared.value, np.uint8)
+        table, asked, wanted = shared.value
+        levels = np.frombuffer(table, np.uint8)
         for batch in batches:
-            at, numbers, digests, sizes, prefixes, counts, sketches = [], [], [], [], [], [], []
-            for i, text in enumerate(batch.column(2).to_pylist()):
-                if own := list(_lines(text)):
-                    entries, n, sketch = _prefixes([w for _, w in own], levels)
-                    prefixes.append(entries)
-                    counts.append(n)
-                    sketches.append(sketch)
-                    for number, words in own:
-                        at.append(i)
-                        numbers.append(number)
-                        digests.append(hashlib.blake2b(b" ".join(sorted(words)), digest_size=16).digest())
-                        sizes.append(len(words))
-            take = pa.array(at, pa.int64())
-            ends = pa.array(np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else [0], pa.int32())
-            flat = pa.array(np.concatenate(prefixes) if prefixes else [], pa.int64())
-            both = np.concatenate(sketches) if sketches else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(take), batch.column(1).take(take), pa.array(numbers, pa.int32()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()),
-                    pa.array(both), pa.ListArray.from_arrays(ends, flat),
-                ],
-                ["doc_id", "key", "line", "digest", "size", "sketch", "prefix"],
-            )
-
-    return texts.mapInArrow(run, f"doc_id {kind}, key long, line int, digest binary, size int, sketch long, prefix array<long>")
-
-
-def _resembling(pairs: DataFrame, sets: DataFrame, texts: DataFrame) -> DataFrame:
-    """(sid, key, line) of the later set of each pair (a, b) of set ids that is similar."""
-    of = lambda x: sets.select(F.col("sid").alias(x), F.col("first").alias(f"f{x}"))
-    near = pairs.join(of("a"), "a").join(of("b"), "b")
-    first = F.col("fa") < F.col("fb")
-    near = near.select(F.when(first, F.col("fa")).otherwise(F.col("fb")).alias("x"), F.when(first, F.col("fb")).otherwise(F.col("fa")).alias("y"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("sid"))
-    near = stage(near.select(F.col("x.key").alias("kx"), F.col("x.line").alias("lx"), F.col("y.key").alias("ky"), F.col("y.line").alias("ly"), "sid"), "line-near")
-    wanted = stage(near.select("kx", "lx").union(near.select("ky", "ly")).distinct().toDF("key", "line"), "line-wanted")
-    may = marked_by(wanted, "key")
-    asked = wanted.groupBy("key").agg(F.sort_array(F.collect_list("line")).alias("lines"))  # lines of one document
+            ats, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for lo, texts in wordhash.parts(batch.column(2), size=32 * wordhash.PIECE):
+                text, line, size, at, h = line_sets(texts)
+                if not len(size):
+                    continue
+                name = ats[lo + text], keys[lo + text], line
+                one, two = digests(h, at)
+                looks = None if asked is None else marked(asked, _codes(*name))
+                rows, of = entries(size, h, at, name, one, levels, wanted, looks)
+                part = (wordhash.mix(rows["word"].astype(np.uint64) << np.uint64(16) | rows["block"]) % np.uint64(n_parts)).astype(np.int32)
+                if asked is None:
+                    out = [(p, x, None) for p, x, _ in _dealt(rows, part)]
+                    own = np.zeros(len(size), SAME)
+                    own["digest"], own["other"], own["at"], own["key"], own["line"] = one, two, *name
+                    out += [(n_parts + p, x, None) for p, x, _ in _dealt(own, (one % np.uint64(n_parts)).astype(np.int32))]
+                else:
+                    words = lambda k, of=of, at=at, size=size, h=h: np.concatenate([h[at[i] : at[i] + size[i]] for i in of[k].tolist()]).tobytes()
+                    out = [(p, x, words(k)) for p, x, k in _dealt(rows, part)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "rows", "words"])
+
+    return run
+
+
+_MET = "late boolean, at long, key long, line int, xat long, xkey long, xline int, n long, word long"
+
+
+def _named(late: bool, rows: np.ndarray, x: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
+    of = lambda r, c, kind: pa.nulls(len(rows), kind) if r is None else pa.array(r[c].astype(np.int64)).cast(kind)
+    columns = [pa.array(np.full(len(rows), late)), *(of(r, c, k) for r in (rows, x) for c, k in (("at", pa.int64()), ("key", pa.int64()), ("line", pa.int32())))]
+    columns += [pa.nulls(len(rows), pa.int64()) if n is None else pa.array(n), pa.nulls(len(rows), pa.int64()) if x is None else pa.array(rows["word"].astype(np.int64))]
+    return pa.RecordBatch.from_arrays(columns, ["late", "at", "key", "line", "xat", "xkey", "xline", "n", "word"])
+
+
+def _meet(n_parts: int):
+    """What the rows of each part tell: lines that are late, and lines with the best partner to verify."""
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for key, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                own = text.split("\n")
-                rows += [(key, i, own[i]) for i in lines]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int32(), pa.string()))], ["key", "line", "words"])
+            for k in range(batch.num_rows):
+                part, blobs, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                if part >= n_parts:
+                    rows = np.unique(np.concatenate([unpacked(x, SAME) for x in blobs]))  # in order; equal rows are one
+                    yield _named(True, rows[1:][(rows["digest"][1:] == rows["digest"][:-1]) & (rows["other"][1:] == rows["other"][:-1])])
+                    continue
+                rows = np.concatenate([unpacked(x, ENTRY) for x in blobs])
+                if words:
+                    yield _named(True, settled(rows, np.frombuffer(b"".join(words), np.uint64)))
+                else:
+                    rows, _, later, earlier, n = partners(rows)
+                    yield _named(False, rows[later], rows[earlier], n)
 
-    found = texts.where(may("key")).select("key", "text").join(asked, "key").mapInArrow(cut, "key long, line int, words string")
-    found = stage(found.dropDuplicates(["key", "line"]), "line-words")
-    met = near.join(found.toDF("kx", "lx", "wx"), ["kx", "lx"]).join(found.toDF("ky", "ly", "wy"), ["ky", "ly"]).select("sid", "ky", "ly", "wx", "wy")
+    return run
 
-    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
-                a, b = set(x.encode("utf-8", "replace").lower().split()), set(y.encode("utf-8", "replace").lower().split())
-                both = len(a & b)
-                keep.append(both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9)
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:3]], ["sid", "key", "line"])
 
-    return stage(met.mapInArrow(verify, "sid long, key long, line int").distinct(), "line-matched")
+def _index(texts: DataFrame, shared, n_parts: int) -> DataFrame:
+    # A part holds the entries of about PART_WORDS words of the texts; those of a frequent word are dealt in blocks.
+    gathered = texts.mapInArrow(_gather(shared, n_parts), "part int, rows binary, words binary").groupBy("part").agg(F.collect_list("rows").alias("rows"), F.collect_list("words").alias("words"))
+    return gathered.mapInArrow(_meet(n_parts), _MET)
+
+
+def _line_texts(texts: DataFrame, wanted: bytes) -> DataFrame:
+    """(at, key, line, words) of the lines that a bitmap of their codes marks."""
+    shared = texts.sparkSession.sparkContext.broadcast(wanted)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ats, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = wordhash.raw(batch.column(2))
+            breaks = np.flatnonzero(data == 10)
+            at = np.searchsorted(offsets, breaks, "right") - 1
+            texts = np.concatenate([np.arange(len(ats)), at])
+            starts, ends = np.concatenate([offsets[:-1], breaks + 1]), np.concatenate([breaks, offsets[1:]])
+            order = np.lexsort((starts, texts))
+            ends = ends[np.lexsort((ends, np.concatenate([at, np.arange(len(ats))])))]
+            text, starts = texts[order], starts[order]
+            line = np.arange(len(text)) - np.searchsorted(text, text)
+            own = np.flatnonzero(marked(shared.value, _codes(ats[text], keys[text], line)))
+            text, line = text[own], line[own]
+            found = [data[a:b].tobytes() for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(ats[text]), pa.array(keys[text]), pa.array(line.astype(np.int32)), pa.array(found, pa.binary())], ["at", "key", "line", "words"])
+
+    return texts.mapInArrow(run, "at long, key long, line int, words binary")
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+            a, b = set(x.lower().split()), set(y.lower().split())
+            both = len(a & b)
+            found.append(both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.bool_())], ["at", "key", "line", "more", "late"])
 
 
 def late_lines(docs: DataFrame) -> DataFrame:
-    """(key, line) of every line that equals or resembles an earlier one; key as in _keyed."""
-    texts = _keyed(docs).select("doc_id", F.col("_key").alias("key"), whole_text().alias("text"))
-    lines = _sets(texts, rarity(texts))
-    at = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key", "line")
-    same = lines.groupBy("digest").agg(F.min(at).alias("first"), *(F.first(c).alias(c) for c in ("size", "sketch", "prefix")))
-    sets = stage(same.withColumn("sid", F.monotonically_increasing_id()), "line-sets")
-
-    def entries(rows: DataFrame) -> DataFrame:
-        """word, sid, sketch and the packed size, position and settled mark of each index entry."""
-        p = F.col("p")
-        packed = F.shiftleft(F.col("size").cast("long"), 32) + F.shiftleft(F.shiftright(p, 32).bitwiseAND(F.lit((1 << 30) - 1)), 1) + F.col("settled").cast("long")
-        return rows.select("sid", "size", "sketch", "settled", F.explode("prefix").alias("p")).select(F.expr("p & 4294967295L").alias("word"), "sid", "sketch", packed.alias("packed"), (p >= 1 << 62).alias("frequent"))
-
-    def fit(x: str, y: str):
-        """Length and positional filters, and the bound on the difference that the sketches give."""
-        n, m = (F.shiftright(F.col(f"{s}.packed"), 32) for s in (x, y))
-        i, j = (F.shiftright(F.col(f"{s}.packed"), 1).bitwiseAND(F.lit((1 << 31) - 1)) for s in (x, y))
-        need = F.ceil((n + m) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
-        apart = F.bit_count(F.col(f"{x}.sketch").bitwiseXOR(F.col(f"{y}.sketch")))
-        return (n >= SIMILARITY * m - 1e-9) & (m >= SIMILARITY * n - 1e-9) & (F.least(n - i, m - j) >= need) & (apart <= n + m - 2 * need)
-
-    # Sets with frequent words meet the first set of each: large groups are settled without being expanded.
-    frequent = entries(sets.withColumn("settled", F.lit(False))).where("frequent").select("word", "sid", "sketch", "packed")
-    heads = stage(frequent.groupBy("word").agg(F.min(F.struct("sid", "sketch", "packed")).alias("h"), F.count(F.lit(1)).alias("n")).where("n > 1").select("word", "h"), "line-heads")
-    star = frequent.alias("e").join(heads.alias("x"), "word").where(F.col("e.sid") != F.col("x.h.sid")).where(fit("e", "x.h"))
-    done = _resembling(star.select(F.col("x.h.sid").alias("a"), F.col("e.sid").alias("b")).distinct(), sets, texts)
-    # Then all sets meet by word, but for pairs of settled ones.
-    known = small(done.select("sid", F.lit(True).alias("settled")).distinct(), MAX_BROADCAST)
-    e = entries(sets.join(known, "sid", "left").withColumn("settled", F.coalesce("settled", F.lit(False)))).select("word", "sid", "sketch", "packed")
-    pairs = e.alias("x").join(e.alias("y"), F.col("x.word") == F.col("y.word")).where((F.col("x.sid") < F.col("y.sid")) & (F.col("x.packed").bitwiseAND(F.col("y.packed")).bitwiseAND(F.lit(1)) == 0)).where(fit("x", "y"))
-    more = _resembling(pairs.select(F.col("x.sid").alias("a"), F.col("y.sid").alias("b")).distinct(), sets, texts)
-    # All lines but the first of an equal set, and the first lines of matched sets.
-    firsts = sets.select("digest", F.col("first.key").alias("fk"), F.col("first.line").alias("fl"))
-    equal = lines.select("key", "line", "digest").join(firsts, "digest").where("key <> fk OR line <> fl").select("key", "line")
-    return equal.unionByName(done.select("key", "line")).unionByName(more.select("key", "line"))
+    """(at, key, line) of every line that equals or resembles an earlier one; at and key as in _keyed."""
+    names = _keyed(docs)
+    texts = docs.select(names["_at"].alias("at"), names["_key"].alias("key"), whole_text().alias("text"))
+    name = ["at", "key", "line"]
+    levels, total = rarity(texts)
+    n_parts = max(LEAST_PARTS, total // PART_WORDS)
+    context = docs.sparkSession.sparkContext
+    met = stage(_index(texts, context.broadcast((levels, None, None)), n_parts), "line-met")
+    late = met.where("late").select(*name)
+    asked = met.where("NOT late").select(*name, "xat", "xkey", "xline", "n", "word")
+    if asked.isEmpty():
+        return late.distinct()
+    # The partner that most words of the line name first is verified.
+    votes = asked.groupBy(*name, "xat", "xkey", "xline").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"))
+    best = votes.groupBy(*name).agg(F.max(F.struct("votes", "xat", "xkey", "xline")).alias("x"), ((F.max("n") > 1) | (F.count(F.lit(1)) > 1)).alias("more"))
+    pairs = stage(best.select(*name, "x.xat", "x.xkey", "x.xline", "more"), "line-pairs")
+    ends = pairs.select(*name).union(pairs.select("xat", "xkey", "xline"))
+    found = stage(_line_texts(texts, bitmap_of(ends, _code(*map(F.col, name)))).dropDuplicates(name), "line-words")
+    of = lambda x, w: found.select(*(F.col(c).alias(x + c) for c in name), F.col("words").alias(w))
+    both = pairs.join(of("", "a"), name).join(of("x", "b"), ["xat", "xkey", "xline"]).select(*name, "more", "a", "b")
+    checked = stage(both.mapInArrow(_verify, "at long, key long, line int, more boolean, late boolean"), "line-checked")
+    late = late.unionByName(checked.where("late").select(*name))
+    # Lines whose best partner failed and that have others meet all of these, words and all.
+    left = checked.where("more AND NOT late").select(*name)
+    if not left.isEmpty():
+        words = asked.join(left, name, "left_semi")
+        shared = context.broadcast((levels, bitmap_of(left, _code(*map(F.col, name))), bitmap_of(words, F.col("word"))))
+        late = late.unionByName(stage(_index(texts, shared, n_parts), "line-rest").select(*name))
+    return late.distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the remaining text, n_lines and n_removed; a document of which no word is left stays as a row."""
-    names = ("n_lines", "n_removed", "_key")
-    kept = [c for c in docs.columns if c not in names]
-    late = stage(late_lines(docs).groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("late")), "line-late")  # lines of one document
-    keyed = _keyed(docs.select(*kept))
-    may = marked_by(late, "key")
-    marked = keyed.withColumn("_may", may("_key"))
-    hit = marked.where("_may").join(late, F.col("_key") == F.col("key"), "left")
-    rows = hit.unionByName(marked.where("NOT _may").withColumns({"key": F.col("_key"), "late": F.lit(None).cast("array<int>")}))
-    split = F.split(F.col("text"), "\n", -1)
-    left = F.array_join(F.filter(split, lambda x, i: ~F.array_contains(F.col("late"), i)), "\n")
-    text = F.when(F.col("late").isNull(), F.col("text")).otherwise(left)
-    rows = rows.withColumns({"n_lines": F.size(F.split(whole_text(), "\n", -1)).cast("long"), "n_removed": F.coalesce(F.size("late"), F.lit(0)).cast("long"), "text": text})
+    kept = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    docs = docs.select(*kept)
+    at, key, late, may = fresh(kept, "_at", "_key", "_late", "_may")
+    found = stage(late_lines(docs).groupBy("at", "key").agg(F.sort_array(F.collect_set("line")).alias(late)), "line-late").withColumnsRenamed({"at": at, "key": key})  # lines of one document
+    names = _keyed(docs)
+    rows = docs.withColumns({at: names["_at"], key: names["_key"], "n_lines": F.size(F.split(whole_text(), "\n", -1)).cast("long")})
+    rows = rows.withColumn(may, marked_by(found, key)(key))
+    place = kept.index("text")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lines = batch.column(place).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+            for i, gone in enumerate(lines):
+                if gone:
+                    own = texts[i].split("\n")
+                    for k in reversed(gone):
+                        own[k] = None
+                    texts[i] = "\n".join(x for x in own if x is not None)
+            columns = batch.columns[:-2]
+            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            yield pa.RecordBatch.from_arrays([*columns, batch.columns[-1]], names=[*batch.schema.names[:-2], "n_removed"])
+
+    hit = rows.where(F.col(may)).join(found, [at, key], "left").select(*kept, "n_lines", late, F.greatest(F.size(late), F.lit(0)).cast("long").alias("n_removed"))
+    schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_lines long, n_removed long").fields])
+    done = hit.mapInArrow(cut, schema).unionByName(rows.where(~F.col(may)).select(*kept, "n_lines", F.lit(0).cast("long").alias("n_removed")))
     if "n_chars" in kept:
-        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return rows.select(*kept, "n_lines", "n_removed")
+        done = done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return done.select(*kept, "n_lines", "n_removed")
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,16 @@
 """Line dedup, near-duplicates, passages, mixing and the pipeline against brute force."""
 
 import random
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from specweave.llm import line_dedup, mix_sources, near_dedup, substring_dedup
+from specweave.llm import line_dedup, mix_sources, near_dedup, substring_dedup, wordhash
 from specweave.llm.graph import components
 
 RNG = random.Random(11)
@@ -117,6 +120,59 @@ def test_removed_lines_match_brute_force(make):
     assert line_dedup.dedup_lines(make(rows).where("false")).count() == 0
 
 
+def indexed(sets, blocks=None, asked=None):
+    """Index entries of sets of words, line k of document 0 each, and their words."""
+    h = [np.sort(np.array([zlib.crc32(w.encode()) * 0x9E3779B97F4A7C15 % 2**64 for w in s], np.uint64)) for s in sets]
+    size, flat = np.array([len(x) for x in h]), np.concatenate(h)
+    at = np.cumsum(size) - size
+    zero, line = np.zeros(len(sets), np.int64), np.arange(len(sets))
+    levels = np.full(line_dedup.TABLE, blocks or 2, np.uint8)
+    rows, of = line_dedup.entries(size, flat, at, (zero, zero, line), line_dedup.digests(flat, at)[0], levels, asked=asked)
+    return rows, np.concatenate([h[i] for i in of.tolist()])
+
+
+@pytest.mark.parametrize("blocks", [None, 255])
+def test_index_finds_every_line_that_has_an_earlier_match(blocks):
+    rng = random.Random(21)
+    pool = [words(rng.randint(5, 40), rng) for _ in range(12)]
+    sets = list(dict.fromkeys(frozenset(edited(rng.choice(pool), rng.randint(0, 6), rng)) for _ in range(400)))
+    want = {k for k, s in enumerate(sets) if any(len(s & o) >= 0.8 * len(s | o) - 1e-9 for o in sets[:k])}
+    rows, flat = indexed(sets, blocks)
+    assert blocks is None or rows["block"].max() > 10
+    ordered, _, later, earlier, n = line_dedup.partners(rows)
+    found = {int(x) for x in ordered["line"][later]}
+    assert want <= found and (ordered["line"][earlier] < ordered["line"][later]).all() and (n >= 1).all()
+    got = line_dedup.settled(rows, flat)
+    assert {int(x) for x in got["line"]} == want
+    some = np.array([k % 3 == 0 for k in range(len(sets))])
+    rows, flat = indexed(sets, blocks, asked=some)
+    assert {int(x) for x in line_dedup.settled(rows, flat)["line"]} == {k for k in want if k % 3 == 0}
+    assert (line_dedup.unpacked(line_dedup.packed(rows), line_dedup.ENTRY) == rows).all()
+
+
+def test_line_dedup_edges(make):
+    long = "\n".join(f"line {i} of a very long text with {i * 7} and {i * 13} words" for i in range(30_000))
+    rows = [(None, "one two three four five"), (1, long), (2, "one two three four five\n\n x"), (2, "one two three four five\n\n x"), (2, "one two three four five"), (3, None)]
+    docs = make(rows).withColumns({"at": F.lit(1), "key": F.lit("k"), "late": F.lit(2.5), "_key": F.lit("u"), "n_removed": F.lit("clash")})
+    got = line_dedup.dedup_lines(docs).collect()
+    assert len(got) == 6 and all((r["at"], r["key"], r["late"], r["_key"]) == (1, "k", 2.5, "u") for r in got)
+    by = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["n_lines"], r["n_removed"], r["text"] if r["doc_id"] != 1 else "") for r in got)
+    # Of the rows with id 2 the pair of equal ones is one document; the order between it and the other is by hash.
+    gone = [x[3] for x in by if x[1] == 2]
+    assert sorted(gone) in ([0, 0, 1], [0, 1, 1]) and gone.count(1) in (1, 2)
+    assert by[-1] == (True, 0, 1, 1, "") and next(r for r in got if r["doc_id"] == 3)["text"] is None
+
+
+def test_word_hashes_follow_the_words():
+    texts = ["a b", "", "b", None, " x\ny  Z\n\nz", "q" * (wordhash.PIECE + 5) + " Z " + "q" * 9, "Ünï Ünï\x0bc", "w " * 70_000]
+    seen = {}
+    for lo, part in wordhash.parts(pa.array(texts), size=50):
+        for i, got in enumerate(wordhash.words(part)):
+            own = (texts[lo + i] or "").encode().lower().split()
+            assert len(own) == len(got) and all(seen.setdefault(a, b) == b for a, b in zip(own, got.tolist(), strict=True))
+    assert len(set(seen.values())) == len(seen) == 10
+
+
 def test_chains_score_like_the_quadratic_recurrence():
     rng = random.Random(14)
     for _ in range(40):
