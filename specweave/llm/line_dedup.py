@@ -44,12 +44,13 @@ TABLE, SLICE = 1 << 24, 1 << 16
 GROUPS = 256
 #: Words of the texts for each part of the index, and parts at least.
 PART_WORDS, LEAST_PARTS = 8_000_000, 64
-#: Entries of one word in a block, on average; a word with more has several blocks.
-BLOCK = 50_000
+#: Entries of one word in a block, on average; a word with more has several blocks. How many is estimated from the
+#: entries of one document in SAMPLED, which sets how work is dealt but no result.
+BLOCK, SAMPLED = 50_000, 64
 #: Pairs looked at at once.
 AT_ONCE = 1 << 21
 #: An index entry, 44 bytes. at, key and line name a line; rest counts the words from this one on.
-ENTRY = np.dtype([("word", "<u4"), ("block", "<u2"), ("role", "u1"), ("level", "u1"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4"), ("size", "<u4"), ("rest", "<u4"), ("id", "<u4"), ("near", "<u8"), ("more", "<u4")])
+ENTRY = np.dtype([("word", "<u4"), ("block", "<u2"), ("role", "<u2"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4"), ("size", "<u4"), ("rest", "<u4"), ("id", "<u4"), ("near", "<u8"), ("more", "<u4")])
 #: Roles of an entry: it is met by later lines, it looks for earlier ones.
 MET, LOOKS = 1, 2
 #: An equal-set entry.
@@ -72,10 +73,9 @@ def _level(counts: np.ndarray) -> np.ndarray:
     return np.where(c <= 128, c, np.minimum(255, 128 + np.maximum(1, 4 * np.log2(c / 128)))).astype(np.uint8)
 
 
-def _blocks(level: np.ndarray) -> np.ndarray:
-    """Blocks of a word of this level: one for each BLOCK occurrences."""
-    n = np.where(level <= 128, level, 128 * 2 ** ((level.astype(np.float64) - 127) / 4))
-    return np.minimum(np.ceil(n / BLOCK), 65_535).astype(np.int64)
+def _is_frequent(level: np.ndarray) -> np.ndarray:
+    """Whether words of this level may have more than BLOCK entries."""
+    return 128 * 2 ** ((level.astype(np.float64) - 127) / 4) > BLOCK
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -184,7 +184,7 @@ def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
 
 
 def prefixes(size: np.ndarray, h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(set, word, rest, level) of the indexed words of the sets."""
+    """(set, word, words from it on, level) of the indexed words of the sets."""
     of = np.repeat(np.arange(len(size), dtype=np.uint64), size)
     key = of << np.uint64(40) | levels[(h & np.uint64(TABLE - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(32) | h >> np.uint64(32)
     key.sort()
@@ -208,32 +208,59 @@ def _dealt(rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes, np.
         lo = hi
 
 
-def entries(size: np.ndarray, h: np.ndarray, at: np.ndarray, name: tuple, ident: np.ndarray, levels: np.ndarray, words=None, asked=None) -> tuple[np.ndarray, np.ndarray]:
-    """The index entries of sets, and the set of each. words: only these words; asked: which sets look for partners (default: all)."""
-    of, word, rest, level = prefixes(size, h, levels)
+def entries(size: np.ndarray, h: np.ndarray, at: np.ndarray, name: tuple, ident: np.ndarray, levels: np.ndarray, blocks: np.ndarray, words=None, asked=None) -> tuple[np.ndarray, np.ndarray]:
+    """The index entries of sets, and the set of each.
+
+    blocks: (words in order, blocks) of the words with several; words: only these; asked: which sets look for
+    partners (default: all).
+    """
+    of, word, rest, _ = prefixes(size, h, levels)
     if words is not None:
         here = marked(words, word.astype(np.int64))
-        of, word, rest, level = of[here], word[here], rest[here], level[here]
+        of, word, rest = of[here], word[here], rest[here]
     near, more = parities(h, at)
     rows = np.zeros(len(of), ENTRY)
-    rows["word"], rows["rest"], rows["level"], rows["size"] = word, rest, level, size[of]
+    rows["word"], rows["rest"], rows["size"] = word, rest, size[of]
     rows["at"], rows["key"], rows["line"] = (x[of] for x in name)
     rows["id"], rows["near"], rows["more"] = ident[of].astype(np.uint32), near[of], more[of]
     looks = np.ones(len(of), bool) if asked is None else asked[of]
     rows["role"] = np.where(looks, MET | LOOKS, MET)
-    blocks = _blocks(level)
-    if len(many := np.flatnonzero(blocks > 1)):
-        own = (ident[of[many]] >> np.uint64(32)) % blocks[many].astype(np.uint64)
-        rows["block"][many] = own
-        again = np.repeat(many[looks[many]], blocks[many[looks[many]]])
+    if blocks.shape[1]:
+        k = np.minimum(np.searchsorted(blocks[0], word), blocks.shape[1] - 1)
+        n = np.where(blocks[0][k] == word, blocks[1][k], 1).astype(np.int64)
+        many = np.flatnonzero(n > 1)
+        rows["block"][many] = (ident[of[many]] >> np.uint64(32)) % n[many].astype(np.uint64)
+        many = many[looks[many]]
+        n, again = n[many], np.repeat(many, n[many])
         visits = rows[again]
-        visits["block"] = np.arange(len(again)) - np.repeat(np.cumsum(n := blocks[many[looks[many]]]) - n, n)
+        visits["block"] = np.arange(len(again)) - np.repeat(np.cumsum(n) - n, n)
         away = visits["block"] != rows["block"][again]
         visits["role"] = LOOKS
         rows, of = np.concatenate([rows, visits[away]]), np.concatenate([of, of[again[away]]])
     return rows, of
 
 
+def frequent(texts: DataFrame, levels: bytes) -> np.ndarray:
+    """(words in order, blocks) of the words with more than BLOCK entries: at most one for each BLOCK entries."""
+    if not _is_frequent(np.frombuffer(levels, np.uint8)).any():
+        return np.zeros((2, 0), np.uint32)
+    shared = texts.sparkSession.sparkContext.broadcast(levels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.frombuffer(shared.value, np.uint8)
+        for batch in batches:
+            for _, part in wordhash.parts(batch.column(0)):
+                *_, size, _, h = line_sets(part)
+                _, word, _, level = prefixes(size, h, table)
+                word, n = np.unique(word[_is_frequent(level)], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(word.astype(np.int64)), pa.array(n)], ["word", "n"])
+
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "word long, n long")
+    found = sample.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") * SAMPLED > BLOCK).orderBy("word").toArrow()
+    n = np.minimum(-(-np.array(found["n"], np.int64) * SAMPLED // BLOCK), 65_535)
+    return np.stack([np.array(found["word"], np.int64), n]).astype(np.uint32)
+
+
 def partners(rows: np.ndarray, every: bool = False) -> tuple[np.ndarray, ...]:
     """(rows in order, their places before, later, earlier, number of partners).
 
@@ -323,12 +350,12 @@ def _codes(at: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
 def _gather(shared, n_parts: int):
     """(part, packed rows, packed words) of the index: entries by word, then equal sets by digest.
 
-    shared: the levels and, in a further round, bitmaps of the lines that look and of the words that count; then
-    the words of the sets go along and digests do not.
+    shared: the levels, the blocks and, in a further round, bitmaps of the lines that look and of the words that
+    count; then the words of the sets go along and digests do not.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, asked, wanted = shared.value
+        table, blocks, asked, wanted = shared.value
         levels = np.frombuffer(table, np.uint8)
         for batch in batches:
             ats, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -339,7 +366,7 @@ def _gather(shared, n_parts: int):
                 name = ats[lo + text], keys[lo + text], line
                 one, two = digests(h, at)
                 looks = None if asked is None else marked(asked, _codes(*name))
-                rows, of = entries(size, h, at, name, one, levels, wanted, looks)
+                rows, of = entries(size, h, at, name, one, levels, blocks, wanted, looks)
                 part = (wordhash.mix(rows["word"].astype(np.uint64) << np.uint64(16) | rows["block"]) % np.uint64(n_parts)).astype(np.int32)
                 if asked is None:
                     out = [(p, x, None) for p, x, _ in _dealt(rows, part)]
@@ -432,8 +459,8 @@ def late_lines(docs: DataFrame) -> DataFrame:
     name = ["at", "key", "line"]
     levels, total = rarity(texts)
     n_parts = max(LEAST_PARTS, total // PART_WORDS)
-    context = docs.sparkSession.sparkContext
-    met = stage(_index(texts, context.broadcast((levels, None, None)), n_parts), "line-met")
+    blocks, context = frequent(texts, levels), docs.sparkSession.sparkContext
+    met = stage(_index(texts, context.broadcast((levels, blocks, None, None)), n_parts), "line-met")
     late = met.where("late").select(*name)
     asked = met.where("NOT late").select(*name, "xat", "xkey", "xline", "n", "word")
     if asked.isEmpty():
@@ -452,7 +479,7 @@ def late_lines(docs: DataFrame) -> DataFrame:
     left = checked.where("more AND NOT late").select(*name)
     if not left.isEmpty():
         words = asked.join(left, name, "left_semi")
-        shared = context.broadcast((levels, bitmap_of(left, _code(*map(F.col, name))), bitmap_of(words, F.col("word"))))
+        shared = context.broadcast((levels, blocks, bitmap_of(left, _code(*map(F.col, name))), bitmap_of(words, F.col("word"))))
         late = late.unionByName(stage(_index(texts, shared, n_parts), "line-rest").select(*name))
     return late.distinct()
 
