@@ -48,7 +48,7 @@ PART_WORDS, LEAST_PARTS = 8_000_000, 64
 #: entries of one document in SAMPLED, which sets how work is dealt but no result.
 BLOCK, SAMPLED = 50_000, 64
 #: Pairs looked at at once.
-AT_ONCE = 1 << 21
+AT_ONCE = 1 << 20
 #: An index entry, 44 bytes. at, key and line name a line; rest counts the words from this one on.
 ENTRY = np.dtype([("word", "<u4"), ("block", "<u2"), ("role", "<u2"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4"), ("size", "<u4"), ("rest", "<u4"), ("id", "<u4"), ("near", "<u8"), ("more", "<u4")])
 #: Roles of an entry: it is met by later lines, it looks for earlier ones.
@@ -211,12 +211,12 @@ def _dealt(rows: np.ndarray, part: np.ndarray) -> Iterator[tuple[int, bytes, np.
 def entries(size: np.ndarray, h: np.ndarray, at: np.ndarray, name: tuple, ident: np.ndarray, levels: np.ndarray, blocks: np.ndarray, words=None, asked=None) -> tuple[np.ndarray, np.ndarray]:
     """The index entries of sets, and the set of each.
 
-    blocks: (words in order, blocks) of the words with several; words: only these; asked: which sets look for
-    partners (default: all).
+    blocks: (words in order, blocks) of the words with several; words: a bitmap of the words with sizes that count;
+    asked: which sets look for partners (default: all).
     """
     of, word, rest, _ = prefixes(size, h, levels)
     if words is not None:
-        here = marked(words, word.astype(np.int64))
+        here = marked(words, _sized(word.astype(np.int64), size[of]))
         of, word, rest = of[here], word[here], rest[here]
     near, more = parities(h, at)
     rows = np.zeros(len(of), ENTRY)
@@ -334,6 +334,11 @@ def settled(rows: np.ndarray, sets: np.ndarray) -> np.ndarray:
     return rows[found]
 
 
+def _sized(word, size):
+    """A bit for a word in a set of this size; of columns as of arrays."""
+    return word * 1_000_003 + size * 40_503
+
+
 def _code(at: Column, key: Column, line: Column) -> Column:
     low = lambda c: c.bitwiseAND(F.lit((1 << 32) - 1))
     n = low(at) * 40_499 + low(F.shiftrightunsigned(at, 32)) * 40_487 + key * 40_507 + line.cast("long") * 40_503
@@ -381,14 +386,14 @@ def _gather(shared, n_parts: int):
     return run
 
 
-_MET = "late boolean, at long, key long, line int, xat long, xkey long, xline int, n long, word long"
+_MET = "late boolean, at long, key long, line int, xat long, xkey long, xline int, n long, word long, size long"
 
 
 def _named(late: bool, rows: np.ndarray, x: np.ndarray | None = None, n: np.ndarray | None = None) -> pa.RecordBatch:
     of = lambda r, c, kind: pa.nulls(len(rows), kind) if r is None else pa.array(r[c].astype(np.int64)).cast(kind)
     columns = [pa.array(np.full(len(rows), late)), *(of(r, c, k) for r in (rows, x) for c, k in (("at", pa.int64()), ("key", pa.int64()), ("line", pa.int32())))]
-    columns += [pa.nulls(len(rows), pa.int64()) if n is None else pa.array(n), pa.nulls(len(rows), pa.int64()) if x is None else pa.array(rows["word"].astype(np.int64))]
-    return pa.RecordBatch.from_arrays(columns, ["late", "at", "key", "line", "xat", "xkey", "xline", "n", "word"])
+    columns += [pa.nulls(len(rows), pa.int64()) if n is None else pa.array(n), *(of(None if x is None else rows, c, pa.int64()) for c in ("word", "size"))]
+    return pa.RecordBatch.from_arrays(columns, ["late", "at", "key", "line", "xat", "xkey", "xline", "n", "word", "size"])
 
 
 def _meet(n_parts: int):
@@ -462,7 +467,7 @@ def late_lines(docs: DataFrame) -> DataFrame:
     blocks, context = frequent(texts, levels), docs.sparkSession.sparkContext
     met = stage(_index(texts, context.broadcast((levels, blocks, None, None)), n_parts), "line-met")
     late = met.where("late").select(*name)
-    asked = met.where("NOT late").select(*name, "xat", "xkey", "xline", "n", "word")
+    asked = met.where("NOT late").select(*name, "xat", "xkey", "xline", "n", "word", "size")
     if asked.isEmpty():
         return late.distinct()
     # The partner that most words of the line name first is verified.
@@ -478,8 +483,10 @@ def late_lines(docs: DataFrame) -> DataFrame:
     # Lines whose best partner failed and that have others meet all of these, words and all.
     left = checked.where("more AND NOT late").select(*name)
     if not left.isEmpty():
-        words = asked.join(left, name, "left_semi")
-        shared = context.broadcast((levels, blocks, bitmap_of(left, _code(*map(F.col, name))), bitmap_of(words, F.col("word"))))
+        tried = pairs.where("more").withColumn("tried", F.lit(True))
+        words = asked.join(left, name, "left_semi").join(tried, [*name, "xat", "xkey", "xline"], "left").where("n > 1 OR tried IS NULL").select("word", "size").distinct()
+        words = words.withColumn("size", F.explode(F.sequence(F.ceil(F.col("size") * SIMILARITY - 1e-9), F.floor(F.col("size") / SIMILARITY + 1e-9))))
+        shared = context.broadcast((levels, blocks, bitmap_of(left, _code(*map(F.col, name))), bitmap_of(words, _sized(F.col("word"), F.col("size")))))
         late = late.unionByName(stage(_index(texts, shared, n_parts), "line-rest").select(*name))
     return late.distinct()
 
