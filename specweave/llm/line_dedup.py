@@ -4,9 +4,10 @@ A line is the set of its lower-cased words. The words of each set are ordered by
 table of fixed size; collisions cost speed, not results), and only the prefix in which two similar sets must share
 a word is indexed; words that occur once are left out. Index entries are dealt by word to parts of bounded size,
 packed, so few rows move. In a part the entries of a word meet under the length and positional filters and a bound
-on the difference that 96 bits of parity give; of what passes, only the best partner of a line is reported, and
-Jaccard is verified on the whole lines. Lines whose best partner fails although there are others meet all of
-theirs, in further rounds over the words concerned. So each line is held against every earlier line it could match,
+on the difference that 128 bits of parity give; of what passes, only the best partner of a line is reported, and
+Jaccard is verified on the whole lines. Lines whose best partner fails although there are others meet these again,
+in a second round over the words and sizes concerned with 512 bits more, and what that leaves open in a third one
+with all words of the sets. So each line is held against every earlier line it could match,
 but groups of similar lines are not expanded into pairs. The entries of a frequent word are dealt in blocks; its
 lines visit all blocks.
 
@@ -49,8 +50,8 @@ PART_WORDS, LEAST_PARTS = 8_000_000, 64
 BLOCK, SAMPLED = 50_000, 64
 #: Pairs looked at at once.
 AT_ONCE = 1 << 20
-#: An index entry, 44 bytes. at, key and line name a line; rest counts the words from this one on.
-ENTRY = np.dtype([("word", "<u4"), ("block", "<u2"), ("role", "<u2"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4"), ("size", "<u4"), ("rest", "<u4"), ("id", "<u4"), ("near", "<u8"), ("more", "<u4")])
+#: An index entry, 48 bytes. at, key and line name a line; rest counts the words from this one on.
+ENTRY = np.dtype([("word", "<u4"), ("block", "<u2"), ("role", "<u2"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4"), ("size", "<u4"), ("rest", "<u4"), ("id", "<u4"), ("near", "<u8"), ("more", "<u8")])
 #: Roles of an entry: it is met by later lines, it looks for earlier ones.
 MET, LOOKS = 1, 2
 #: An equal-set entry.
@@ -173,9 +174,23 @@ def digests(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def parities(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64 and 32 bits of parity of each set: two sets differ in at least as many words as in bits of either."""
-    one, two = np.uint64(1), np.uint32(1)
-    return np.bitwise_xor.reduceat(one << (h & np.uint64(63)), at), np.bitwise_xor.reduceat(two << (h >> np.uint64(6) & np.uint64(31)).astype(np.uint32), at)
+    """128 bits of parity of each set: two sets differ in at least as many words as in bits."""
+    bit, low = np.uint64(1) << (h & np.uint64(63)), (h & np.uint64(64)) == 0
+    return np.bitwise_xor.reduceat(np.where(low, bit, np.uint64(0)), at), np.bitwise_xor.reduceat(np.where(low, np.uint64(0), bit), at)
+
+
+def wide_parities(words: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """512 bits of parity of each set, as rows of eight; words: those of all sets in order."""
+    out = np.zeros((len(size), 8), np.uint64)
+    of = np.repeat(np.arange(len(size)), size)
+    np.bitwise_xor.at(out, (of, (words >> np.uint64(12) & np.uint64(7)).astype(np.int64)), np.uint64(1) << (words >> np.uint64(15) & np.uint64(63)))
+    return out
+
+
+def spread(values: np.ndarray, at: np.ndarray, size: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """The values of the chosen sets in order."""
+    n = size[chosen]
+    return values[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(at[chosen], n)]
 
 
 def needed(n: np.ndarray, m: np.ndarray) -> np.ndarray:
@@ -261,10 +276,11 @@ def frequent(texts: DataFrame, levels: bytes) -> np.ndarray:
     return np.stack([np.array(found["word"], np.int64), n]).astype(np.uint32)
 
 
-def partners(rows: np.ndarray, every: bool = False) -> tuple[np.ndarray, ...]:
+def partners(rows: np.ndarray, every: bool = False, wide: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
     """(rows in order, their places before, later, earlier, number of partners).
 
     later and earlier are places in the ordered rows: each looking line with its best partner, or with every one.
+    wide: more bits of parity of the rows.
     """
     order = np.lexsort((rows["line"], rows["key"], rows["at"]))
     rows = rows[order]
@@ -284,6 +300,7 @@ def partners(rows: np.ndarray, every: bool = False) -> tuple[np.ndarray, ...]:
     looks = np.flatnonzero((rows["role"] & LOOKS > 0) & (n > 0))
     size, rest, met = rows["size"].astype(np.int64), rows["rest"].astype(np.int64), rows["role"] & MET > 0
     near, more = rows["near"].copy(), rows["more"].copy()
+    wide = None if wide is None else wide[order]
     later, earlier, counts = [], [], []
     total, lo = np.cumsum(n[looks]), 0
     while lo < len(looks):
@@ -296,9 +313,14 @@ def partners(rows: np.ndarray, every: bool = False) -> tuple[np.ndarray, ...]:
         fit = np.flatnonzero((a * 5 >= b * 4) & (b * 5 >= a * 4) & met[i])
         i, j, a, b = i[fit], j[fit], a[fit], b[fit]
         need = needed(a, b)
-        far = np.maximum(np.bitwise_count(near[i] ^ near[j]), np.bitwise_count(more[i] ^ more[j]))
-        fit = np.flatnonzero((np.minimum(rest[i], rest[j]) >= need) & (far <= a + b - 2 * need))
-        i, j, far = i[fit], j[fit], far[fit]
+        most = a + b - 2 * need
+        far = np.bitwise_count(near[i] ^ near[j]) + np.bitwise_count(more[i] ^ more[j]).astype(np.int64)
+        fit = np.flatnonzero((np.minimum(rest[i], rest[j]) >= need) & (far <= most))
+        i, j, far, most = i[fit], j[fit], far[fit], most[fit]
+        if wide is not None:
+            far = np.maximum(far, np.bitwise_count(wide[i] ^ wide[j]).sum(1))
+            fit = np.flatnonzero(far <= most)
+            i, j, far = i[fit], j[fit], far[fit]
         if not every and len(j):
             best = np.lexsort((i, -copies[i], far, j))
             i, j = i[best], j[best]
@@ -314,23 +336,13 @@ def partners(rows: np.ndarray, every: bool = False) -> tuple[np.ndarray, ...]:
 def settled(rows: np.ndarray, sets: np.ndarray) -> np.ndarray:
     """The looking rows that have a similar earlier set; sets: the word hashes of all rows in order."""
     ends = np.cumsum(rows["size"].astype(np.int64))
-    rows, order, later, earlier, _ = partners(rows, every=True)
+    rows, order, later, earlier, _ = partners(rows, every=True, wide=wide_parities(sets, rows["size"].astype(np.int64)))
     ends, size = ends[order], rows["size"].astype(np.int64)
     own = lambda i: sets[ends[i] - size[i] : ends[i]]
-    # 512 bits of parity leave few pairs that are not similar.
-    used = np.unique(np.concatenate([later, earlier]))
-    wide = np.zeros((len(rows), 8), np.uint64)
-    for i in used.tolist():
-        h = own(i)
-        np.bitwise_xor.at(wide[i], (h >> np.uint64(12) & np.uint64(7)).astype(np.int64), np.uint64(1) << (h >> np.uint64(15) & np.uint64(63)))
     found = np.zeros(len(rows), bool)
-    for lo in range(0, len(later), AT_ONCE // 8):
-        j, i = later[lo : lo + AT_ONCE // 8], earlier[lo : lo + AT_ONCE // 8]
-        need = needed(size[i], size[j])
-        fit = np.bitwise_count(wide[i] ^ wide[j]).sum(1) <= size[i] + size[j] - 2 * need
-        for y, x, k in zip(j[fit].tolist(), i[fit].tolist(), need[fit].tolist(), strict=True):
-            if not found[y]:
-                found[y] = len(np.intersect1d(own(y), own(x), assume_unique=True)) >= k
+    for y, x, k in zip(later.tolist(), earlier.tolist(), needed(size[earlier], size[later]).tolist(), strict=True):
+        if not found[y]:
+            found[y] = len(np.intersect1d(own(y), own(x), assume_unique=True)) >= k
     return rows[found]
 
 
@@ -353,14 +365,14 @@ def _codes(at: np.ndarray, key: np.ndarray, line: np.ndarray) -> np.ndarray:
 
 
 def _gather(shared, n_parts: int):
-    """(part, packed rows, packed words) of the index: entries by word, then equal sets by digest.
+    """(part, packed rows, more of them) of the index: entries by word, then equal sets by digest.
 
     shared: the levels, the blocks and, in a further round, bitmaps of the lines that look and of the words that
-    count; then the words of the sets go along and digests do not.
+    count, and whether all words go along or wide parities; digests do not then.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, blocks, asked, wanted = shared.value
+        table, blocks, asked, wanted, whole = shared.value
         levels = np.frombuffer(table, np.uint8)
         for batch in batches:
             ats, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -378,10 +390,13 @@ def _gather(shared, n_parts: int):
                     own = np.zeros(len(size), SAME)
                     own["digest"], own["other"], own["at"], own["key"], own["line"] = one, two, *name
                     out += [(n_parts + p, x, None) for p, x, _ in _dealt(own, (one % np.uint64(n_parts)).astype(np.int32))]
+                elif whole:
+                    out = [(p, x, spread(h, at, size, of[k]).tobytes()) for p, x, k in _dealt(rows, part)]
                 else:
-                    words = lambda k, of=of, at=at, size=size, h=h: np.concatenate([h[at[i] : at[i] + size[i]] for i in of[k].tolist()]).tobytes()
-                    out = [(p, x, words(k)) for p, x, k in _dealt(rows, part)]
-                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "rows", "words"])
+                    own, of = np.unique(of, return_inverse=True)
+                    wide = wide_parities(spread(h, at, size, own), size[own])
+                    out = [(p, x, wide[of[k]].tobytes()) for p, x, k in _dealt(rows, part)]
+                yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["part", "rows", "more"])
 
     return run
 
@@ -396,31 +411,32 @@ def _named(late: bool, rows: np.ndarray, x: np.ndarray | None = None, n: np.ndar
     return pa.RecordBatch.from_arrays(columns, ["late", "at", "key", "line", "xat", "xkey", "xline", "n", "word", "size"])
 
 
-def _meet(n_parts: int):
+def _meet(n_parts: int, whole: bool):
     """What the rows of each part tell: lines that are late, and lines with the best partner to verify."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
-                part, blobs, words = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), batch.column(2)[k].as_py()
+                part, blobs, more = batch.column(0)[k].as_py(), batch.column(1)[k].as_py(), np.frombuffer(b"".join(batch.column(2)[k].as_py()), np.uint64)
                 if part >= n_parts:
                     rows = np.unique(np.concatenate([unpacked(x, SAME) for x in blobs]))  # in order; equal rows are one
                     yield _named(True, rows[1:][(rows["digest"][1:] == rows["digest"][:-1]) & (rows["other"][1:] == rows["other"][:-1])])
                     continue
                 rows = np.concatenate([unpacked(x, ENTRY) for x in blobs])
-                if words:
-                    yield _named(True, settled(rows, np.frombuffer(b"".join(words), np.uint64)))
+                if whole:
+                    yield _named(True, settled(rows, more))
                 else:
-                    rows, _, later, earlier, n = partners(rows)
+                    rows, _, later, earlier, n = partners(rows, wide=more.reshape(-1, 8) if len(more) else None)
                     yield _named(False, rows[later], rows[earlier], n)
 
     return run
 
 
-def _index(texts: DataFrame, shared, n_parts: int) -> DataFrame:
+def _index(texts: DataFrame, n_parts: int, *shared) -> DataFrame:
     # A part holds the entries of about PART_WORDS words of the texts; those of a frequent word are dealt in blocks.
-    gathered = texts.mapInArrow(_gather(shared, n_parts), "part int, rows binary, words binary").groupBy("part").agg(F.collect_list("rows").alias("rows"), F.collect_list("words").alias("words"))
-    return gathered.mapInArrow(_meet(n_parts), _MET)
+    sent = texts.sparkSession.sparkContext.broadcast(shared)
+    gathered = texts.mapInArrow(_gather(sent, n_parts), "part int, rows binary, more binary").groupBy("part").agg(F.collect_list("rows").alias("rows"), F.collect_list("more").alias("more"))
+    return gathered.mapInArrow(_meet(n_parts, shared[-1]), _MET)
 
 
 def _line_texts(texts: DataFrame, wanted: bytes) -> DataFrame:
@@ -450,45 +466,56 @@ def _line_texts(texts: DataFrame, wanted: bytes) -> DataFrame:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
-        for x, y in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist(), strict=True):
+        for x, y in zip(batch.column(7).to_pylist(), batch.column(8).to_pylist(), strict=True):
             a, b = set(x.lower().split()), set(y.lower().split())
             both = len(a & b)
             found.append(both >= SIMILARITY * (len(a) + len(b) - both) - 1e-9)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.bool_())], ["at", "key", "line", "more", "late"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:7], pa.array(found, pa.bool_())], [*_NAME, *_PARTNER, "more", "late"])
+
+
+_NAME = ["at", "key", "line"]
+_PARTNER = ["xat", "xkey", "xline"]
+
+
+def _checked(asked: DataFrame, texts: DataFrame) -> DataFrame:
+    """Each line of asked with its partner that most of its words name, late (similar) and more (it has others)."""
+    votes = asked.groupBy(*_NAME, *_PARTNER).agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"))
+    best = votes.groupBy(*_NAME).agg(F.max(F.struct("votes", *_PARTNER)).alias("x"), ((F.max("n") > 1) | (F.count(F.lit(1)) > 1)).alias("more"))
+    pairs = stage(best.select(*_NAME, *(f"x.{c}" for c in _PARTNER), "more"), "line-pairs")
+    ends = pairs.select(*_NAME).union(pairs.select(*_PARTNER))
+    found = stage(_line_texts(texts, bitmap_of(ends, _code(*map(F.col, _NAME)))).dropDuplicates(_NAME), "line-words")
+    of = lambda x, w: found.select(*(F.col(c).alias(x + c) for c in _NAME), F.col("words").alias(w))
+    both = pairs.join(of("", "a"), _NAME).join(of("x", "b"), _PARTNER).select(*_NAME, *_PARTNER, "more", "a", "b")
+    return stage(both.mapInArrow(_verify, "at long, key long, line int, xat long, xkey long, xline int, more boolean, late boolean"), "line-checked")
+
+
+def _open(asked: DataFrame, checked: DataFrame) -> tuple[bytes, bytes] | None:
+    """The lines that failed but have other partners: a bitmap of them and one of their words with fitting sizes."""
+    left = checked.where("more AND NOT late").select(*_NAME, *_PARTNER)
+    if left.isEmpty():
+        return None
+    tried = left.withColumn("tried", F.lit(True))
+    words = asked.join(left.select(*_NAME), _NAME, "left_semi").join(tried, [*_NAME, *_PARTNER], "left").where("n > 1 OR tried IS NULL").select("word", "size").distinct()
+    words = words.withColumn("size", F.explode(F.sequence(F.ceil(F.col("size") * SIMILARITY - 1e-9), F.floor(F.col("size") / SIMILARITY + 1e-9))))
+    return bitmap_of(left, _code(*map(F.col, _NAME))), bitmap_of(words, _sized(F.col("word"), F.col("size")))
 
 
 def late_lines(docs: DataFrame) -> DataFrame:
     """(at, key, line) of every line that equals or resembles an earlier one; at and key as in _keyed."""
     names = _keyed(docs)
     texts = docs.select(names["_at"].alias("at"), names["_key"].alias("key"), whole_text().alias("text"))
-    name = ["at", "key", "line"]
     levels, total = rarity(texts)
-    n_parts = max(LEAST_PARTS, total // PART_WORDS)
-    blocks, context = frequent(texts, levels), docs.sparkSession.sparkContext
-    met = stage(_index(texts, context.broadcast((levels, blocks, None, None)), n_parts), "line-met")
-    late = met.where("late").select(*name)
-    asked = met.where("NOT late").select(*name, "xat", "xkey", "xline", "n", "word", "size")
-    if asked.isEmpty():
-        return late.distinct()
-    # The partner that most words of the line name first is verified.
-    votes = asked.groupBy(*name, "xat", "xkey", "xline").agg(F.count(F.lit(1)).alias("votes"), F.max("n").alias("n"))
-    best = votes.groupBy(*name).agg(F.max(F.struct("votes", "xat", "xkey", "xline")).alias("x"), ((F.max("n") > 1) | (F.count(F.lit(1)) > 1)).alias("more"))
-    pairs = stage(best.select(*name, "x.xat", "x.xkey", "x.xline", "more"), "line-pairs")
-    ends = pairs.select(*name).union(pairs.select("xat", "xkey", "xline"))
-    found = stage(_line_texts(texts, bitmap_of(ends, _code(*map(F.col, name)))).dropDuplicates(name), "line-words")
-    of = lambda x, w: found.select(*(F.col(c).alias(x + c) for c in name), F.col("words").alias(w))
-    both = pairs.join(of("", "a"), name).join(of("x", "b"), ["xat", "xkey", "xline"]).select(*name, "more", "a", "b")
-    checked = stage(both.mapInArrow(_verify, "at long, key long, line int, more boolean, late boolean"), "line-checked")
-    late = late.unionByName(checked.where("late").select(*name))
-    # Lines whose best partner failed and that have others meet all of these, words and all.
-    left = checked.where("more AND NOT late").select(*name)
-    if not left.isEmpty():
-        tried = pairs.where("more").withColumn("tried", F.lit(True))
-        words = asked.join(left, name, "left_semi").join(tried, [*name, "xat", "xkey", "xline"], "left").where("n > 1 OR tried IS NULL").select("word", "size").distinct()
-        words = words.withColumn("size", F.explode(F.sequence(F.ceil(F.col("size") * SIMILARITY - 1e-9), F.floor(F.col("size") / SIMILARITY + 1e-9))))
-        shared = context.broadcast((levels, blocks, bitmap_of(left, _code(*map(F.col, name))), bitmap_of(words, _sized(F.col("word"), F.col("size")))))
-        late = late.unionByName(stage(_index(texts, shared, n_parts), "line-rest").select(*name))
-    return late.distinct()
+    n_parts, blocks = max(LEAST_PARTS, total // PART_WORDS), frequent(texts, levels)
+    met = stage(_index(texts, n_parts, levels, blocks, None, None, False), "line-met")
+    late = met.where("late").select(*_NAME)
+    for whole in (False, True):
+        asked = met.where("NOT late")
+        checked = _checked(asked, texts)
+        late = late.unionByName(checked.where("late").select(*_NAME))
+        if not (left := _open(asked, checked)):
+            return late.distinct()
+        met = stage(_index(texts, n_parts, levels, blocks, *left, whole), "line-rest")
+    return late.unionByName(met.select(*_NAME)).distinct()
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

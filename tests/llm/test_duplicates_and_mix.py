@@ -146,6 +146,9 @@ def test_index_finds_every_line_that_has_an_earlier_match(blocks):
     assert want <= found and (ordered["line"][earlier] < ordered["line"][later]).all() and (n >= 1).all()
     got = line_dedup.settled(rows, flat)
     assert {int(x) for x in got["line"]} == want
+    size = rows["size"].astype(np.int64)
+    *_, fewer, _, _ = line_dedup.partners(rows, wide=line_dedup.wide_parities(flat, size))
+    assert want <= {int(x) for x in ordered["line"][fewer]} and len(fewer) <= len(later)
     some = np.array([k % 3 == 0 for k in range(len(sets))])
     rows, flat = indexed(sets, blocks, asked=some)
     assert {int(x) for x in line_dedup.settled(rows, flat)["line"]} == {k for k in want if k % 3 == 0}
