@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -26,11 +30,44 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Rows of an Arrow batch while stages are made: whole texts of so many rows are held by both sides at once.
+BATCH_ROWS = 1000
+_BATCH_KEY = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Batches of BATCH_ROWS at most for what runs inside."""
+    before = spark.conf.get(_BATCH_KEY)
+    if not 0 < int(before) <= BATCH_ROWS:
+        spark.conf.set(_BATCH_KEY, str(BATCH_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_BATCH_KEY, before)
+
+
+def trimmed(run: Callable) -> Callable:
+    """run (batches to batches), giving back the memory that it no longer uses when a task ends, as workers stay."""
+
+    @functools.wraps(run)
+    def trimming(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return trimming
+
+
 def stage(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
+    with small_batches(spark):
+        df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -60,6 +97,7 @@ def append(docs: DataFrame, columns: str, compute, text_col: str = "text", keep:
     at, n = kept.index(text_col), len(added)
     arrow = to_arrow_schema(schema)
 
+    @trimmed
     def run(batches):
         f = compute()
         for batch in batches:

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specweave.llm import wordhash
-from specweave.llm.common import bitmap_of, documents, fresh, marked, marked_by, stage, whole_text
+from specweave.llm.common import bitmap_of, documents, fresh, marked, marked_by, small_batches, stage, trimmed, whole_text
 
 SIMILARITY = 0.8
 #: Sets of fewer words can only equal another set or are matched by one of this size.
@@ -49,7 +49,7 @@ PART_WORDS, LEAST_PARTS = 8_000_000, 64
 #: entries of one document in SAMPLED, which sets how work is dealt but no result.
 BLOCK, SAMPLED = 50_000, 64
 #: Pairs looked at at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 18
 #: An index entry, 48 bytes. at, key and line name a line; rest counts the words from this one on.
 ENTRY = np.dtype([("word", "<u4"), ("block", "<u2"), ("role", "<u2"), ("at", "<i8"), ("key", "<u4"), ("line", "<u4"), ("size", "<u4"), ("rest", "<u4"), ("id", "<u4"), ("near", "<u8"), ("more", "<u8")])
 #: Roles of an entry: it is met by later lines, it looks for earlier ones.
@@ -79,6 +79,7 @@ def _is_frequent(level: np.ndarray) -> np.ndarray:
     return 128 * 2 ** ((level.astype(np.float64) - 127) / 4) > BLOCK
 
 
+@trimmed
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The word counts of a task by slice: places and counts of four bytes each."""
     table, task = np.zeros(TABLE, np.uint32), TaskContext.get().partitionId() % GROUPS
@@ -107,6 +108,7 @@ def _added(listed: list[bytes]) -> np.ndarray:
     return row
 
 
+@trimmed
 def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = [np.minimum(_added(x), (1 << 32) - 1) for x in batch.column(1).to_pylist()]
@@ -114,6 +116,7 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(blobs, pa.binary())], ["part", "counts"])
 
 
+@trimmed
 def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         sums = [_added(x) for x in batch.column(1).to_pylist()]
@@ -127,7 +130,9 @@ def rarity(texts: DataFrame) -> tuple[bytes, int]:
     merged = counts.groupBy("part", "task").agg(F.collect_list("counts").alias("counts")).select("part", "counts").mapInArrow(_merge, "part int, counts binary")
     sums = merged.groupBy("part").agg(F.collect_list("counts").alias("counts")).mapInArrow(_levels, "part int, levels binary, n long")
     table, total = np.zeros(TABLE, np.uint8), 0
-    for part, levels, n in sums.collect():  # 256 rows of 64 KB
+    with small_batches(texts.sparkSession):
+        rows = sums.collect()  # 256 rows of 64 KB
+    for part, levels, n in rows:
         table[part * SLICE : (part + 1) * SLICE] = np.frombuffer(levels, np.uint8)
         total += n
     return table.tobytes(), total
@@ -261,6 +266,7 @@ def frequent(texts: DataFrame, levels: bytes) -> np.ndarray:
         return np.zeros((2, 0), np.uint32)
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
@@ -371,6 +377,7 @@ def _gather(shared, n_parts: int):
     count, and whether all words go along or wide parities; digests do not then.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, blocks, asked, wanted, whole = shared.value
         levels = np.frombuffer(table, np.uint8)
@@ -414,6 +421,7 @@ def _named(late: bool, rows: np.ndarray, x: np.ndarray | None = None, n: np.ndar
 def _meet(n_parts: int, whole: bool):
     """What the rows of each part tell: lines that are late, and lines with the best partner to verify."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(batch.num_rows):
@@ -443,6 +451,7 @@ def _line_texts(texts: DataFrame, wanted: bytes) -> DataFrame:
     """(at, key, line, words) of the lines that a bitmap of their codes marks."""
     shared = texts.sparkSession.sparkContext.broadcast(wanted)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ats, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
@@ -463,6 +472,7 @@ def _line_texts(texts: DataFrame, wanted: bytes) -> DataFrame:
     return texts.mapInArrow(run, "at long, key long, line int, words binary")
 
 
+@trimmed
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         found = []
@@ -529,6 +539,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn(may, marked_by(found, key)(key))
     place = kept.index("text")
 
+    @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts, lines = batch.column(place).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
