@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specweave.llm import wordhash
-from specweave.llm.common import bitmap_of, documents, fresh, marked, marked_by, small_batches, stage, trimmed, whole_text
+from specweave.llm.common import bitmap_of, documents, fresh, marked, marked_by, small_batches, squeezed, stage, trimmed, unsqueezed, whole_text
 
 SIMILARITY = 0.8
 #: Sets of fewer words can only equal another set or are matched by one of this size.
@@ -542,7 +542,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines = batch.column(place).to_pylist(), batch.column(batch.num_columns - 2).to_pylist()
+            texts, lines = unsqueezed(batch.column(place)), batch.column(batch.num_columns - 2).to_pylist()
             for i, gone in enumerate(lines):
                 if gone:
                     own = texts[i].split("\n")
@@ -550,10 +550,10 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                         own[k] = None
                     texts[i] = "\n".join(x for x in own if x is not None)
             columns = batch.columns[:-2]
-            columns[place] = pa.array(texts, batch.schema.field(place).type)
+            columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, batch.columns[-1]], names=[*batch.schema.names[:-2], "n_removed"])
 
-    hit = rows.where(F.col(may)).join(found, [at, key], "left").select(*kept, "n_lines", late, F.greatest(F.size(late), F.lit(0)).cast("long").alias("n_removed"))
+    hit = squeezed(rows.where(F.col(may)).drop(may)).join(found, [at, key], "left").select(*kept, "n_lines", late, F.greatest(F.size(late), F.lit(0)).cast("long").alias("n_removed"))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_lines long, n_removed long").fields])
     done = hit.mapInArrow(cut, schema).unionByName(rows.where(~F.col(may)).select(*kept, "n_lines", F.lit(0).cast("long").alias("n_removed")))
     if "n_chars" in kept:
