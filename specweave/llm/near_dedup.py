@@ -21,7 +21,6 @@ first row; other input columns are kept, those named as an output column are rep
 from __future__ import annotations
 
 import hashlib
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -33,7 +32,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from specweave.llm.common import documents, stage
+from specweave.llm import wordhash
+from specweave.llm.common import documents, stage, trimmed
 from specweave.llm.graph import components
 
 SHINGLE = 5
@@ -56,14 +56,13 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def labelled_shingles(words: list[bytes]) -> np.ndarray:
-    """Hashes of the text's shingles, each with its occurrence number."""
-    w = np.fromiter(map(zlib.crc32, words), np.uint64, len(words))
-    k = min(SHINGLE, len(w))
-    n = len(w) - k + 1
+def labelled_shingles(words: np.ndarray) -> np.ndarray:
+    """Hashes of a text's shingles, from those of its words, each with its occurrence number."""
+    k = min(SHINGLE, len(words))
+    n = len(words) - k + 1
     h = np.zeros(n, np.uint64)
     for i in range(k):
-        h += w[i : i + n] * _POWERS[i]
+        h += words[i : i + n] * _POWERS[i]
     h = _mix(h)
     order = np.argsort(h, kind="stable")
     s = h[order]
@@ -74,20 +73,21 @@ def labelled_shingles(words: list[bytes]) -> np.ndarray:
     return _mix(h + occurrence * _POWERS[-1])
 
 
-def bands_of(words: list[bytes]) -> list[int]:
-    """Bucket keys of a text; none without words."""
-    if not words:
+def bands_of(words: np.ndarray) -> list[int]:
+    """Bucket keys of a text from its words' hashes; none without words."""
+    if not len(words):
         return []
     h = labelled_shingles(words)
-    entries = np.empty(SKETCHES, np.uint64)
-    step = max(1, HELD // len(h))
-    for i in range(0, SKETCHES, step):
-        values = h[None, :] * _ODD[i : i + step, None]
-        if len(h) > 1:
-            two = np.sort(np.argpartition(values, 1, axis=1)[:, :2], axis=1)
-            entries[i : i + step] = h[two[:, 0]] * _POWERS[0] + h[two[:, 1]] * _POWERS[1]
-        else:
-            entries[i : i + step] = h[0]
+    entries = np.full(SKETCHES, h[0])
+    if len(h) > 1:
+        step = max(1, HELD // len(h))
+        for i in range(0, SKETCHES, step):
+            values = h[None, :] * _ODD[i : i + step, None]
+            least = values.argmin(1)
+            values[np.arange(len(values)), least] = np.uint64((1 << 64) - 1)
+            next_ = values.argmin(1)
+            # In text order, so an entry agrees only if both shingles and their order do.
+            entries[i : i + step] = h[np.minimum(least, next_)] * _POWERS[0] + h[np.maximum(least, next_)] * _POWERS[1]
     b = entries.reshape(BANDS, ROWS)
     key = np.arange(1, BANDS + 1, dtype=np.uint64) * _POWERS[-2]
     for i in range(ROWS):
@@ -136,16 +136,17 @@ def similarity(a: list[bytes], b: list[bytes]) -> float:
 
 
 def _sketch(schema, at: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = TaskContext.get().partitionId() << 40
         names = to_arrow_schema(schema).names
         for batch in batches:
             digests, sizes, keys = [], [], []
-            for text in batch.column(at).to_pylist():
-                w = words_of(text or "")
-                digests.append(hashlib.blake2b(b" ".join(w), digest_size=16).digest())
-                sizes.append(max(0, len(w) - min(SHINGLE, len(w)) + 1) if w else 0)
-                keys.append(bands_of(w))
+            for _, texts in wordhash.parts(batch.column(at)):
+                for w in wordhash.words(texts):
+                    digests.append(hashlib.blake2b(w.tobytes(), digest_size=16).digest())
+                    sizes.append(len(w) - min(SHINGLE, len(w)) + 1 if len(w) else 0)
+                    keys.append(bands_of(w))
             rows = pa.array(range(row, row + len(digests)), pa.int64())
             row += len(digests)
             added = [rows, pa.array(digests, pa.binary()), pa.array(sizes, pa.int32()), pa.array(keys, pa.list_(pa.int64()))]
@@ -159,6 +160,7 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     left = pairs.join(texts.select(F.col("_row").alias("a"), F.col("text").alias("ta")), "a")
     both = left.join(texts.select(F.col("_row").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = batch.column(2).to_pylist(), batch.column(3).to_pylist()
@@ -175,9 +177,10 @@ def _between_classes(rows: DataFrame, sources: DataFrame) -> DataFrame:
     text with many edits of its own meets nobody, however large its family is.
     """
 
+    @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [labelled_shingles(words_of(x or "")).view(np.int64) for x in batch.column(3).to_pylist()]
+            found = [labelled_shingles(w).view(np.int64) for _, texts in wordhash.parts(batch.column(3)) for w in wordhash.words(texts)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["row", "size", "label", "shingles"])
 
     texts = rows.join(sources.withColumnRenamed("_row", "row"), "row").select("row", "size", "label", "text")
@@ -201,10 +204,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n_checked_links counts the verified pairs of a text with heads of its buckets, and those found late between
     classes; not all similar texts, as members of a family need not be held against each other.
     """
-    names = ("class_id", "n_checked_links", "keep", "_row", "_digest", "_size", "_bands")
-    kept = [c for c in docs.columns if c not in names]
-    schema = T.StructType([docs.schema[c] for c in kept] + T.StructType.fromDDL("_row long, _digest binary, _size int, _bands array<long>").fields)
-    all_rows = stage(docs.select(*kept).mapInArrow(_sketch(schema, kept.index("text")), schema), "near-rows")
+    kept = [c for c in docs.columns if c not in ("class_id", "n_checked_links", "keep")]
+    # Inside, other columns have names of their own, so none clashes.
+    own_names = {c: "text" if c == "text" else "doc_id" if c == "doc_id" else f"_own{i}" for i, c in enumerate(kept)}
+    docs = docs.select(*(F.col(f"`{c}`").alias(n) for c, n in own_names.items()))
+    schema = T.StructType(docs.schema.fields + T.StructType.fromDDL("_row long, _digest binary, _size int, _bands array<long>").fields)
+    all_rows = stage(docs.mapInArrow(_sketch(schema, kept.index("text")), schema), "near-rows")
 
     # One row for each distinct text; its least (doc_id, row) stands for it.
     first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("_row").alias("row"))
@@ -243,8 +248,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     stays = texts.join(own, "_digest").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("row").alias("row"))).alias("first"))
     stays = stage(stays.select("label", F.col("first.doc_id").alias("class_id"), F.col("first.row").alias("stays")), "near-stays")
     named = stage(own.join(stays, "label").select("_digest", "class_id", "n_checked_links", "stays"), "near-named")
-    done = all_rows.select(*kept, "_row", "_digest").join(named, "_digest")
-    return done.select(*kept, "class_id", "n_checked_links", (F.col("_row") == F.col("stays")).alias("keep"))
+    done = all_rows.select(*docs.columns, "_row", "_digest").join(named, "_digest")
+    return done.select(*(F.col(n).alias(c) for c, n in own_names.items()), "class_id", "n_checked_links", (F.col("_row") == F.col("stays")).alias("keep"))
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
