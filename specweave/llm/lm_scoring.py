@@ -1,18 +1,20 @@
 """Language-model scoring: a causal self-attention model in numpy over subword ids, beside a word-count base.
 
-Training documents are those whose crc32(doc_id as text) mod 7 is not 2. All their words are counted in Spark.
-Their whole texts are cut into consecutive windows of subword ids, in which each id and the end is predicted once;
-ids are counted over all windows, and the weights are trained where the windows lie by local Adagrad steps,
-averaged on the driver after each round (at most TRAINERS small weight sets).
+Training documents are those whose crc32(doc_id as text) mod 7 is not 2. All their words are counted in Spark, by
+64-bit hashes. Every text is encoded once; ids and texts are written. The whole training texts are cut into
+consecutive windows of ids, in which each id and the end is predicted once; ids are counted over all of them, and
+the weights are trained where the windows lie by Adagrad (each task keeps its own state over all of its windows)
+and averaged after each round, in two steps, so the driver holds TRAINERS small weight sets at most.
 
 The model: an embedding per id bucket plus one per position, one causal attention head, a residual sum and a
-softmax over classes of ids; frequent ids are classes of their own, rarer ones share classes of equal mass, in
-which an id has its smoothed share. So every text has a proper probability. A text is read in overlapping
-windows; each window scores the ids after its overlap, so each id (and the end) is scored once, with at least
-OVERLAP ids of context where the text has them. Windows of many texts go through masked attention as one batch.
+softmax in two steps, over groups of classes and over the classes of a group; frequent ids are classes of their
+own, rarer ones share classes of equal mass, in which an id has its smoothed share. So every text has a proper
+probability. A text is read in overlapping windows; each window scores the ids after its overlap, so each id (and
+the end) is scored once, with at least OVERLAP ids of context where the text has them. Windows of many texts go
+through masked attention as one batch.
 
-Word counts of frequent words (at most HEAVY) are broadcast; all others are joined by shuffle, so the base is
-exact at any vocabulary size.
+Logs of the counts of frequent words (at most HEAVY) are broadcast; all others are joined by shuffle, so the base is
+exact at any vocabulary size. As the weights of tasks are averaged, score depends on how the rows are dealt.
 
 Defined cases: a null or empty text is the end alone; a null doc_id counts as the text "" for the split; repeated
 rows are scored (and counted) each; without training documents N and V are 0 and the model is uniform over its
@@ -22,7 +24,6 @@ classes; an empty table gives an empty result; other input columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,24 +32,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from specweave.llm.common import documents, stage, whole_text
+from specweave.llm import wordhash
+from specweave.llm.common import documents, small_batches, stage, trimmed, whole_text
 from specweave.llm.subwords import subwords, tokenizer_path
 
 FOLDS, HELD_OUT = 7, 2
 IDS, END = 50_257, 50_256
 LENGTH, OVERLAP = 32, 6
 WIDTH, BUCKETS, OWN_BUCKETS = 8, 4096, 3072
-CLASSES, OWN_CLASSES = 96, 84
-ROUNDS, BATCH, RATE, TRAINERS = 3, 64, 0.2, 256
+#: Classes are CLASSES, in groups of GROUP; OWN_CLASSES of them have one id.
+CLASSES, OWN_CLASSES, GROUP = 256, 208, 16
+GROUPS = CLASSES // GROUP
+ROUNDS, BATCH, RATE, TRAINERS = 1, 256, 0.2, 256
 #: Words whose counts are broadcast, at most.
-HEAVY = 200_000
+HEAVY = 1_000_000
 #: Distinct words a task holds before it passes their counts on.
 HELD = 400_000
 #: Windows in one batch of attention.
 AT_ONCE = 256
-#: Training windows in one Arrow batch, about.
-PASSED_ON = 8192
-_END_WORD = b"\n"
+#: The hash that stands for the end of a text among the words.
+_END_WORD = -1
 
 
 def is_training(doc_id) -> bool:
@@ -70,14 +73,18 @@ def tables(counts: np.ndarray) -> dict:
     cls[order[:OWN_CLASSES]] = np.arange(OWN_CLASSES)
     cls[order[OWN_CLASSES:]] = OWN_CLASSES + np.minimum(CLASSES - OWN_CLASSES - 1, (tail - mass[OWN_CLASSES:]) / tail[-1] * (CLASSES - OWN_CLASSES)).astype(np.int32)
     total = np.bincount(cls, counts + 1.0, CLASSES)
-    return {"bucket": bucket, "class": cls, "share": np.log((counts + 1.0) / total[cls]), "prior": np.log(np.maximum(total, 1e-9) / total.sum())}
+    # A class without an id (one id may hold more than a class's mass) keeps a little, so that its group is proper.
+    prior = np.log(np.maximum(total, 1e-9) / total.sum())
+    return {"bucket": bucket.astype(np.uint16), "class": cls.astype(np.uint8), "share": np.log((counts + 1.0) / total[cls]), "prior": prior}
 
 
 def start(prior: np.ndarray) -> dict[str, np.ndarray]:
     rng, d = np.random.default_rng(11), WIDTH
     w = {"e": rng.normal(0, 0.3, (BUCKETS, d)), "p": rng.normal(0, 0.05, (LENGTH, d))}
     w |= {k: rng.normal(0, d**-0.5, (d, d)) for k in ("q", "k", "v", "o")}
-    w |= {"u": np.zeros((d, CLASSES)), "c": prior.copy()}
+    own = prior.reshape(GROUPS, GROUP)
+    group = np.log(np.exp(own).sum(1))
+    w |= {"u": np.zeros((d, GROUPS)), "c": group, "U": np.zeros((GROUPS, d, GROUP)), "C": own - group[:, None]}
     return {k: x.astype(np.float32) for k, x in w.items()}
 
 
@@ -91,81 +98,140 @@ def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
     return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], m.shape[-1])
 
 
-def attend(w: dict, x: np.ndarray):
-    """(scaled queries, keys, values, attention, mixed values) of a batch of windows x (n, LENGTH, WIDTH)."""
+def _attention(w: dict, x: np.ndarray):
+    """(scaled queries, keys, values, masked exponentials) of a batch of windows x (n, LENGTH, WIDTH)."""
     q, k, v = _times(x, w["q"] * WIDTH**-0.5), _times(x, w["k"]), _times(x, w["v"])
     a = q @ k.transpose(0, 2, 1)
     np.exp(np.minimum(a, _MOST, out=a), out=a)
     a *= _SEEN
+    return q, k, v, a
+
+
+def attend(w: dict, x: np.ndarray):
+    """(scaled queries, keys, values, attention, mixed values) of a batch of windows x (n, LENGTH, WIDTH)."""
+    q, k, v, a = _attention(w, x)
     a /= a.sum(-1, keepdims=True)
     return q, k, v, a, a @ v
 
 
-def class_scores(w: dict, x: np.ndarray, z: np.ndarray) -> np.ndarray:
-    return np.minimum(_times(x + _times(z, w["o"]), w["u"]) + w["c"], _MOST)
+def mixed(w: dict, x: np.ndarray) -> np.ndarray:
+    """The mixed values alone; a column of ones sums the weights along the way."""
+    _, _, v, a = _attention(w, x)
+    z = a @ np.concatenate([v, np.ones((*v.shape[:-1], 1), v.dtype)], -1)
+    return z[..., :-1] / z[..., -1:]
 
 
-def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the target classes at each position."""
-    *_, z = attend(w, x)
-    s = class_scores(w, x, z)
-    got = np.take_along_axis(s, target[..., None], -1)[..., 0]
-    return got - np.log(np.exp(s, out=s).sum(-1))
+def _in_groups(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(group, places) of the positions whose target class is in it."""
+    group = target // GROUP  # of 8 bits, so sorted by their values
+    order = np.argsort(group, kind="stable")
+    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
+    for g in range(GROUPS):
+        if ends[g] < ends[g + 1]:
+            yield g, order[ends[g] : ends[g + 1]]
+
 
+def _scores(h: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
+    s = h @ u
+    s += c
+    return np.minimum(s, _MOST, out=s)
 
-def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarray) -> dict[str, np.ndarray]:
-    """Of the mean negative log likelihood over the marked positions."""
+
+def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """Natural log probabilities of the target classes at each position."""
+    h, flat = (x + _times(mixed(w, x), w["o"])).reshape(-1, WIDTH), target.ravel()
+    s = _scores(h, w["u"], w["c"])
+    out = s[np.arange(len(s)), flat // GROUP]
+    out -= np.log(np.exp(s, out=s).sum(-1))
+    for g, at in _in_groups(flat):
+        s = _scores(h[at], w["U"][g], w["C"][g])
+        got = s[np.arange(len(s)), flat[at] % GROUP]
+        out[at] += got - np.log(np.exp(s, out=s).sum(-1))
+    return out.reshape(target.shape)
+
+
+def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarray) -> dict:
+    """Of the mean negative log likelihood over the marked positions; that of e as (rows, values)."""
     x = w["e"][buckets] + w["p"]
     q, k, v, a, z = attend(w, x)
-    h = x + _times(z, w["o"])
-    g = np.exp(np.minimum(_times(h, w["u"]) + w["c"], _MOST))
-    g /= g.sum(-1, keepdims=True)
-    np.put_along_axis(g, target[..., None], np.take_along_axis(g, target[..., None], -1) - 1, -1)
-    g *= there[..., None] / max(1, there.sum())
+    h, flat = (x + _times(z, w["o"])).reshape(-1, WIDTH), target.ravel()
+    weight = (there.ravel() / max(1, there.sum())).astype(np.float32)[:, None]
+
+    def excess(s: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """Probabilities less 1 at the target, weighted."""
+        np.exp(s, out=s)
+        s *= weight / s.sum(-1, keepdims=True)
+        s[np.arange(len(s)), own] -= weight[:, 0]
+        return s
+
+    g = excess(_scores(h, w["u"], w["c"]), flat // GROUP, weight)
+    out = {"u": h.T @ g, "c": g.sum(0), "U": np.zeros_like(w["U"]), "C": np.zeros_like(w["C"])}
+    dh = g @ w["u"].T
+    for i, at in _in_groups(flat):
+        own = h[at]
+        g = excess(_scores(own, w["U"][i], w["C"][i]), flat[at] % GROUP, weight[at])
+        out["U"][i], out["C"][i] = own.T @ g, g.sum(0)
+        dh[at] += g @ w["U"][i].T
+    dh = dh.reshape(x.shape)
     outer = lambda m, n: m.reshape(-1, m.shape[-1]).T @ n.reshape(-1, n.shape[-1])
-    dh = _times(g, w["u"].T)
     dz = _times(dh, w["o"].T)
     da = dz @ v.transpose(0, 2, 1)
-    ds = a * (da - (da * a).sum(-1, keepdims=True))
-    dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz
+    da -= (da * a).sum(-1, keepdims=True)
+    da *= a
+    dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz
     scale = WIDTH**-0.5
     dx = dh + _times(dq, w["q"].T * scale) + _times(dk, w["k"].T) + _times(dv, w["v"].T)
-    de = np.zeros_like(w["e"])
-    np.add.at(de, buckets.ravel(), dx.reshape(-1, WIDTH))
-    return {"e": de, "p": dx.sum(0), "q": outer(x, dq) * scale, "k": outer(x, dk), "v": outer(x, dv), "o": outer(z, dh), "u": outer(h, g), "c": g.sum((0, 1))}
+    out |= {"p": dx.sum(0), "q": outer(x, dq) * scale, "k": outer(x, dk), "v": outer(x, dv), "o": outer(z, dh)}
+    order = np.argsort(buckets.ravel(), kind="stable")
+    rows = buckets.ravel()[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return out | {"e": (rows[first], np.add.reduceat(dx.reshape(-1, WIDTH)[order], first))}
 
 
-def train_here(w: dict, t: dict, windows: np.ndarray, seed: int = 0) -> dict:
-    """One pass of Adagrad over windows (n, LENGTH + 1) of ids; -1 marks what a short text lacks."""
-    w, seen = {k: x.copy() for k, x in w.items()}, {k: np.full_like(x, 1e-3) for k, x in w.items()}
+def train_here(w: dict, t: dict, windows: np.ndarray, seen: dict, seed: int = 0) -> None:
+    """One pass of Adagrad over windows (n, LENGTH + 1) of ids, in place; -1 marks what a short text lacks."""
     for i in np.array_split(np.random.default_rng(seed).permutation(len(windows)), max(1, len(windows) // BATCH)):
         ids = windows[i]
         there = ids[:, 1:] >= 0
         ids = np.where(ids < 0, END, ids)
         for k, g in gradients(w, t["bucket"][ids[:, :-1]], t["class"][ids[:, 1:]], there).items():
-            seen[k] += g * g
-            w[k] -= RATE * g / np.sqrt(seen[k])
-    return w
+            if k == "e":
+                rows, g = g
+                seen[k][rows] += g * g
+                w[k][rows] -= RATE * g / np.sqrt(seen[k][rows])
+            else:
+                seen[k] += g * g
+                w[k] -= RATE * g / np.sqrt(seen[k])
+
+
+def unseen(w: dict) -> dict[str, np.ndarray]:
+    """Adagrad's state before any step."""
+    return {k: np.full_like(x, 1e-3) for k, x in w.items()}
 
 
 def score_all(w: dict, t: dict, coded: list[np.ndarray]) -> list[float]:
     """log10 probabilities of texts given as id arrays, ends included."""
     stride = LENGTH - OVERLAP
-    texts = [np.concatenate([[END], ids, [END]]).astype(np.int64) for ids in coded]
-    sizes = np.array([len(s) - 1 for s in texts])
+    # Each text begins with an end and is filled up with ends behind its own to whole windows.
+    sizes = np.array([len(x) + 1 for x in coded])
     windows = np.maximum(1, -(-(sizes - OVERLAP) // stride))
-    of = np.repeat(np.arange(len(texts)), windows)
+    room = windows * stride + OVERLAP + 1
+    base = np.cumsum(room) - room
+    flat = np.full(room.sum(), END, np.int32)
+    for lo, ids in zip((base + 1).tolist(), coded, strict=True):
+        flat[lo : lo + len(ids)] = ids
+    bucket, target, share = t["bucket"][flat], t["class"][flat], t["share"][flat]
+    of = np.repeat(np.arange(len(coded)), windows)
     first = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
-    base = np.cumsum(sizes + 1) - (sizes + 1)
-    flat, out = np.concatenate(texts), np.zeros(len(texts))
+    starts, out, along = base[of] + first * stride, np.zeros(len(coded)), np.arange(LENGTH)
+    # Which of a window's places count: those behind the overlap with the one before, within the text.
+    lo_of, hi_of = np.where(first > 0, OVERLAP, 0), np.minimum(sizes[of] - first * stride, LENGTH)
     for lo in range(0, len(of), AT_ONCE):
-        o, f = of[lo : lo + AT_ONCE], first[lo : lo + AT_ONCE] * stride
-        at = f[:, None] + np.arange(LENGTH)
-        there = (at < sizes[o][:, None]) & ((at >= f[:, None] + OVERLAP) | (f == 0)[:, None])
-        place = base[o][:, None] + np.minimum(at, sizes[o][:, None] - 1)
-        ids, following = flat[place], flat[place + 1]
-        got = log_probabilities(w, w["e"][t["bucket"][ids]] + w["p"], t["class"][following]) + t["share"][following]
-        out += np.bincount(o, np.where(there, got, 0.0).sum(1), len(texts))
+        here = slice(lo, lo + AT_ONCE)
+        place = starts[here, None] + along
+        got = log_probabilities(w, w["e"][bucket[place]] + w["p"], target[place + 1]) + share[place + 1]
+        got[(along < lo_of[here, None]) | (along >= hi_of[here, None])] = 0
+        out += np.bincount(of[here], got.sum(1), len(coded))
     return (out / np.log(10)).tolist()
 
 
@@ -180,74 +246,113 @@ def windows_of(ids: np.ndarray) -> np.ndarray:
     return np.lib.stride_tricks.sliding_window_view(flat, LENGTH + 1)[::LENGTH]
 
 
-def _gather(path: str):
-    """Word counts of the training documents in a task, and all windows of their ids."""
+def _encode(path: str):
+    """Of each text: whether it is for training, and its ids as 16-bit numbers; and the word counts of those that are."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, counts = subwords(path), Counter()
+        coder, held, row = subwords(path), [], TaskContext.get().partitionId() << 40
+        names = ["doc_id", "row", "text", "training", "ids", "word", "n"]
 
-        def told(words: Counter, windows: list[bytes]) -> pa.RecordBatch:
-            none = [None] * len(windows)
-            return pa.RecordBatch.from_arrays([pa.array([*words, *none], pa.binary()), pa.array([*words.values(), *none], pa.int64()), pa.array([None] * len(words) + windows, pa.binary())], ["word", "n", "window"])
+        def told(kind: pa.DataType, held: list) -> Iterator[pa.RecordBatch]:
+            words, n = merged(held)
+            for lo in range(0, len(words), HELD):
+                own = pa.array(words[lo : lo + HELD].view(np.int64)), pa.array(n[lo : lo + HELD])
+                none = [pa.nulls(len(own[0]), k) for k in (kind, pa.int64(), pa.string(), pa.bool_(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, *own], names)
 
+        kind = None
         for batch in batches:
-            windows = []
-            for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if is_training(doc_id):
-                    counts.update(text.encode("utf-8", "replace").lower().split())
-                    counts[_END_WORD] += 1
-                    windows += [x.tobytes() for x in windows_of(np.frombuffer(coder.encode(text), "<u4"))]
-                    if len(windows) >= PASSED_ON:
-                        yield told(Counter(), windows)
-                        windows = []
-            yield told(Counter(), windows)
-            if len(counts) > HELD:
-                yield told(counts, [])
-                counts = Counter()
-        yield told(counts, [])
+            kind = batch.schema.field(0).type
+            training = np.array([is_training(x) for x in batch.column(0).to_pylist()], bool)
+            ids = [np.frombuffer(coder.encode(x), "<u4").astype("<u2").tobytes() for x in batch.column(1).to_pylist()]
+            none = [pa.nulls(batch.num_rows, pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + batch.num_rows)), batch.column(1).cast(pa.string()), pa.array(training), pa.array(ids, pa.binary()), *none], names)
+            row += batch.num_rows
+            for _, texts in wordhash.parts(batch.column(1).filter(pa.array(training))):
+                held.append(np.unique(wordhash.words(texts).h, return_counts=True))
+            held.append((np.array([_END_WORD], np.int64).view(np.uint64), np.array([training.sum()])))
+            if sum(len(x) for x, _ in held) > HELD:
+                held = [merged(held)]
+                if len(held[0][0]) > HELD // 2:
+                    yield from told(kind, held)
+                    held = []
+        if held:
+            yield from told(kind, held)
 
     return run
 
 
-def _stack(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<i4").reshape(-1, LENGTH + 1)
+def merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of the same words added; words that do not occur left out."""
+    words, of = np.unique(np.concatenate([x for x, _ in held]), return_inverse=True)
+    n = np.bincount(of, np.concatenate([n for _, n in held]), len(words)).astype(np.int64)
+    return words[n > 0], n[n > 0]
 
 
+@trimmed
 def _count_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     n = np.zeros(IDS, np.int64)
     for batch in batches:
-        ids = _stack(batch.column(0))[:, 1:].ravel()
-        n += np.bincount(ids[ids >= 0], minlength=IDS)
+        n += np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), "<u2"), minlength=IDS)
+        n[END] += batch.num_rows
     at = np.flatnonzero(n)
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n[at])], ["id", "n"])
 
 
-def fit_model(windows: DataFrame, rounds: int = ROUNDS) -> tuple[dict, dict]:
-    """(weights, tables): rounds of local training on all windows, averaged by their number."""
-    got = windows.mapInArrow(_count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row per id at most
+def _averaged(shapes: dict, weights: list[dict]) -> tuple[dict, int]:
+    """Mean weights by the number of windows, and that number."""
+    total, n = {k: np.zeros(x, np.float64) for k, x in shapes.items()}, 0
+    for r in weights:
+        n += r["n"]
+        for k, x in shapes.items():
+            total[k] += r["n"] * np.frombuffer(r[f"w_{k}"], "<f4").reshape(x)
+    return {k: x / max(1, n) for k, x in total.items()}, n
+
+
+def fit_model(texts: DataFrame, rounds: int = ROUNDS) -> tuple[dict, dict]:
+    """(weights, tables) from all ids of the training texts (ids binary): rounds of local training, averaged."""
+    with small_batches(texts.sparkSession):
+        got = texts.select("ids").mapInArrow(_count_ids, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # one row per id at most
     counts = np.zeros(IDS)
     counts[np.array(got["id"], np.int64)] = np.array(got["n"], np.float64)
     t = tables(counts)
     w = start(t["prior"])
-    context = windows.sparkSession.sparkContext
+    shapes, names = {k: x.shape for k, x in w.items()}, ["n", *(f"w_{k}" for k in w)]
+    # Names of columns differ in more than case.
+    names = [x + "_of_groups" if x in ("w_U", "w_C") else x for x in names]
+    fields = "n long, " + ", ".join(f"{x} binary" for x in names[1:])
+    row = lambda w, n: [pa.array([n], pa.int64()), *(pa.array([x.astype("<f4").tobytes()], pa.binary()) for x in w.values())]
+    back = lambda r: {"n": r["n"]} | {f"w_{k}": r[x] for k, x in zip(shapes, names[1:], strict=True)}
     for k in range(rounds):
-        shared = context.broadcast((w, t))
+        shared = texts.sparkSession.sparkContext.broadcast((w, t))
 
+        @trimmed
         def run(batches: Iterator[pa.RecordBatch], shared=shared, k=k) -> Iterator[pa.RecordBatch]:
             w, t = shared.value
-            total, n = {x: np.zeros_like(y) for x, y in w.items()}, 0
+            w, n = {x: y.copy() for x, y in w.items()}, 0
+            seen = unseen(w)
             for batch in batches:  # a batch is bounded, so is what is held
-                if batch.num_rows:
-                    w = train_here(w, t, _stack(batch.column(0)), k)
-                    n += batch.num_rows
-            total = {x: y.astype("<f4").tobytes() for x, y in w.items()}
+                if windows := [windows_of(np.frombuffer(x, "<u2")) for x in batch.column(0).to_pylist()]:
+                    windows = np.concatenate(windows)
+                    train_here(w, t, windows, seen, k)
+                    n += len(windows)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), *(pa.array([v], pa.binary()) for v in total.values())], ["n", *total])
-
-        rows = windows.coalesce(TRAINERS).mapInArrow(run, "n long, " + ", ".join(f"{x} binary" for x in w)).collect()
+                task = pa.array([TaskContext.get().partitionId() % TRAINERS], pa.int32())
+                yield pa.RecordBatch.from_arrays([task, *row(w, n)], ["task", *names])
+
+        @trimmed
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for listed in batch.column(0).to_pylist():
+                    mean, n = _averaged(shapes, [back(r) for r in listed])
+                    yield pa.RecordBatch.from_arrays(row(mean, n), names)
+
+        trained = texts.select("ids").mapInArrow(run, "task int, " + fields).groupBy("task").agg(F.collect_list(F.struct(*names)).alias("listed")).select("listed").mapInArrow(add, fields)
+        with small_batches(texts.sparkSession):
+            rows = trained.collect()
         if rows:
-            share = np.array([r["n"] for r in rows], np.float64) / sum(r["n"] for r in rows)
-            w = {x: sum(s * np.frombuffer(r[x], "<f4").reshape(y.shape) for s, r in zip(share, rows, strict=True)).astype(np.float32) for x, y in w.items()}
+            w = {x: y.astype(np.float32) for x, y in _averaged(shapes, [back(r) for r in rows])[0].items()}
     return w, t
 
 
@@ -256,9 +361,10 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     path, spark = path or tokenizer_path(), docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.select("doc_id", whole_text().alias("text"))
-    gathered = stage(texts.mapInArrow(_gather(path), "word binary, n long, window binary"), "lm-gathered")
-    counts = stage(gathered.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
-    model = fit_model(gathered.where("window IS NOT NULL").select("window"))
+    coded = stage(texts.mapInArrow(_encode(path), f"doc_id {kind}, row long, text string, training boolean, ids binary, word long, n long"), "lm-coded")
+    texts = coded.where("row IS NOT NULL").select("doc_id", "row", "text", "training", "ids")
+    counts = stage(coded.where("word IS NOT NULL").groupBy("word").agg(F.sum("n").alias("c")), "lm-counts")
+    model = fit_model(texts.where("training"))
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     by_size = sorted(counts.groupBy(F.floor(F.log2("c") * 8).cast("int").alias("level")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("least")).collect(), reverse=True)  # a row per eighth of a power of 2
     held, bound = 0, 1 << 62
@@ -266,28 +372,37 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         if (held := held + n) > HEAVY:
             break
         bound = least
-    heavy = counts.where((F.col("c") >= bound) | (F.col("word") == F.lit(_END_WORD))).toArrow()
-    shared = spark.sparkContext.broadcast((model, dict(zip(heavy["word"].to_pylist(), (np.log10(np.array(heavy["c"], np.float64) + 1)).tolist(), strict=True))))
+    heavy = counts.where((F.col("c") >= bound) | (F.col("word") == _END_WORD)).toArrow().sort_by("word")
+    ends = [c for c, w in zip(heavy["c"].to_pylist(), heavy["word"].to_pylist(), strict=True) if w == _END_WORD]
+    shared = spark.sparkContext.broadcast((model, np.array(heavy["word"], np.int64), np.log10(np.array(heavy["c"], np.float64) + 1), ends[0] if ends else 0))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, ((w, t), logs), row = subwords(path), shared.value, TaskContext.get().partitionId() << 40
+        (w, t), words, logs, ends = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                out, coded = [], []
-                for doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    words = [*text.encode("utf-8", "replace").lower().split(), _END_WORD]
-                    found = list(map(logs.get, words))
-                    rare = list(Counter(x for x, f in zip(words, found, strict=True) if f is None).items()) if None in found else []
-                    known = [f for f in found if f is not None] if rare else found
-                    out.append((row, not is_training(doc_id), len(words), len(known), float(sum(known)), [{"word": x, "n": n} for x, n in rare]))
-                    coded.append(np.frombuffer(coder.encode(text), "<u4"))
-                    row += 1
-                kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.binary()), ("n", pa.int32())]))]
-                values = [pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), *values, pa.array(score_all(w, t, coded), pa.float64())], ["doc_id", "row", "held_out", "n_tokens", "known", "logs", "rare", "score"])
-
-    scored = stage(texts.mapInArrow(run, f"doc_id {kind}, row long, held_out boolean, n_tokens long, known long, logs double, rare array<struct<word: binary, n: int>>, score double"), "lm-scored")
+                n_tokens, known, sums, rare = [], [], [], []
+                for _, part in wordhash.parts(batch.column(2)):
+                    own = wordhash.words(part)
+                    h = own.h.view(np.int64)
+                    at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+                    found = words[at] == h if len(words) else np.zeros(len(h), bool)
+                    size = np.diff(own.first)
+                    n_tokens += (size + 1).tolist()
+                    known += (np.bincount(own.text, found, len(size)).astype(np.int64) + (ends > 0)).tolist()
+                    sums += (np.bincount(own.text[found], logs[at[found]], len(size)) + np.log10(ends + 1)).tolist()
+                    for i in range(len(size)):
+                        here = slice(own.first[i], own.first[i + 1])
+                        x, n = np.unique(h[here][~found[here]], return_counts=True)
+                        rare.append([{"word": a, "n": b} for a, b in zip(x.tolist(), n.tolist(), strict=True)])
+                score = score_all(w, t, [np.frombuffer(x, "<u2") for x in batch.column(4).to_pylist()])
+                held_out = [not x for x in batch.column(3).to_pylist()]
+                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])), pa.float64()]
+                values = [pa.array(v, k) for v, k in zip((held_out, n_tokens, known, sums, rare, score), kinds, strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], ["doc_id", "row", "held_out", "n_tokens", "known", "logs", "rare", "score"])
+
+    scored = stage(texts.mapInArrow(run, f"doc_id {kind}, row long, held_out boolean, n_tokens long, known long, logs double, rare array<struct<word: bigint, n: bigint>>, score double"), "lm-scored")
     rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word")
     rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
     full = scored.drop("rare").join(rare, "row", "left")
