@@ -4,16 +4,19 @@ A source's target is its weight's share of all words, capped at ``max_copies`` t
 reshared by weight. Within a source the target is spread over priority classes the same way, which gives each
 document an expected number of copies r. floor(r) copies are certain; for the rest, pi = r - floor(r) is the
 inclusion probability and documents are ranked by q = odds(u) / odds(pi), u being a hash of the document.
-Documents are taken in that order until the source's remaining words are used up (the last one if its middle
-lies inside), so the sample has a fixed size in words.
+The classes are graded by size, each doubling of a document's size raising its priority, so a source has about
+twenty inclusion odds. Documents are taken in order of q until the source's remaining words are used up (the last
+one if its middle lies inside), so the sample has a fixed size in words.
 
 No document moves: per source only a threshold on (q, hash) is found, from sums over buckets of q and an
 ordering inside the one bucket where the words run out; the documents are then kept by a filter. A hot
-source is spread over all its buckets.
+source is spread over all its buckets. The targets of the sources are set in one task, which sees a row for each
+source; so sources are kinds of text, some millions at most, not hosts.
 
 Defined cases: a null or blank text has size 0 and takes 0 words; a null source is a source of its own, last
-in order; repeated rows share one rank and are taken together; an empty table gives an empty result; columns
-of the input are kept, those named as an output column are replaced.
+in order; repeated rows share one rank, and where the words run out among them as many are taken as fit; an empty
+table gives an empty result; columns of the input are kept, whatever their names, those named as an output column
+are replaced.
 """
 
 from __future__ import annotations
@@ -31,8 +34,8 @@ MAX_COPIES = 3
 BUCKET = 4096
 #: Sources whose plan is broadcast at most; with more the join shuffles, and Spark splits hot sources.
 MAX_BROADCAST = 20_000
-#: Documents of fewer words have the lower priority.
-SHORT, PRIORITY_SHORT, PRIORITY = 50, 3, 4
+#: Priority of a document: so much more than the binary digits of its size.
+PRIORITY = 6
 
 
 def _fill(cells: DataFrame, keys: list[str], total: str, weight: str, cap: str, out: str) -> DataFrame:
@@ -53,7 +56,10 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES,
     size = F.regexp_count(whole_text(), F.lit(WORD)).cast("long") if size is None else size
     seed = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), whole_text())) if seed is None else seed
     names = ("size", "source_size", "target", "copies", "taken")
-    base = docs.select(*[c for c in docs.columns if c not in names], size.alias("size"), seed.alias("_seed")).withColumn("_class", F.when(F.col("size") < SHORT, PRIORITY_SHORT).otherwise(PRIORITY))
+    kept = [c for c in docs.columns if c not in names]
+    # Inside, columns have names of their own, so none clashes.
+    inner = {c: f"_own{i}" for i, c in enumerate(kept)}
+    base = docs.select(F.col("source"), size.alias("size"), seed.alias("_seed"), *(F.col(f"`{c}`").alias(n) for c, n in inner.items())).withColumn("_class", F.length(F.bin("size")) + PRIORITY)
     cells = stage(base.groupBy("source", "_class").agg(F.sum("size").alias("cell"), F.count(F.lit(1)).alias("n")), "mix-cells")
     # The sources, not their documents, meet in this window.
     sources = cells.groupBy("source").agg(F.sum("cell").alias("source_size")).withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())))
@@ -85,15 +91,30 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, max_copies: int = MAX_COPIES,
     edge = stage(edge.select("source", F.col("e.b").alias("edge"), F.col("e.before").alias("before")), "mix-edge")
     e = small(edge, MAX_BROADCAST).withColumnRenamed("source", "_s")
     inside = slim.join(e, F.col("source").eqNullSafe(F.col("_s")) & (F.col("b") == F.col("edge"))).drop("_s")
-    order = Window.partitionBy("source", "b").orderBy("q", "_seed").rowsBetween(Window.unboundedPreceding, 0)
-    last = inside.withColumn("to", F.col("before") + F.sum("size").over(order)).where("to - size / 2 <= rest").groupBy("source").agg(F.max(F.struct("q", "_seed")).alias("last"))
-    cut = stage(edge.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "edge", "last"), "mix-cut")
-    c = small(cut, MAX_BROADCAST).withColumnRenamed("source", "_s")
+    # Repeated rows are one row here with their number, so a group of copies of any size is one.
+    inside = inside.groupBy("source", "q", "_seed", "size").agg(F.count(F.lit(1)).alias("n"), F.max("before").alias("before"), F.max("rest").alias("rest"))
+    order = Window.partitionBy("source").orderBy("q", "_seed").rowsBetween(Window.unboundedPreceding, 0)
+    inside = inside.withColumn("from", F.col("before") + F.sum(F.col("n") * F.col("size")).over(order) - F.col("n") * F.col("size"))
+    inside = inside.withColumn("fit", F.least(F.col("n"), F.floor((F.col("rest") - F.col("from")) / F.col("size") + 0.5))).where("fit > 0")
+    last = inside.groupBy("source").agg(F.max(F.struct("q", "_seed", "fit", "n")).alias("last"))
+    cut = stage(edge.join(last.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s")), "left").select("source", "edge", F.struct("last.q", "last._seed").alias("last"), "last.fit", "last.n"), "mix-cut")
+    c = small(cut.drop("n"), MAX_BROADCAST).withColumnRenamed("source", "_s")
     done = ranked(base).join(c, F.col("source").eqNullSafe(F.col("_s")), "left")
-    more = F.coalesce((F.col("b") < F.col("edge")) | (F.col("b") == F.col("edge")) & (F.struct("q", "_seed") <= F.col("last")), F.lit(False))
-    done = done.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)).cast("long") + more.cast("long"))
+    at_edge, here = F.col("b") == F.col("edge"), F.struct("q", "_seed")
+    more = F.coalesce((F.col("b") < F.col("edge")) | at_edge & (here <= F.col("last")), F.lit(False))
+    if not cut.where("fit < n").isEmpty():
+        # Of the repeated rows where the words run out as many are taken as fit, numbered by task and within it.
+        tied = F.coalesce(at_edge & (here == F.col("last")), F.lit(False))
+        some = stage(done.where(tied).withColumn("_task", F.spark_partition_id()), "mix-tied")
+        counts = some.groupBy("source", "_task").agg(F.count(F.lit(1)).alias("_k"))
+        counts = counts.withColumn("_before", F.sum("_k").over(Window.partitionBy("source").orderBy("_task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_k")).withColumnsRenamed({"source": "_s2", "_task": "_t2"})
+        some = some.join(counts, F.col("source").eqNullSafe(F.col("_s2")) & (F.col("_task") == F.col("_t2"))).withColumn("_more", F.row_number().over(Window.partitionBy("source", "_task").orderBy("_seed")) + F.col("_before") <= F.col("fit"))
+        done = done.where(~tied).withColumn("_more", more).unionByName(some.drop("_k", "_before", "_s2", "_t2", "_task"))
+    else:
+        done = done.withColumn("_more", more)
+    done = done.withColumn("copies", F.coalesce(F.col("whole"), F.lit(0)).cast("long") + F.col("_more").cast("long"))
     zero = lambda name, kind: F.coalesce(F.col(name), F.lit(0)).cast(kind).alias(name)
-    return done.select(*[x for x in docs.columns if x not in names], "size", zero("source_size", "long"), zero("target", "double"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return done.select(*(F.col(n).alias(x) for x, n in inner.items()), "size", zero("source_size", "long"), zero("target", "double"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,7 +126,7 @@ def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL = f"""
 WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS seed FROM documents),
-b AS (SELECT *, CASE WHEN size < {SHORT} THEN {PRIORITY_SHORT} ELSE {PRIORITY} END AS class FROM d),
+b AS (SELECT *, length(bin(size)) + {PRIORITY} AS class FROM d),
 s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source ASC NULLS LAST) AS rk FROM b GROUP BY source),
 s1 AS (SELECT *, (rk - 1) % 3 + 1 AS w, source_size * {MAX_COPIES} AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM s0),
 s2 AS (SELECT *, CAST(total - (sum(cap) OVER o - cap) AS DOUBLE) / CAST(sum(w) OVER (ORDER BY cap / w, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS DOUBLE) AS level FROM s1 WINDOW o AS (ORDER BY cap / w, rk ROWS UNBOUNDED PRECEDING)),

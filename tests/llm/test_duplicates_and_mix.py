@@ -254,6 +254,28 @@ def test_mix_comes_near_targets(make):
     assert mix_sources.mix_sources(docs.where("false")).count() == 0
 
 
+def test_repeated_rows_come_near_their_target(make):
+    rows = [(1, "w " * 10, "a")] * 500 + [(1000 + i, "w " * 10, "b") for i in range(500)] + [(3000, "w", None)]
+    docs = make(rows).withColumns({c: F.lit("kept") for c in ("rest", "edge", "q", "b", "last", "rank", "w", "cap", "pi", "_class")})
+    got = mix_sources.mix_sources(docs).collect()
+    taken = Counter()
+    for r in got:
+        taken[r["source"]] += r["taken"]
+        assert {r[c] for c in ("rest", "edge", "q", "b", "last", "rank", "w", "cap", "pi", "_class")} == {"kept"}
+    target = {r["source"]: r["target"] for r in got}
+    assert len(got) == len(rows) and all(abs(taken[s] - target[s]) <= 10 for s in target), (taken, target)
+    again = Counter((r["source"], r["doc_id"], r["copies"]) for r in mix_sources.mix_sources(docs.repartition(5)).collect())
+    assert again == Counter((r["source"], r["doc_id"], r["copies"]) for r in got)
+
+
+def test_larger_documents_have_better_odds(make):
+    rng = random.Random(23)
+    rows = [(i, " ".join(["w"] * rng.choice([4, 40, 400])), "a") for i in range(1500)] + [(9000 + i, "w " * 100, "b") for i in range(1000)]
+    got = [r for r in mix_sources.mix_sources(make(rows)).collect() if r["source"] == "a"]
+    share = {n: sum(r["copies"] for r in got if r["size"] == n) / sum(r["size"] == n for r in got) for n in (4, 40, 400)}
+    assert share[4] < share[40] < share[400], share
+
+
 def test_capped_targets_are_reshared(make):
     rows = [(i, "w " * 10, "big") for i in range(90)] + [(100 + i, "w", "tiny") for i in range(5)] + [(200, "w w", "x")]
     got = {r["source"]: r["target"] for r in mix_sources.mix_sources(make(rows)).collect()}
