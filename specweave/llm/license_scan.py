@@ -3,8 +3,9 @@
 Every rolling word bigram of a text is joined by hash (and by its two words, so a hash collision cannot
 vote) to the positions it has in short license templates. A vote at text position p for template position
 t falls on diagonal p - t. Votes are summed by diagonal, neighbouring diagonals (an inserted or missing word
-moves the diagonal by one) are merged, and a merged span counts when it covers enough of the template
-within a bounded length.
+moves the diagonal by one) are merged, and a merged span is verified: it counts when it covers enough of the template
+within a bounded length, and of overlapping spans only those that cover most of their templates count. So a notice
+of one licence does not get the label of another one that differs from it by a word or two.
 
 Defined cases: a null text is empty; a text without words gives zero places, null positions, empty labels
 and score 0; repeated rows and null doc_ids each give their own row; an empty table gives an empty result;
@@ -85,14 +86,19 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, id_col:
     islands = diagonals.withColumn("new", F.when((F.col("t") < n_base) | F.lag("diag").over(by).isNull() | (F.col("diag") - F.lag("diag").over(by) > BAND), 1).otherwise(0)).withColumn("island", F.sum("new").over(by))
     spans = islands.groupBy("row", "doc_id", "t", "island").agg(
         F.max("n").alias("n"), F.min("diag").alias("start"), F.max(F.size("tps")).alias("best"),
-        F.size(F.array_distinct(F.flatten(F.collect_list("tps")))).alias("merged"), (F.max("hi") + 2 - F.min("lo")).alias("length"),
+        F.size(F.array_distinct(F.flatten(F.collect_list("tps")))).alias("merged"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
     )
     found = spans.where("t >= 0").select(
-        "row", "doc_id", "t", "start",
-        (F.when(F.col("length") <= STRETCH * (of(bigrams) + 1), F.col("merged")).otherwise(F.col("best")) / of(bigrams)).alias("cover"), of([x for _, x in listed]).alias("label"),
+        "row", "doc_id", "t", "start", "lo", "hi",
+        (F.when(F.col("hi") + 2 - F.col("lo") <= STRETCH * (of(bigrams) + 1), F.col("merged")).otherwise(F.col("best")) / of(bigrams)).alias("cover"), of([x for _, x in listed]).alias("label"),
     )
     base = (F.col("t") < n_base) & (F.col("cover") == 1)
-    kept = base | (F.col("t") >= n_base) & (F.col("cover") >= COVERAGE)
+    found = found.withColumn("fit", (F.col("t") >= n_base) & (F.col("cover") >= COVERAGE))
+    along = Window.partitionBy("row", "fit").orderBy("lo", "hi", "t")
+    apart = F.when(F.col("lo") > F.max("hi").over(along.rowsBetween(Window.unboundedPreceding, -1)), 1).otherwise(0)
+    found = found.withColumn("apart", apart).withColumn("cluster", F.sum("apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    found = found.withColumn("most", F.max("cover").over(Window.partitionBy("row", "fit", "cluster")))
+    kept = base | F.col("fit") & (F.col("cover") == F.col("most"))
     rows = found.select("row", "doc_id", F.lit(None).cast("int").alias("n"), base.alias("base"), "start", F.when(kept, F.col("label")).alias("label"), "cover").unionByName(
         spans.where("t < 0").select("row", "doc_id", "n", F.lit(False).alias("base"), F.lit(None).cast("int").alias("start"), F.lit(None).cast("string").alias("label"), F.lit(0.0).alias("cover"))
     )
@@ -122,11 +128,15 @@ v AS (SELECT doc_id, t, k, label, pos, tp, pos - tp AS diag FROM g JOIN tm ON w[
 dg AS (SELECT doc_id, t, k, label, diag, list_distinct(list(tp)) AS tps, min(pos) AS lo, max(pos) AS hi FROM v GROUP BY ALL),
 fl AS (SELECT *, CASE WHEN t < {n} OR lag(diag) OVER b IS NULL OR diag - lag(diag) OVER b > {BAND} THEN 1 ELSE 0 END AS new FROM dg WINDOW b AS (PARTITION BY doc_id, t ORDER BY diag)),
 il AS (SELECT *, sum(new) OVER (PARTITION BY doc_id, t ORDER BY diag) AS island FROM fl),
-sp AS (SELECT doc_id, t, k, label, min(diag) AS start, max(len(tps)) AS best, len(list_distinct(flatten(list(tps)))) AS merged, max(hi) + 2 - min(lo) AS length FROM il GROUP BY doc_id, t, k, label, island),
-f AS (SELECT doc_id, t, label, start, CAST(CASE WHEN length <= {STRETCH} * (k + 1) THEN merged ELSE best END AS DOUBLE) / k AS cover FROM sp),
+sp AS (SELECT doc_id, t, k, label, min(diag) AS start, max(len(tps)) AS best, len(list_distinct(flatten(list(tps)))) AS merged, min(lo) AS lo, max(hi) AS hi FROM il GROUP BY doc_id, t, k, label, island),
+f0 AS (SELECT doc_id, t, label, start, lo, hi, CAST(CASE WHEN hi + 2 - lo <= {STRETCH} * (k + 1) THEN merged ELSE best END AS DOUBLE) / k AS cover FROM sp),
+f1 AS (SELECT *, t >= {n} AND cover >= {COVERAGE} AS fit FROM f0),
+f2 AS (SELECT *, CASE WHEN lo > max(hi) OVER (PARTITION BY doc_id, fit ORDER BY lo, hi, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS apart FROM f1),
+f3 AS (SELECT *, sum(apart) OVER (PARTITION BY doc_id, fit ORDER BY lo, hi, t ROWS UNBOUNDED PRECEDING) AS clus FROM f2),
+f AS (SELECT *, fit AND cover = max(cover) OVER (PARTITION BY doc_id, fit, clus) AS kept FROM f3),
 s AS (SELECT doc_id, count(*) FILTER (t < {n} AND cover = 1) AS n_base, min(start) FILTER (t < {n} AND cover = 1) AS first_word, max(start) FILTER (t < {n} AND cover = 1) AS last_word,
   array_to_string(list_sort(list_distinct(list(label) FILTER (t < {n} AND cover = 1))), ',') AS base_labels,
-  array_to_string(list_sort(list_distinct(list(label) FILTER (t < {n} AND cover = 1 OR t >= {n} AND cover >= {COVERAGE}))), ',') AS labels, max(cover) AS score FROM f GROUP BY doc_id)
+  array_to_string(list_sort(list_distinct(list(label) FILTER (t < {n} AND cover = 1 OR kept))), ',') AS labels, max(cover) AS score FROM f GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, CAST(first_word AS BIGINT) AS first_word, CAST(last_word AS BIGINT) AS last_word,
   coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, coalesce(score, 0.0)::DOUBLE AS score
 FROM d LEFT JOIN s ON d.doc_id = s.doc_id"""
