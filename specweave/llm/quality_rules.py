@@ -1,9 +1,12 @@
 """Quality rules: a linear-chain conditional random field marks each line as content or boilerplate.
 
 Line features feed a two-state chain whose weights are trained by gradient ascent on the conditional
-likelihood, on a bounded sample of labelled documents (MAX_LABELLED; the lines of a poor document count as
-boilerplate, those of a good one as content). Viterbi decoding labels the lines of every whole text; the share
-of words in content lines decides whether a document is kept, after fixed base rules.
+likelihood, on a bounded sample of labelled documents (MAX_LABELLED). There are no labels of lines, so each line of
+the sample gets a weak one of its own: its document's rating, unless the line itself speaks against it. In a good
+document a line that repeats an earlier one or is full of symbols is boilerplate; in a poor one a long line that
+ends like a sentence, is new and has few symbols is content. So sequences hold both states and changes between them
+are learnt. Viterbi decoding labels the lines of every whole
+text; the share of words in content lines decides whether a document is kept, after fixed base rules.
 
 Defined cases: a null or empty text has no words, content share 0 and fails the base rules; lines without a
 word are skipped; repeated rows are treated each; without usable labels the start weights mark all lines as
@@ -26,6 +29,8 @@ LEAST_CONTENT = 0.5
 #: Base rules: fewest words, and most percent of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 50, 50
 WINDOW = 3
+#: Symbols a word from which a line is full of them, or no longer has few; words of a line that reads like a sentence.
+MANY_SYMBOLS, FEW_SYMBOLS, SENTENCE = 0.25, 0.1, 16
 _SYMBOLS, _DIGITS = b"#*$%&|<>", b"0123456789"
 N_FEATURES = 10
 
@@ -76,21 +81,20 @@ def start_weights() -> tuple[np.ndarray, np.ndarray]:
     return w, np.zeros((2, 2))
 
 
-def fit(sequences: list[np.ndarray], states: np.ndarray, epochs: int = 60, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
+def fit(sequences: list[np.ndarray], states: list[np.ndarray], epochs: int = 60, rate: float = 0.5, decay: float = 1e-3) -> tuple[np.ndarray, np.ndarray]:
     """Maximum conditional likelihood by full-batch gradient ascent; forward and backward over padded lines."""
     w, t = start_weights()
-    sequences, states = [s for s in sequences if len(s)], states[[len(s) > 0 for s in sequences]]
-    if not sequences:
+    pairs = [(x, y) for x, y in zip(sequences, states, strict=True) if len(x)]
+    if not pairs:
         return w, t
-    size, most = len(sequences), max(map(len, sequences))
-    x, there = np.zeros((size, most, N_FEATURES)), np.zeros((size, most), bool)
-    for i, s in enumerate(sequences):
-        x[i, : len(s)], there[i, : len(s)] = s, True
-    gold = np.eye(2)[states]
+    size, most = len(pairs), max(len(x) for x, _ in pairs)
+    x, there, gold = np.zeros((size, most, N_FEATURES)), np.zeros((size, most), bool), np.zeros((size, most, 2))
+    for i, (own, marks) in enumerate(pairs):
+        x[i, : len(own)], there[i, : len(own)], gold[i, np.arange(len(own)), marks] = own, True, 1
     total = there.sum()
     pairs = there[:, 1:]
-    gold_t = np.einsum("n,na,nb->ab", pairs.sum(1), gold, gold)
-    gold_w = np.einsum("ntf,ns->fs", x * there[..., None], gold)
+    gold_t = np.einsum("nta,ntb->ab", gold[:, :-1] * pairs[..., None], gold[:, 1:])
+    gold_w = np.einsum("ntf,nts->fs", x, gold)
     seen_w, seen_t = np.full_like(w, 1e-8), np.full_like(t, 1e-8)
     for _ in range(epochs):
         e = x @ w
@@ -128,12 +132,26 @@ def viterbi(scores: list[list[float]], t: list[list[float]]) -> list[int]:
     return out[::-1]
 
 
+def line_states(x: np.ndarray, sizes: np.ndarray, good: bool) -> np.ndarray:
+    """The weak state of each line of a document by its features and words: 1 content, 0 boilerplate."""
+    new = x[:, 4] == 0
+    return (new & (x[:, 2] < MANY_SYMBOLS) if good else new & (x[:, 2] < FEW_SYMBOLS) & (x[:, 6] > 0) & (sizes >= SENTENCE)).astype(int)
+
+
+def _observed(text: str) -> tuple[bytes, bytes]:
+    """Features and words of a text's lines."""
+    _, rows, sizes = scan(text)
+    return np.array(rows, np.float64).tobytes(), np.array(sizes, np.int32).tobytes()
+
+
 def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED) -> tuple[np.ndarray, np.ndarray]:
-    sample = append(labelled_sample(docs, labels, most), "f binary", lambda: lambda texts: [[np.array(scan(x)[1]).tobytes() for x in texts]], keep=False)
+    """Weights from a bounded sample of labelled documents, all of their lines."""
+    sample = append(labelled_sample(docs, labels, most), "f binary, n binary", lambda: lambda texts: list(zip(*map(_observed, texts), strict=True)) or [[]] * 2, keep=False)
     got = sample.toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
-    texts, states = [np.frombuffer(x).reshape(-1, N_FEATURES) for x in got["f"].to_pylist()], (np.array(got["quality"].to_pylist(), np.int64) > 0).astype(int)
-    starts = [range(0, len(x), FIT_LINES) for x in texts]
-    return fit([x[i : i + FIT_LINES] for x, at in zip(texts, starts, strict=True) for i in at], np.repeat(states, [len(at) for at in starts]))
+    texts = [np.frombuffer(x).reshape(-1, N_FEATURES) for x in got["f"].to_pylist()]
+    states = [line_states(x, np.frombuffer(n, np.int32), q > 0) for x, n, q in zip(texts, got["n"].to_pylist(), got["quality"].to_pylist(), strict=True)]
+    cut = [(x[i : i + FIT_LINES], s[i : i + FIT_LINES]) for x, s in zip(texts, states, strict=True) for i in range(0, len(x), FIT_LINES)]
+    return fit([x for x, _ in cut], [s for _, s in cut])
 
 
 def apply_rules(docs: DataFrame, model) -> DataFrame:
