@@ -44,8 +44,8 @@ WIDTH, BUCKETS, OWN_BUCKETS = 8, 4096, 3072
 CLASSES, OWN_CLASSES, GROUP = 256, 208, 16
 GROUPS = CLASSES // GROUP
 ROUNDS, BATCH, RATE, TRAINERS = 1, 256, 0.2, 256
-#: Words whose counts are broadcast, at most.
-HEAVY = 1_000_000
+#: Words whose counts are broadcast, at most; of those that fall on one of the slots the most frequent, the rest are joined.
+HEAVY, SLOT_BITS = 1_000_000, 21
 #: Distinct words a task holds before it passes their counts on.
 HELD = 400_000
 #: Windows in one batch of attention.
@@ -110,7 +110,7 @@ def _attention(w: dict, x: np.ndarray):
 def attend(w: dict, x: np.ndarray):
     """(scaled queries, keys, values, attention, mixed values) of a batch of windows x (n, LENGTH, WIDTH)."""
     q, k, v, a = _attention(w, x)
-    a /= a.sum(-1, keepdims=True)
+    a /= _sums(a)[..., None]
     return q, k, v, a, a @ v
 
 
@@ -131,6 +131,11 @@ def _in_groups(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield g, order[ends[g] : ends[g + 1]]
 
 
+def _sums(x: np.ndarray) -> np.ndarray:
+    """Sums along the last, short axis, as a product."""
+    return x @ np.ones(x.shape[-1], x.dtype)
+
+
 def _scores(h: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
     s = h @ u
     s += c
@@ -142,11 +147,11 @@ def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
     h, flat = (x + _times(mixed(w, x), w["o"])).reshape(-1, WIDTH), target.ravel()
     s = _scores(h, w["u"], w["c"])
     out = s[np.arange(len(s)), flat // GROUP]
-    out -= np.log(np.exp(s, out=s).sum(-1))
+    out -= np.log(_sums(np.exp(s, out=s)))
     for g, at in _in_groups(flat):
         s = _scores(h[at], w["U"][g], w["C"][g])
         got = s[np.arange(len(s)), flat[at] % GROUP]
-        out[at] += got - np.log(np.exp(s, out=s).sum(-1))
+        out[at] += got - np.log(_sums(np.exp(s, out=s)))
     return out.reshape(target.shape)
 
 
@@ -160,7 +165,7 @@ def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarra
     def excess(s: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
         """Probabilities less 1 at the target, weighted."""
         np.exp(s, out=s)
-        s *= weight / s.sum(-1, keepdims=True)
+        s *= weight / _sums(s)[:, None]
         s[np.arange(len(s)), own] -= weight[:, 0]
         return s
 
@@ -176,7 +181,7 @@ def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarra
     outer = lambda m, n: m.reshape(-1, m.shape[-1]).T @ n.reshape(-1, n.shape[-1])
     dz = _times(dh, w["o"].T)
     da = dz @ v.transpose(0, 2, 1)
-    da -= (da * a).sum(-1, keepdims=True)
+    da -= np.einsum("nij,nij->ni", da, a)[..., None]
     da *= a
     dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz
     scale = WIDTH**-0.5
@@ -372,39 +377,40 @@ def score_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         if (held := held + n) > HEAVY:
             break
         bound = least
-    heavy = counts.where((F.col("c") >= bound) | (F.col("word") == _END_WORD)).toArrow().sort_by("word")
+    heavy = counts.where((F.col("c") >= bound) | (F.col("word") == _END_WORD)).toArrow().sort_by("c")
     ends = [c for c, w in zip(heavy["c"].to_pylist(), heavy["word"].to_pylist(), strict=True) if w == _END_WORD]
-    shared = spark.sparkContext.broadcast((model, np.array(heavy["word"], np.int64), np.log10(np.array(heavy["c"], np.float64) + 1), ends[0] if ends else 0))
+    known_words, slots = np.array(heavy["word"], np.int64), np.zeros(1 << SLOT_BITS, np.int32)
+    slots[known_words.view(np.uint64) >> np.uint64(64 - SLOT_BITS)] = np.arange(len(known_words))
+    shared = spark.sparkContext.broadcast((model, slots, known_words, np.log10(np.array(heavy["c"], np.float64) + 1), ends[0] if ends else 0))
 
     @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (w, t), words, logs, ends = shared.value
+        (w, t), slots, words, logs, ends = shared.value
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                n_tokens, known, sums, rare = [], [], [], []
+                n_tokens, known, sums, rare, n_rare = [], [], [], [], []
                 for _, part in wordhash.parts(batch.column(2)):
                     own = wordhash.words(part)
                     h = own.h.view(np.int64)
-                    at = np.minimum(np.searchsorted(words, h), max(0, len(words) - 1))
+                    at = slots[own.h >> np.uint64(64 - SLOT_BITS)]
                     found = words[at] == h if len(words) else np.zeros(len(h), bool)
                     size = np.diff(own.first)
-                    n_tokens += (size + 1).tolist()
-                    known += (np.bincount(own.text, found, len(size)).astype(np.int64) + (ends > 0)).tolist()
-                    sums += (np.bincount(own.text[found], logs[at[found]], len(size)) + np.log10(ends + 1)).tolist()
-                    for i in range(len(size)):
-                        here = slice(own.first[i], own.first[i + 1])
-                        x, n = np.unique(h[here][~found[here]], return_counts=True)
-                        rare.append([{"word": a, "n": b} for a, b in zip(x.tolist(), n.tolist(), strict=True)])
+                    n_tokens.append(size + 1)
+                    known.append(np.bincount(own.text, found, len(size)).astype(np.int64) + (ends > 0))
+                    sums.append(np.bincount(own.text[found], logs[at[found]], len(size)) + np.log10(ends + 1))
+                    rare.append(h[~found])
+                    n_rare.append(np.bincount(own.text, ~found, len(size)))
                 score = score_all(w, t, [np.frombuffer(x, "<u2") for x in batch.column(4).to_pylist()])
-                held_out = [not x for x in batch.column(3).to_pylist()]
-                kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.list_(pa.struct([("word", pa.int64()), ("n", pa.int64())])), pa.float64()]
-                values = [pa.array(v, k) for v, k in zip((held_out, n_tokens, known, sums, rare, score), kinds, strict=True)]
+                held_out = pa.array([not x for x in batch.column(3).to_pylist()], pa.bool_())
+                flat = lambda x, kind: pa.array(np.concatenate(x), kind)
+                offsets = np.concatenate([[0], np.cumsum(np.concatenate(n_rare))]).astype(np.int32)
+                values = [held_out, flat(n_tokens, pa.int64()), flat(known, pa.int64()), flat(sums, pa.float64()), pa.ListArray.from_arrays(pa.array(offsets), flat(rare, pa.int64())), pa.array(score, pa.float64())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *values], ["doc_id", "row", "held_out", "n_tokens", "known", "logs", "rare", "score"])
 
-    scored = stage(texts.mapInArrow(run, f"doc_id {kind}, row long, held_out boolean, n_tokens long, known long, logs double, rare array<struct<word: bigint, n: bigint>>, score double"), "lm-scored")
-    rare = scored.select("row", F.explode("rare").alias("r")).select("row", "r.word", "r.n").join(counts, "word")
-    rare = rare.groupBy("row").agg(F.sum("n").alias("more"), F.sum(F.col("n") * F.log10(F.col("c") + 1)).alias("more_logs"))
+    scored = stage(texts.mapInArrow(run, f"doc_id {kind}, row long, held_out boolean, n_tokens long, known long, logs double, rare array<bigint>, score double"), "lm-scored")
+    rare = scored.select("row", F.explode("rare").alias("word")).join(counts, "word")
+    rare = rare.groupBy("row").agg(F.count(F.lit(1)).alias("more"), F.sum(F.log10(F.col("c") + 1)).alias("more_logs"))
     full = scored.drop("rare").join(rare, "row", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return full.select(
