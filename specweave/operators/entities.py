@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from specweave.functions.scalars import ELEMENT_TYPES, RELATION_TYPES, flatten_unique, strip
+from specweave.functions.scalars import ELEMENT_TYPES, RELATION_TYPES, strip
 
 LEAST_CONFIDENCE, LEAST_CROSS_CONFIDENCE = 0.75, 0.60
 
@@ -15,9 +15,22 @@ def first_best(value: Column, seq: str = "seq") -> Column:
     return F.min_by(value, F.struct((-F.col("confidence")).alias("c"), F.col(seq).alias("s")))
 
 
-def in_order(array: str, seq: str = "seq") -> Column:
-    """Ordered distinct union of an array column over a group."""
-    return flatten_unique(F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(array).alias("v")))), lambda x: x["v"]))
+def with_unions(rows: DataFrame, group: list[str], merged: DataFrame, arrays: tuple[str, ...], seq: str = "seq") -> DataFrame:
+    """merged (a row per group) with the ordered distinct union of each array column over its group.
+
+    Each value is first reduced to its earliest place, so a group gathers its distinct values only, not its rows.
+    """
+    empty = F.array().cast("array<string>")
+    tag = lambda k: lambda x, i: F.struct(F.lit(k).alias("k"), i.alias("p"), strip(x).alias("v"))
+    tagged = [F.transform(F.coalesce(F.col(a), empty), tag(k)) for k, a in enumerate(arrays)]
+    each = rows.select(*group, F.col(seq).alias("_s"), F.explode(F.concat(*tagged)).alias("_x")).where("_x.v <> ''")
+    first = each.groupBy(*group, F.col("_x.k").alias("_k"), F.col("_x.v").alias("_v")).agg(F.min(F.struct("_s", "_x.p")).alias("_at"))
+    listed = first.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("_at", "_k", "_v"))).alias("_all"))
+    own = [f"_g{i}" for i in range(len(group))]
+    same = [F.col(c).eqNullSafe(F.col(o)) for c, o in zip(group, own, strict=True)]
+    joined = merged.join(listed.withColumnsRenamed(dict(zip(group, own, strict=True))), same, "left")
+    of = lambda k: F.coalesce(F.transform(F.filter("_all", lambda x: x["_k"] == k), lambda x: x["_v"]), empty)
+    return joined.withColumns({a: of(k) for k, a in enumerate(arrays)}).drop("_all", *own)
 
 
 def merge_key(name: Column) -> Column:
@@ -31,10 +44,9 @@ def valid_elements(elements: DataFrame) -> DataFrame:
 
 def merge_elements(elements: DataFrame, keys: list[str]) -> DataFrame:
     """One row per normalised name and type; seq numbers the result by lower-cased name, ties in first-seen order."""
-    merged = elements.groupBy(*keys, merge_key(F.col("name")).alias("_key"), "element_type").agg(
-        first_best(F.col("name")).alias("name"), F.max("confidence").alias("confidence"), in_order("source_frs").alias("source_frs"),
-        in_order("supporting_excerpts").alias("supporting_excerpts"), in_order("aliases").alias("aliases"), first_best(F.col("description")).alias("description"), F.min("seq").alias("_first"),
-    )
+    elements, group = elements.withColumn("_key", merge_key(F.col("name"))), [*keys, "_key", "element_type"]
+    merged = elements.groupBy(*group).agg(first_best(F.col("name")).alias("name"), F.max("confidence").alias("confidence"), first_best(F.col("description")).alias("description"), F.min("seq").alias("_first"))
+    merged = with_unions(elements, group, merged, ("source_frs", "supporting_excerpts", "aliases"))
     order = Window.partitionBy(*keys).orderBy(F.lower("name"), "_first")
     return merged.withColumn("seq", F.row_number().over(order)).drop("_key", "_first")
 
@@ -58,10 +70,9 @@ def valid_relations(relations: DataFrame, aliases: DataFrame, keys: list[str], c
 
 def dedup_relations(relations: DataFrame, keys: list[str]) -> DataFrame:
     """One row per (source, target, type), in first-seen order."""
-    return relations.groupBy(*keys, "source", "target", "relation_type").agg(
-        F.max("confidence").alias("confidence"), in_order("source_frs").alias("source_frs"), in_order("supporting_excerpts").alias("supporting_excerpts"),
-        first_best(F.col("justification")).alias("justification"), F.bool_or("cross_requirement").alias("cross_requirement"), F.min("seq").alias("seq"),
-    )
+    group = [*keys, "source", "target", "relation_type"]
+    merged = relations.groupBy(*group).agg(F.max("confidence").alias("confidence"), first_best(F.col("justification")).alias("justification"), F.bool_or("cross_requirement").alias("cross_requirement"), F.min("seq").alias("seq"))
+    return with_unions(relations, group, merged, ("source_frs", "supporting_excerpts")).select(*group, "confidence", "source_frs", "supporting_excerpts", "justification", "cross_requirement", "seq")
 
 
 def isolated(elements: DataFrame, relations: DataFrame, keys: list[str]) -> DataFrame:

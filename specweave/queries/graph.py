@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from specweave.operators import graph as g
 from specweave.operators import ranking as r
-from specweave.operators.entities import dedup_relations
+from specweave.operators.entities import dedup_relations, isolated
+from specweave.storage import stage
 
 KEYS = ["doc"]
 PARENTS = 3
@@ -39,7 +40,7 @@ def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _edges(spark, sf_dir) -> DataFrame:
     pairs = g.collapse_pairs(typed_edges(spark, sf_dir).withColumn("edge_key", F.concat(F.lit("relation-"), (F.col("seq") - 1).cast("string"))), KEYS)
-    return g.limit_parents(pairs, KEYS, PARENTS)[0]
+    return stage(g.limit_parents(pairs, KEYS, PARENTS)[0], "edges")  # read by each step of the search
 
 
 def _records(spark, sf_dir) -> DataFrame:
@@ -76,17 +77,36 @@ def relation_dedup(spark, sf_dir):
         F.concat(F.lit("line "), F.col("l_orderkey").cast("string"), F.lit("."), F.col("l_linenumber").cast("string")).alias("justification"), (F.col("l_tax") > 0.05).alias("cross_requirement"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("seq"),
     )
     d = dedup_relations(raw, KEYS)
-    return d.select("source", "target", "relation_type", "confidence", F.array_join(F.array_sort("source_frs"), ",").alias("source_frs"), "justification", "cross_requirement", F.col("seq").alias("first_seq"))
+    return d.select("source", "target", "relation_type", "confidence", F.array_join("source_frs", ",").alias("source_frs"), "justification", "cross_requirement", F.col("seq").alias("first_seq"))
+
+
+def _customers(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("doc"), F.col("c_custkey").alias("name"), "c_custkey", "c_mktsegment")
+
+
+def _orders_as_relations(spark, sf_dir, where: str) -> DataFrame:
+    """Urgent or filled orders as relations from their customer to the one 25 keys on, in the customer's nation."""
+    o = table(spark, sf_dir, "orders").where(where).join(_customers(spark, sf_dir).select("doc", F.col("name").alias("o_custkey")), "o_custkey")
+    return o.select("doc", F.col("o_custkey").alias("source"), (F.col("o_custkey") + 25).alias("target"), F.col("o_orderkey").alias("seq"))
 
 
 def isolated_nodes(spark, sf_dir):
-    edges = table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(edges, "c_custkey", "left_anti").groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n_isolated"), F.min("c_custkey").alias("first_custkey"))
+    alone = isolated(_customers(spark, sf_dir), _orders_as_relations(spark, sf_dir, "o_orderpriority = '1-URGENT'"), KEYS)
+    return alone.groupBy(F.col("doc").alias("c_nationkey")).agg(F.count(F.lit(1)).alias("n_isolated"), F.min("c_custkey").alias("first_custkey"))
 
 
 def semi_valid(spark, sf_dir):
-    good = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
-    return table(spark, sf_dir, "customer").join(good, "c_custkey", "left_semi").groupBy("c_mktsegment").agg(F.count(F.lit(1)).alias("n_customers"))
+    """Relations with both ends in the nation: how many, and the key of the first."""
+    e = g.semantic_edges(_orders_as_relations(spark, sf_dir, "o_orderstatus = 'F'"), _customers(spark, sf_dir), KEYS)
+    return e.groupBy("doc").agg(F.count(F.lit(1)).alias("n_edges"), F.min_by("edge_key", "seq").alias("first_key"), F.sum("source").alias("sum_sources"))
+
+
+def cycle_cut(spark, sf_dir):
+    """The trade graph with one edge against its order, of the least weight: the only cut that a search can make."""
+    pairs = stage(g.collapse_pairs(typed_edges(spark, sf_dir).withColumn("edge_key", F.col("seq")), KEYS).select(*KEYS, "source", "target", "w", "seq"), "pairs")
+    back = pairs.groupBy(*KEYS).agg(F.min_by(F.struct("source", "target"), "seq").alias("e")).select(*KEYS, F.col("e.target").alias("source"), F.col("e.source").alias("target"), F.lit(0.0).alias("w"), F.lit(0).alias("seq"))
+    kept, excluded = g.remove_cycles(pairs.unionByName(back), KEYS)
+    return kept.withColumn("reason", F.lit("kept")).unionByName(excluded.drop("removal")).select("source", "target", "w", "reason")
 
 
 def reach_closure(spark, sf_dir):
@@ -138,7 +158,7 @@ def cycle_removal(spark, sf_dir):
     return kept.withColumns({"removal": F.lit(0).cast("long"), "reason": F.lit("kept")}).unionByName(excluded).select("source", "target", "w", "removal", "reason")
 
 
-QUERIES = {f.__name__: f for f in (pair_collapse, parent_limit, relation_dedup, isolated_nodes, semi_valid, reach_closure, shortest_path, dps_scores, path_support, ranking_records, budget_grid, precision_at_budget, cycle_removal)}
+QUERIES = {f.__name__: f for f in (pair_collapse, parent_limit, relation_dedup, isolated_nodes, semi_valid, cycle_cut, reach_closure, shortest_path, dps_scores, path_support, ranking_records, budget_grid, precision_at_budget, cycle_removal)}
 QUERIES["flagship_dps_top20"] = flagship
 QUERIES |= {f"rank_{s}": _ranked(s) for s in r.STRATEGIES}
 
@@ -171,6 +191,7 @@ k AS (SELECT source, target, least(sum(mass), 1.0) AS dps, max(exp(ls / hops)) A
 legs AS (SELECT source, target, path[i] AS a, path[i + 1] AS b FROM (SELECT *, unnest(range(1, len(path))) AS i FROM k)),
 y AS (SELECT legs.source, legs.target, array_to_string(list_sort(list_distinct(list(relation_type))), '|') AS relation_types FROM legs JOIN e ON a = e.source AND b = e.target GROUP BY ALL)"""
 )
+_ORDERS = "r AS (SELECT c_nationkey AS doc, o_custkey AS source, o_custkey + 25 AS target, o_orderkey AS seq FROM orders JOIN customer ON o_custkey = c_custkey WHERE {where})"
 _R = f"WITH RECURSIVE {_RECORDS} "
 _ALL = """k.source, k.target, round(dps, 6) AS dps, round(extraction_support, 6) AS extraction_support, CAST(shortest_path_length AS BIGINT) AS shortest_path_length, array_to_string(path, '>') AS path,
  relation_types, 'record-' || sha256(k.source || '||' || k.target)[1:16] AS record_id"""
@@ -183,9 +204,13 @@ SQL = {
     "relation_dedup": """
 WITH x AS (SELECT 'N' || s_nationkey AS source, 'L' || l_linestatus AS target, l_returnflag AS relation_type, round(1 - l_discount, 4) AS confidence, 'FR-' || l_linenumber AS fr,
   'line ' || l_orderkey || '.' || l_linenumber AS justification, l_tax > 0.05 AS cr, l_orderkey * 100 + l_linenumber AS seq FROM lineitem JOIN supplier ON l_suppkey = s_suppkey)
-SELECT source, target, relation_type, max(confidence) AS confidence, array_to_string(list_sort(list_distinct(list(fr))), ',') AS source_frs, arg_min(justification, (-confidence, seq)) AS justification, bool_or(cr) AS cross_requirement, min(seq) AS first_seq FROM x GROUP BY ALL""",
-    "isolated_nodes": "SELECT c_nationkey, count(*) AS n_isolated, min(c_custkey) AS first_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderpriority = '1-URGENT') GROUP BY c_nationkey",
-    "semi_valid": "SELECT c_mktsegment, count(*) AS n_customers FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') GROUP BY c_mktsegment",
+SELECT source, target, relation_type, max(confidence) AS confidence, (SELECT string_agg(fr, ',' ORDER BY f) FROM (SELECT fr, min(seq) AS f FROM x y WHERE y.source = x.source AND y.target = x.target AND y.relation_type = x.relation_type GROUP BY fr)) AS source_frs, arg_min(justification, (-confidence, seq)) AS justification, bool_or(cr) AS cross_requirement, min(seq) AS first_seq FROM x GROUP BY source, target, relation_type""",
+    "isolated_nodes": f"""WITH {_ORDERS.format(where="o_orderpriority = '1-URGENT'")}
+SELECT c_nationkey, count(*) AS n_isolated, min(c_custkey) AS first_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc = c_nationkey AND (source = c_custkey OR target = c_custkey)) GROUP BY c_nationkey""",
+    "semi_valid": f"""WITH {_ORDERS.format(where="o_orderstatus = 'F'")}, k AS (SELECT *, 'relation-' || (row_number() OVER (PARTITION BY doc ORDER BY seq) - 1) AS edge_key FROM r)
+SELECT doc, count(*) AS n_edges, arg_min(edge_key, seq) AS first_key, CAST(sum(source) AS BIGINT) AS sum_sources FROM k WHERE EXISTS (SELECT 1 FROM customer WHERE c_nationkey = doc AND c_custkey = target) GROUP BY doc""",
+    "cycle_cut": f"""WITH {_TYPED}, p AS (SELECT source, target, confidence AS w, seq FROM t QUALIFY row_number() OVER (PARTITION BY source, target ORDER BY confidence DESC, relation_type, CAST(seq AS VARCHAR)) = 1)
+SELECT source, target, w, 'kept' AS reason FROM p UNION ALL SELECT target, source, 0.0::DOUBLE, 'cycle_removal' FROM (SELECT * FROM p ORDER BY seq LIMIT 1)""",
     "reach_closure": _R + "SELECT source, target, CAST(min(hops) AS BIGINT) AS shortest_path_length, count(*) AS n_lengths FROM h GROUP BY source, target",
     "shortest_path": _R + "SELECT source, target, array_to_string(path, '>') AS path FROM k",
     "dps_scores": _R + "SELECT source, target, round(dps, 6) AS dps FROM k",

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from specweave.operators import render
 from specweave.operators.numbering import assign_numbers, numbering_context
 from specweave.operators.segments import blocks, context, line_blocks, scope_lines
+from specweave.functions.scalars import strip
+from specweave.functions.segmentation import requirements_scope
 from specweave.queries.graph import table
-from specweave.sources.datasets import compare_counts, shard
+from specweave.sources.datasets import compare_counts, shard, with_positions
+from specweave.storage import stage
 
 D = ["doc_id"]
 
@@ -49,6 +52,12 @@ def _blocks(spark, sf_dir):
     return blocks(_specs(spark, sf_dir), D)
 
 
+def _cut(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The specifications and their blocks, each made once."""
+    docs = stage(_specs(spark, sf_dir), "specs")
+    return docs, stage(blocks(docs, D), "blocks")
+
+
 def seg_headings(spark, sf_dir):
     p = table(spark, sf_dir, "pages")
     heads = p.select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit(r"<h[1-6][^>]*>([^<]*)</h[1-6]>"), F.lit(1))).alias("n", "heading"))
@@ -63,38 +72,37 @@ def scope_section(spark, sf_dir):
 
 def context_lookup(spark, sf_dir):
     """The context of each document's second and fourth requirement; the whole text where it has neither."""
-    docs = _specs(spark, sf_dir)
-    b = blocks(docs, D)
+    docs, b = _cut(spark, sf_dir)
     wanted = b.where(F.col("seq").isin(1, 3)).groupBy("doc_id").agg(F.array_sort(F.collect_set("requirement_id")).alias("requirement_ids"))
     asked = docs.select("doc_id").join(wanted, "doc_id", "left").withColumn("requirement_ids", F.coalesce("requirement_ids", F.array(F.lit("none"))))
     return context(asked, b, docs, D).select("doc_id", F.md5("context").alias("context_md5"), F.length("context").cast("bigint").alias("n_chars"))
 
 
 def dialect_vote(spark, sf_dir):
-    docs = _specs(spark, sf_dir)
-    return numbering_context(docs, blocks(docs, D), D).groupBy("dialect").agg(F.count(F.lit(1)).alias("n_documents"), F.max("last").alias("most"))
+    docs, b = _cut(spark, sf_dir)
+    return numbering_context(docs, b, D).groupBy("dialect").agg(F.count(F.lit(1)).alias("n_documents"), F.max("last").alias("most"))
 
 
 def numbering_next(spark, sf_dir):
-    docs = _specs(spark, sf_dir)
+    docs, b = _cut(spark, sf_dir)
     more = docs.select("doc_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("seq"))
-    return assign_numbers(more, numbering_context(docs, blocks(docs, D), D), D).select("doc_id", F.col("seq").cast("bigint").alias("seq"), "fr_number")
+    return assign_numbers(more, numbering_context(docs, b, D), D).select("doc_id", F.col("seq").cast("bigint").alias("seq"), "fr_number")
 
 
 def render_refined(spark, sf_dir):
     """Every specification with one requirement per label of it appended."""
-    docs = _specs(spark, sf_dir)
+    docs, b = _cut(spark, sf_dir)
     kept = table(spark, sf_dir, "labels").select(
         "doc_id", F.lit(1).alias("seq"), F.concat(F.lit("Quality is "), F.col("quality").cast("string")).alias("requirement"), F.lit("Text").alias("affected_element"), F.array(F.lit("R1"), F.lit("R2")).alias("source_frs"),
         F.array(F.lit("a"), F.lit("b ")).alias("supporting_excerpts"), F.lit("operation").alias("diagnostic_view"), F.when(F.col("toxic") == 1, F.lit("MISSING_AUDIT")).alias("gap_type"), F.when(F.col("quality") == 1, F.lit(0.25)).alias("dps"),
     )
-    numbers = numbering_context(docs, blocks(docs, D), D)
+    numbers = numbering_context(docs, b, D)
     out = render.refined_documents(docs, assign_numbers(kept, numbers, D), numbers, D)
     return out.select("doc_id", F.md5("body").alias("body_md5"), F.length("body").cast("bigint").alias("n_chars"))
 
 
 def shard_documents(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("doc_id")) - 1).select("doc_id", "pos")
+    d = with_positions(table(spark, sf_dir, "documents").select("doc_id"), "doc_id")
     parts = None
     for i in range(3):
         one = shard(d, f"{i}/3").groupBy(F.lit(i).alias("shard")).agg(F.count(F.lit(1)).alias("n"), F.sum("doc_id").alias("sum_ids"))
@@ -109,7 +117,40 @@ def audit_compare(spark, sf_dir):
     return compare_counts(counted, audit, known).groupBy("status").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
-QUERIES = {f.__name__: f for f in (seg_lines, seg_turns, seg_blocks, seg_headings, scope_section, context_lookup, dialect_vote, numbering_next, render_refined, shard_documents, audit_compare)}
+def requirements_scopes(spark, sf_dir):
+    """The scope of texts with three top-level sections, of which the second names requirements in two of three."""
+    line = lambda n: F.regexp_replace(F.coalesce(F.try_element_at(F.split("text", "\n", -1), F.lit(n)), F.lit("")), r"[0-9.#|]+", "")
+    title = F.when(F.col("doc_id") % 3 == 0, "2. Requirements of it").when(F.col("doc_id") % 3 == 1, "2. The REQUIREMENT list").otherwise("2. Design")
+    text = F.concat(F.lit("1. Introduction\n"), line(1), F.lit("\n"), title, F.lit("\n2.1 x"), line(2), F.lit("\n3. Interfaces\n"), line(3))
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(strip(requirements_scope(text))).alias("scope_md5"))
+
+
+def numbering_dialects(spark, sf_dir):
+    """Blocks and numbers of titled texts in dotted headings, nested numbers, spaced numbers and plain prose."""
+    n, kind = F.col("n") + 1, F.col("doc_id") % 4
+    marker = F.when(kind == 0, F.format_string("## 4.%d ", n)).when(kind == 1, F.format_string("3.1.%d ", n)).when(kind == 2, F.format_string("FR %d: ", n)).otherwise("")
+    lines = _lines(spark, sf_dir).withColumn("t", F.concat(marker, F.regexp_replace("line", r"[0-9.#|]+", "")))
+    ordered = lines.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "t"))), lambda x: x["t"]).alias("t"))
+    text = F.when(kind == 3, F.array_join("t", "\n\n")).otherwise(F.concat(F.lit("The system\n"), F.array_join("t", "\n")))
+    docs = stage(ordered.select("doc_id", text.alias("text")), "dialects")
+    b = stage(blocks(docs, D), "blocks")
+    found = b.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_blocks"), F.min_by("requirement_id", "seq").alias("first_id"), F.max_by("requirement_id", "seq").alias("last_id"))
+    numbered = assign_numbers(docs.select("doc_id", F.lit(1).alias("seq")), (c := numbering_context(docs, b, D)), D).select("doc_id", "fr_number")
+    return c.join(numbered, "doc_id").join(found, "doc_id", "left").select("doc_id", "dialect", "major", "last", "marker", "fr_number", "n_blocks", "first_id", "last_id")
+
+
+def design_constraints(spark, sf_dir):
+    """Labels as demoted and removed candidates of documents of 40 ids."""
+    l = table(spark, sf_dir, "labels").withColumn("doc", F.floor(F.col("doc_id") / 40)).where("toxic = 1 OR quality = 0")
+    rows = l.select(
+        "doc", "toxic", "doc_id", F.concat(F.lit(" need "), F.col("doc_id").cast("string")).alias("requirement"), F.when(F.col("quality") == 0, "poor").alias("reason"), F.lit("operation").alias("diagnostic_view"), F.when(F.col("doc_id") % 2 == 0, "E").alias("affected_element"), F.array(F.lit("R1"), F.lit("R2")).alias("source_frs")
+    ).withColumn("seq", F.row_number().over(Window.partitionBy("doc", "toxic").orderBy("doc_id")))
+    docs = table(spark, sf_dir, "labels").select(F.floor(F.col("doc_id") / 40).alias("doc")).distinct()
+    out = render.design_constraints(docs, rows.where("toxic = 1"), rows.where("toxic = 0"), ["doc"])
+    return out.select("doc", F.md5("body").alias("body_md5"), F.length("body").cast("bigint").alias("n_chars"))
+
+
+QUERIES = {f.__name__: f for f in (requirements_scopes, numbering_dialects, design_constraints, seg_lines, seg_turns, seg_blocks, seg_headings, scope_section, context_lookup, dialect_vote, numbering_next, render_refined, shard_documents, audit_compare)}
 
 _LINES = "l AS (SELECT doc_id, i - 1 AS n, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)))"
 _SPEC = (
@@ -122,7 +163,28 @@ sd AS (SELECT doc_id, count(*) AS n_lines, trim(string_agg(id || ' ' || rest, ch
 nx AS (SELECT doc_id, n_lines, k, CASE doc_id % 5 WHEN 0 THEN (doc_id % 9 + 1) || '.' || (n_lines + k) WHEN 1 THEN 'FR-' || lpad(CAST(n_lines + k AS VARCHAR), CAST(greatest(3, length(CAST(n_lines + k AS VARCHAR))) AS INT), '0') WHEN 2 THEN 'F' || (n_lines + k)
   WHEN 3 THEN 'Function Requirement ' || (n_lines + k) ELSE 'FR-DCI-' || lpad(CAST(n_lines + k AS VARCHAR), CAST(greatest(3, length(CAST(n_lines + k AS VARCHAR))) AS INT), '0') END AS fr_number FROM sd, (SELECT unnest([1, 2]) AS k))"""
 )
+_DASHES, _RULE, _SHORT = "=" * 72, "-" * 72, "-" * 60
 SQL = {
+    "requirements_scopes": """
+WITH t AS (SELECT doc_id, list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '[0-9.#|]+', '', 'g')) AS p FROM documents),
+s AS (SELECT doc_id, coalesce(p[1], '') AS a, coalesce(p[2], '') AS b, coalesce(p[3], '') AS c, CASE doc_id % 3 WHEN 0 THEN '2. Requirements of it' WHEN 1 THEN '2. The REQUIREMENT list' ELSE '2. Design' END AS title FROM t)
+SELECT doc_id, md5(CASE WHEN doc_id % 3 < 2 THEN trim(title || chr(10) || '2.1 x' || b) ELSE trim('1. Introduction' || chr(10) || a || chr(10) || title || chr(10) || '2.1 x' || b || chr(10) || '3. Interfaces' || chr(10) || c, ' ' || chr(10)) END) AS scope_md5 FROM s""",
+    "numbering_dialects": f"""
+WITH {_LINES}, c AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (trim(regexp_replace(line, '[0-9.#|]+', '', 'g')) <> '') AS n_full FROM l GROUP BY doc_id)
+SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'mddot' WHEN 1 THEN 'dot3' ELSE 'space' END AS dialect, CASE doc_id % 4 WHEN 0 THEN '4' WHEN 1 THEN '3.1' ELSE '' END AS major, CASE WHEN doc_id % 4 < 3 THEN n_lines ELSE 0 END AS last,
+  CASE WHEN doc_id % 4 = 0 THEN '##' ELSE '' END AS marker, CASE doc_id % 4 WHEN 0 THEN '4.' || (n_lines + 1) WHEN 1 THEN '3.1.' || (n_lines + 1) WHEN 2 THEN 'FR ' || (n_lines + 1) || ':' ELSE 'FR 1:' END AS fr_number,
+  CASE WHEN doc_id % 4 < 3 THEN n_lines ELSE nullif(n_full, 0) END AS n_blocks, CASE doc_id % 4 WHEN 0 THEN '4.1' WHEN 1 THEN '3.1.1' WHEN 2 THEN 'FR 1' ELSE CASE WHEN n_full > 0 THEN 'BLOCK-1' END END AS first_id,
+  CASE doc_id % 4 WHEN 0 THEN '4.' || n_lines WHEN 1 THEN '3.1.' || n_lines WHEN 2 THEN 'FR ' || n_lines ELSE CASE WHEN n_full > 0 THEN 'BLOCK-' || n_full END END AS last_id FROM c""",
+    "design_constraints": f"""
+WITH r AS (SELECT CAST(floor(doc_id / 40) AS BIGINT) AS doc, toxic, doc_id, quality, row_number() OVER (PARTITION BY floor(doc_id / 40), toxic ORDER BY doc_id) AS seq FROM labels WHERE toxic = 1 OR quality = 0),
+e AS (SELECT doc, toxic, seq, CASE WHEN toxic = 1 THEN 'DC-' ELSE 'REMOVED-' END || lpad(CAST(seq AS VARCHAR), CAST(greatest(3, length(CAST(seq AS VARCHAR))) AS INT), '0') || chr(10) || 'Statement: need ' || doc_id
+  || CASE WHEN quality = 0 THEN chr(10) || CASE WHEN toxic = 1 THEN 'Demoted' ELSE 'Rejected' END || ' because: poor' ELSE '' END
+  || CASE WHEN toxic = 1 THEN chr(10) || 'Diagnostic view: operation' || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Affected element: E' ELSE '' END || chr(10) || 'Source requirements: R1, R2' ELSE '' END
+  || chr(10) || chr(10) || '{_SHORT}' || chr(10) AS t FROM r),
+g AS (SELECT d.doc, count(*) FILTER (toxic = 1) AS nd, count(*) FILTER (toxic = 0) AS nr, string_agg(t, chr(10) ORDER BY seq) FILTER (toxic = 1) AS dt, string_agg(t, chr(10) ORDER BY seq) FILTER (toxic = 0) AS rt FROM (SELECT DISTINCT CAST(floor(doc_id / 40) AS BIGINT) AS doc FROM labels) d LEFT JOIN e ON d.doc = e.doc GROUP BY d.doc),
+o AS (SELECT doc, trim(concat_ws(chr(10), '{_DASHES}', 'DESIGN CONSTRAINTS AND REJECTED CANDIDATES', '{_DASHES}', '', 'Candidates that consolidation did not turn into requirements.', 'The refined document does not hold them.', '',
+  'Demoted to design constraints : ' || nd, 'Rejected during refinement    : ' || nr, '', '{_RULE}', '1. DESIGN CONSTRAINTS (' || nd || ')', '{_RULE}', '', coalesce(dt, '(none)' || chr(10)), '{_RULE}', '2. REJECTED CANDIDATES (' || nr || ')', '{_RULE}', '', coalesce(rt, '(none)' || chr(10))), ' ' || chr(10)) || chr(10) AS t FROM g)
+SELECT doc, md5(t) AS body_md5, CAST(length(t) AS BIGINT) AS n_chars FROM o""",
     "seg_lines": f"WITH {_LINES}, b AS (SELECT *, sum(CASE WHEN len(string_split(line, ' ')) >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS block_no FROM l) SELECT doc_id, CAST(block_no AS BIGINT) AS block_no, count(*) AS n_lines, md5(string_agg(line, chr(10) ORDER BY n)) AS block_md5 FROM b GROUP BY doc_id, block_no",
     "seg_turns": "WITH b AS (SELECT *, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY turn) AS block_no FROM conversations) SELECT conv_id, CAST(block_no AS BIGINT) AS block_no, count(*) AS n_lines, CAST(length(string_agg(text, chr(10) ORDER BY turn)) AS BIGINT) AS n_chars FROM b GROUP BY conv_id, block_no",
     "seg_blocks": f"WITH {_SPEC} SELECT doc_id, count(*) AS n_blocks, arg_min(id, n) AS first_id, arg_max(id, n) AS last_id FROM sb GROUP BY doc_id",

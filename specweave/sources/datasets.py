@@ -4,10 +4,10 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from specweave.storage import small
+from specweave.storage import small, stage
 
 REQUIRED = ("system_id", "document_id", "text")
 
@@ -38,6 +38,14 @@ def parse_shard(spec: str) -> tuple[int, int]:
     return int(m[1]), int(m[2])
 
 
+def with_positions(df: DataFrame, *order, pos: str = "pos") -> DataFrame:
+    """df with the position (from 0) of each row in the order: a distributed sort and one offset per task."""
+    sorted_ = stage(df.orderBy(*order).select("*", F.spark_partition_id().alias("_task"), F.monotonically_increasing_id().alias("_id")), "positions")
+    counts = sorted_.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select("_task", (F.sum("_n").over(Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).alias("_before"))  # a row per task
+    return sorted_.join(small(before), "_task").withColumn(pos, F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))).drop("_task", "_id", "_before")
+
+
 def shard(docs: DataFrame, spec: str | None, pos: str = "pos") -> DataFrame:
     """Rows whose position leaves the shard's remainder; all rows without a spec."""
     if not spec:
