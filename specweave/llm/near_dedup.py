@@ -35,6 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from specweave.llm import wordhash
 from specweave.llm.common import documents, stage, trimmed
 from specweave.llm.graph import components
+from specweave.llm.line_dedup import wide_parities
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -174,27 +175,33 @@ def _between_classes(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Pairs (a, b) of different label that may be similar: all that the prefix and positional filters leave.
 
     Shingles are ordered by rarity among the rows. Those that one row alone has come first and cannot match, so a
-    text with many edits of its own meets nobody, however large its family is.
+    text with many edits of its own meets nobody, however large its family is. 512 bits of parity of the shingles
+    bound the difference of two texts from below, so of a family whose members are too far apart few pairs remain.
     """
+    parity = [f"p{i}" for i in range(8)]
 
     @trimmed
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [labelled_shingles(w).view(np.int64) for _, texts in wordhash.parts(batch.column(3)) for w in wordhash.words(texts)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(found, pa.list_(pa.int64()))], ["row", "size", "label", "shingles"])
+            found = [labelled_shingles(w) for _, texts in wordhash.parts(batch.column(3)) for w in wordhash.words(texts)]
+            flat = np.concatenate([np.zeros(0, np.uint64), *found])
+            wide = wide_parities(flat, np.array([len(x) for x in found], np.int64)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array([x.view(np.int64) for x in found], pa.list_(pa.int64())), *(pa.array(np.ascontiguousarray(wide[:, i])) for i in range(8))], ["row", "size", "label", "shingles", *parity])
 
     texts = rows.join(sources.withColumnRenamed("_row", "row"), "row").select("row", "size", "label", "text")
-    listed = stage(texts.mapInArrow(sets, "row long, size int, label long, shingles array<long>"), "near-sets")
+    listed = stage(texts.mapInArrow(sets, "row long, size int, label long, shingles array<long>, " + ", ".join(f"{p} long" for p in parity)), "near-sets")
     each = listed.select("row", "size", "label", F.explode("shingles").alias("shingle"))
     common = stage(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
     # At most the shingles of one text; those of its own stand before them.
     ordered = each.join(common, "shingle").groupBy("row", "size", "label").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
     entries = ordered.select("row", "size", "label", F.posexplode("s").alias("i", "e"), (F.col("size") - F.size("s")).alias("own"))
     rest = F.col("size") - F.col("own") - F.col("i")  # shingles from this one on
-    entries = stage(entries.select("row", "size", "label", F.col("e.shingle").alias("shingle"), rest.alias("rest")).where(F.col("rest") >= F.ceil(F.col("size") * SIMILARITY - 1e-9)), "near-entries")
-    other = entries.toDF("b", "size_b", "label_b", "shingle", "rest_b")
+    entries = entries.select("row", "size", "label", F.col("e.shingle").alias("shingle"), rest.alias("rest")).where(F.col("rest") >= F.ceil(F.col("size") * SIMILARITY - 1e-9))
+    entries = stage(entries.join(listed.select("row", *parity), "row").select("row", "size", "label", "shingle", "rest", *parity), "near-entries")
+    other = entries.toDF("b", "size_b", "label_b", "shingle", "rest_b", *(f"{p}_b" for p in parity))
     need = F.ceil((F.col("size") + F.col("size_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
-    met = entries.join(other, "shingle").where((F.col("row") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.least("rest", "rest_b") >= need))
+    apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in parity), F.lit(0))
+    met = entries.join(other, "shingle").where((F.col("row") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.least("rest", "rest_b") >= need) & (apart <= F.col("size") + F.col("size_b") - 2 * need))
     return stage(met.select(F.col("row").alias("a"), "b").distinct(), "near-pairs")
 
 
