@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import functools
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -50,6 +51,14 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_BATCH_KEY, before)
 
 
+def give_back() -> None:
+    """Return freed memory to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(run: Callable) -> Callable:
     """run (batches to batches), giving back the memory that it no longer uses when a task ends, as workers stay."""
 
@@ -58,9 +67,7 @@ def trimmed(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
-                ctypes.CDLL(None).malloc_trim(0)
+            give_back()
 
     return trimming
 

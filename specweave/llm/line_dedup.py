@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from specweave.llm import wordhash
-from specweave.llm.common import bitmap_of, documents, fresh, marked, marked_by, small_batches, squeezed, stage, trimmed, unsqueezed, whole_text
+from specweave.llm.common import bitmap_of, documents, fresh, give_back, marked, marked_by, small_batches, squeezed, stage, trimmed, unsqueezed, whole_text
 
 SIMILARITY = 0.8
 #: Sets of fewer words can only equal another set or are matched by one of this size.
@@ -48,6 +48,8 @@ PART_WORDS, LEAST_PARTS = 8_000_000, 64
 #: Entries of one word in a block, on average; a word with more has several blocks. How many is estimated from the
 #: entries of one document in SAMPLED, which sets how work is dealt but no result.
 BLOCK, SAMPLED = 50_000, 64
+#: Late lines that are broadcast at most (some 30 bytes each); with more the documents concerned are shuffled.
+MAX_BROADCAST = 1_000_000
 #: Pairs looked at at once.
 AT_ONCE = 1 << 18
 #: An index entry, 48 bytes. at, key and line name a line; rest counts the words from this one on.
@@ -135,6 +137,8 @@ def rarity(texts: DataFrame) -> tuple[bytes, int]:
     for part, levels, n in rows:
         table[part * SLICE : (part + 1) * SLICE] = np.frombuffer(levels, np.uint8)
         total += n
+    del rows
+    give_back()
     return table.tobytes(), total
 
 
@@ -534,6 +538,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     docs = docs.select(*kept)
     at, key, late, may = fresh(kept, "_at", "_key", "_late", "_may")
     found = stage(late_lines(docs).groupBy("at", "key").agg(F.sort_array(F.collect_set("line")).alias(late)), "line-late").withColumnsRenamed({"at": at, "key": key})  # lines of one document
+    few = (found.agg(F.sum(F.size(late))).first()[0] or 0) <= MAX_BROADCAST
     names = _keyed(docs)
     rows = docs.withColumns({at: names["_at"], key: names["_key"], "n_lines": F.size(F.split(whole_text(), "\n", -1)).cast("long")})
     rows = rows.withColumn(may, marked_by(found, key)(key))
@@ -553,7 +558,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, batch.columns[-1]], names=[*batch.schema.names[:-2], "n_removed"])
 
-    hit = squeezed(rows.where(F.col(may)).drop(may)).join(found, [at, key], "left").select(*kept, "n_lines", late, F.greatest(F.size(late), F.lit(0)).cast("long").alias("n_removed"))
+    hit = squeezed(rows.where(F.col(may)).drop(may)).join(F.broadcast(found) if few else found, [at, key], "left").select(*kept, "n_lines", late, F.greatest(F.size(late), F.lit(0)).cast("long").alias("n_removed"))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_lines long, n_removed long").fields])
     done = hit.mapInArrow(cut, schema).unionByName(rows.where(~F.col(may)).select(*kept, "n_lines", F.lit(0).cast("long").alias("n_removed")))
     if "n_chars" in kept:

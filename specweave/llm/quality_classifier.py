@@ -19,7 +19,7 @@ import zlib
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 
-from specweave.llm.common import append, documents, labelled_sample
+from specweave.llm.common import append, documents, give_back, labelled_sample
 
 #: Labelled rows in the fit, at most.
 MAX_LABELLED = 12_000
@@ -90,7 +90,10 @@ def train(docs: DataFrame, labels: DataFrame, most: int = MAX_LABELLED):
     sample = append(labelled_sample(docs, labels, most), "f binary", lambda: lambda texts: [[features(x).tobytes() for x in texts]], keep=False)
     got = sample.toArrow().sort_by([("doc_id", "ascending"), ("f", "ascending")])
     toxic, quality = (np.array(got[c].to_pylist(), np.int64) for c in ("toxic", "quality"))
-    return fit([np.frombuffer(x, np.int32) for x in got["f"].to_pylist()], np.where(toxic > 0, 0, np.where(quality > 0, 2, 1)))
+    model = fit([np.frombuffer(x, np.int32) for x in got["f"].to_pylist()], np.where(toxic > 0, 0, np.where(quality > 0, 2, 1)))
+    del sample, got
+    give_back()
+    return model
 
 
 def classify(docs: DataFrame, model) -> DataFrame:
