@@ -547,7 +547,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     @trimmed
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lines = unsqueezed(batch.column(place)), batch.column(batch.num_columns - 2).to_pylist()
+            texts, lines = batch.column(place).to_pylist() if few else unsqueezed(batch.column(place)), batch.column(batch.num_columns - 2).to_pylist()
             for i, gone in enumerate(lines):
                 if gone:
                     own = texts[i].split("\n")
@@ -558,7 +558,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
             columns[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*columns, batch.columns[-1]], names=[*batch.schema.names[:-2], "n_removed"])
 
-    hit = squeezed(rows.where(F.col(may)).drop(may)).join(F.broadcast(found) if few else found, [at, key], "left").select(*kept, "n_lines", late, F.greatest(F.size(late), F.lit(0)).cast("long").alias("n_removed"))
+    asked = rows.where(F.col(may)).drop(may)
+    hit = (asked.join(F.broadcast(found), [at, key], "left") if few else squeezed(asked).join(found, [at, key], "left")).select(*kept, "n_lines", late, F.greatest(F.size(late), F.lit(0)).cast("long").alias("n_removed"))
     schema = T.StructType([*docs.schema.fields, *T.StructType.fromDDL("n_lines long, n_removed long").fields])
     done = hit.mapInArrow(cut, schema).unionByName(rows.where(~F.col(may)).select(*kept, "n_lines", F.lit(0).cast("long").alias("n_removed")))
     if "n_chars" in kept:
