@@ -121,14 +121,11 @@ def mixed(w: dict, x: np.ndarray) -> np.ndarray:
     return z[..., :-1] / z[..., -1:]
 
 
-def _in_groups(target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(group, places) of the positions whose target class is in it."""
+def _by_group(target: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions in order of the groups of their target classes, and where each group begins and ends."""
     group = target // GROUP  # of 8 bits, so sorted by their values
     order = np.argsort(group, kind="stable")
-    ends = np.searchsorted(group[order], np.arange(GROUPS + 1))
-    for g in range(GROUPS):
-        if ends[g] < ends[g + 1]:
-            yield g, order[ends[g] : ends[g + 1]]
+    return order, np.searchsorted(group[order], np.arange(GROUPS + 1))
 
 
 def _sums(x: np.ndarray) -> np.ndarray:
@@ -145,13 +142,20 @@ def _scores(h: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
 def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the target classes at each position."""
     h, flat = (x + _times(mixed(w, x), w["o"])).reshape(-1, WIDTH), target.ravel()
+    order, ends = _by_group(flat)
+    h, own, along = h[order], flat[order] % GROUP, np.arange(len(flat))
     s = _scores(h, w["u"], w["c"])
-    out = s[np.arange(len(s)), flat // GROUP]
-    out -= np.log(_sums(np.exp(s, out=s)))
-    for g, at in _in_groups(flat):
-        s = _scores(h[at], w["U"][g], w["C"][g])
-        got = s[np.arange(len(s)), flat[at] % GROUP]
-        out[at] += got - np.log(_sums(np.exp(s, out=s)))
+    got = s[along, flat[order] // GROUP]
+    got -= np.log(_sums(np.exp(s, out=s)))
+    for g in range(GROUPS):
+        here = slice(ends[g], ends[g + 1])
+        s[here] = h[here] @ w["U"][g]
+        s[here] += w["C"][g]
+    np.minimum(s, _MOST, out=s)
+    got += s[along, own]
+    got -= np.log(_sums(np.exp(s, out=s)))
+    out = np.empty_like(got)
+    out[order] = got
     return out.reshape(target.shape)
 
 
@@ -159,29 +163,38 @@ def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarra
     """Of the mean negative log likelihood over the marked positions; that of e as (rows, values)."""
     x = w["e"][buckets] + w["p"]
     q, k, v, a, z = attend(w, x)
-    h, flat = (x + _times(z, w["o"])).reshape(-1, WIDTH), target.ravel()
-    weight = (there.ravel() / max(1, there.sum())).astype(np.float32)[:, None]
+    flat, there = target.ravel(), np.flatnonzero(there)
+    order, ends = _by_group(flat[there])
+    order = there[order]
+    h, group, own = (x + _times(z, w["o"])).reshape(-1, WIDTH)[order], flat[order] // GROUP, flat[order] % GROUP
+    weight, along = np.float32(1 / max(1, len(order))), np.arange(len(order))
 
-    def excess(s: np.ndarray, own: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    def excess(s: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Probabilities less 1 at the target, weighted."""
         np.exp(s, out=s)
-        s *= weight / _sums(s)[:, None]
-        s[np.arange(len(s)), own] -= weight[:, 0]
+        s *= (weight / _sums(s))[:, None]
+        s[along, own] -= weight
         return s
 
-    g = excess(_scores(h, w["u"], w["c"]), flat // GROUP, weight)
+    g = excess(_scores(h, w["u"], w["c"]), group)
     out = {"u": h.T @ g, "c": g.sum(0), "U": np.zeros_like(w["U"]), "C": np.zeros_like(w["C"])}
-    dh = g @ w["u"].T
-    for i, at in _in_groups(flat):
-        own = h[at]
-        g = excess(_scores(own, w["U"][i], w["C"][i]), flat[at] % GROUP, weight[at])
-        out["U"][i], out["C"][i] = own.T @ g, g.sum(0)
-        dh[at] += g @ w["U"][i].T
+    d = g @ w["u"].T
+    for i in range(GROUPS):
+        here = slice(ends[i], ends[i + 1])
+        g[here] = h[here] @ w["U"][i]
+        g[here] += w["C"][i]
+    g = excess(np.minimum(g, _MOST, out=g), own)
+    for i in range(GROUPS):
+        here = slice(ends[i], ends[i + 1])
+        out["U"][i], out["C"][i] = h[here].T @ g[here], g[here].sum(0)
+        d[here] += g[here] @ w["U"][i].T
+    dh = np.zeros((x.size // WIDTH, WIDTH), x.dtype)
+    dh[order] = d
     dh = dh.reshape(x.shape)
     outer = lambda m, n: m.reshape(-1, m.shape[-1]).T @ n.reshape(-1, n.shape[-1])
     dz = _times(dh, w["o"].T)
     da = dz @ v.transpose(0, 2, 1)
-    da -= np.einsum("nij,nij->ni", da, a)[..., None]
+    da -= _sums(dz * z)[..., None]  # z is a @ v, so this is the sum of da * a
     da *= a
     dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz
     scale = WIDTH**-0.5
