@@ -219,6 +219,45 @@ def test_passages_far_apart_are_both_found(make):
     assert want <= found and len(found - want) < 0.05 * len(want)
 
 
+def test_a_passage_whose_seeds_all_occur_earlier_elsewhere_is_found(make):
+    rng = random.Random(23)
+    other = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(100_000)) for _ in range(n)]
+    passage, edited = other(60), other(60)
+    changed = [w if i % 12 else "x" + w for i, w in enumerate(edited)]
+    rows = [(i, " ".join(other(20) + text[k : k + 8] + other(20))) for i, (text, k) in enumerate((t, k) for t in (passage, edited) for k in range(0, 53))]
+    pair = {200: passage, 201: passage, 202: edited, 203: changed}
+    rows += [(i, " ".join(other(30) + text + other(30))) for i, text in pair.items()]
+    got = {r["doc_id"]: r for r in substring_dedup.repeated_passages(make(rows)).collect()}
+    # Document 200 repeats none of the others at length.
+    assert set(got) == {201, 203}
+    assert got[201]["source_doc_id"] == 200 and abs(got[201]["n_words"] - 60) <= 2
+    assert got[203]["source_doc_id"] == 202 and got[203]["n_words"] >= 45
+
+
+@pytest.mark.parametrize("many", [50, 1000])
+def test_partners_of_a_seed_are_only_left_out_for_better_ones(monkeypatch, many):
+    monkeypatch.setattr(substring_dedup, "MANY", many)
+    rng = np.random.default_rng(7)
+    n = 400
+    base = rng.integers(0, 16, 32)
+    words = np.where(rng.random((n, 32)) < rng.choice([0.1, 0.3, 0.9], n)[:, None], rng.integers(0, 16, (n, 32)), base)
+    rows = np.zeros(n, substring_dedup.PLACE)
+    code = lambda w: sum((w[:, i] >> k & 1).astype(np.uint64) << np.uint64(16 * k + i) for i in range(16) for k in range(4))
+    rows["before"], rows["behind"], rows["at"], rows["key"], rows["seed"] = code(words[:, :16]), code(words[:, 16:]), np.arange(n), np.arange(n) // 2 + 1, 5
+    got = {}
+    rows["pos"] = np.arange(n)
+    for r in substring_dedup.anchors_of(rows[rng.permutation(n)]):
+        if r["like"]:
+            got.setdefault(int(r["pos"]), set()).add(int(r["from"]))
+    reach = lambda a, b: (substring_dedup._extension(zip(words[a, 15::-1], words[b, 15::-1])), substring_dedup._extension(zip(words[a, 16:], words[b, 16:])))  # noqa: E731,B905
+    for j in range(n):
+        able = {i: reach(i, j) for i in range(j) if i // 2 != j // 2}
+        able = {i: x for i, x in able.items() if sum(x) + substring_dedup.SEED >= substring_dedup.LEAST_SPAN}
+        mine = got.get(j, set())
+        assert mine <= set(able)
+        assert all(any(able[k][0] >= x[0] and able[k][1] >= x[1] for k in mine) for x in able.values())
+
+
 def test_passages_with_edits_are_found(make):
     rng = random.Random(18)
     rows, edits = [], {}
