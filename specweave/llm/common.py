@@ -52,8 +52,10 @@ def small_batches(spark: SparkSession) -> Iterator[None]:
 
 
 def give_back() -> None:
-    """Return freed memory to the system."""
+    """Return freed memory to the system. What the first call finds, mostly modules, is not searched again by later ones."""
     gc.collect()
+    if not gc.get_freeze_count():
+        gc.freeze()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # other C libraries lack it
         ctypes.CDLL(None).malloc_trim(0)

@@ -110,7 +110,7 @@ def _attention(w: dict, x: np.ndarray):
 def attend(w: dict, x: np.ndarray):
     """(scaled queries, keys, values, attention, mixed values) of a batch of windows x (n, LENGTH, WIDTH)."""
     q, k, v, a = _attention(w, x)
-    a /= _sums(a)[..., None]
+    a *= (1 / _sums(a))[..., None]
     return q, k, v, a, a @ v
 
 
@@ -133,6 +133,11 @@ def _sums(x: np.ndarray) -> np.ndarray:
     return x @ np.ones(x.shape[-1], x.dtype)
 
 
+def _down(x: np.ndarray) -> np.ndarray:
+    """Sums of the rows, as a product."""
+    return np.ones(len(x), x.dtype) @ x
+
+
 def _scores(h: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
     s = h @ u
     s += c
@@ -143,16 +148,17 @@ def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log probabilities of the target classes at each position."""
     h, flat = (x + _times(mixed(w, x), w["o"])).reshape(-1, WIDTH), target.ravel()
     order, ends = _by_group(flat)
-    h, own, along = h[order], flat[order] % GROUP, np.arange(len(flat))
+    ordered, begin = flat.take(order), np.arange(len(flat)) * GROUP
+    h, own = h.take(order, 0), begin + ordered % GROUP
     s = _scores(h, w["u"], w["c"])
-    got = s[along, flat[order] // GROUP]
+    got = s.ravel().take(begin + ordered // GROUP)
     got -= np.log(_sums(np.exp(s, out=s)))
     for g in range(GROUPS):
         here = slice(ends[g], ends[g + 1])
         s[here] = h[here] @ w["U"][g]
         s[here] += w["C"][g]
     np.minimum(s, _MOST, out=s)
-    got += s[along, own]
+    got += s.ravel().take(own)
     got -= np.log(_sums(np.exp(s, out=s)))
     out = np.empty_like(got)
     out[order] = got
@@ -161,23 +167,24 @@ def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
 
 def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarray) -> dict:
     """Of the mean negative log likelihood over the marked positions; that of e as (rows, values)."""
-    x = w["e"][buckets] + w["p"]
+    x = w["e"].take(buckets, 0) + w["p"]
     q, k, v, a, z = attend(w, x)
     flat, there = target.ravel(), np.flatnonzero(there)
-    order, ends = _by_group(flat[there])
-    order = there[order]
-    h, group, own = (x + _times(z, w["o"])).reshape(-1, WIDTH)[order], flat[order] // GROUP, flat[order] % GROUP
-    weight, along = np.float32(1 / max(1, len(order))), np.arange(len(order))
+    order, ends = _by_group(flat.take(there))
+    order = there.take(order)
+    ordered, begin = flat.take(order), np.arange(len(order)) * GROUP
+    h, group, own = (x + _times(z, w["o"])).reshape(-1, WIDTH).take(order, 0), begin + ordered // GROUP, begin + ordered % GROUP
+    weight = np.float32(1 / max(1, len(order)))
 
     def excess(s: np.ndarray, own: np.ndarray) -> np.ndarray:
         """Probabilities less 1 at the target, weighted."""
         np.exp(s, out=s)
         s *= (weight / _sums(s))[:, None]
-        s[along, own] -= weight
+        s.ravel()[own] -= weight  # a place each
         return s
 
     g = excess(_scores(h, w["u"], w["c"]), group)
-    out = {"u": h.T @ g, "c": g.sum(0), "U": np.zeros_like(w["U"]), "C": np.zeros_like(w["C"])}
+    out = {"u": h.T @ g, "c": _down(g), "U": np.zeros_like(w["U"]), "C": np.zeros_like(w["C"])}
     d = g @ w["u"].T
     for i in range(GROUPS):
         here = slice(ends[i], ends[i + 1])
@@ -186,7 +193,7 @@ def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarra
     g = excess(np.minimum(g, _MOST, out=g), own)
     for i in range(GROUPS):
         here = slice(ends[i], ends[i + 1])
-        out["U"][i], out["C"][i] = h[here].T @ g[here], g[here].sum(0)
+        out["U"][i], out["C"][i] = h[here].T @ g[here], _down(g[here])
         d[here] += g[here] @ w["U"][i].T
     dh = np.zeros((x.size // WIDTH, WIDTH), x.dtype)
     dh[order] = d
@@ -199,24 +206,25 @@ def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarra
     dq, dk, dv = da @ k, da.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ dz
     scale = WIDTH**-0.5
     dx = dh + _times(dq, w["q"].T * scale) + _times(dk, w["k"].T) + _times(dv, w["v"].T)
-    out |= {"p": dx.sum(0), "q": outer(x, dq) * scale, "k": outer(x, dk), "v": outer(x, dv), "o": outer(z, dh)}
+    out |= {"p": _down(dx.reshape(len(dx), -1)).reshape(w["p"].shape), "q": outer(x, dq) * scale, "k": outer(x, dk), "v": outer(x, dv), "o": outer(z, dh)}
     order = np.argsort(buckets.ravel(), kind="stable")
-    rows = buckets.ravel()[order]
+    rows = buckets.ravel().take(order)
     first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    return out | {"e": (rows[first], np.add.reduceat(dx.reshape(-1, WIDTH)[order], first))}
+    return out | {"e": (rows.take(first), np.add.reduceat(dx.reshape(-1, WIDTH).take(order, 0), first))}
 
 
 def train_here(w: dict, t: dict, windows: np.ndarray, seen: dict, seed: int = 0) -> None:
     """One pass of Adagrad over windows (n, LENGTH + 1) of ids, in place; -1 marks what a short text lacks."""
     for i in np.array_split(np.random.default_rng(seed).permutation(len(windows)), max(1, len(windows) // BATCH)):
-        ids = windows[i]
+        ids = windows.take(i, 0)
         there = ids[:, 1:] >= 0
         ids = np.where(ids < 0, END, ids)
-        for k, g in gradients(w, t["bucket"][ids[:, :-1]], t["class"][ids[:, 1:]], there).items():
+        for k, g in gradients(w, t["bucket"].take(ids[:, :-1]), t["class"].take(ids[:, 1:]), there).items():
             if k == "e":
                 rows, g = g
-                seen[k][rows] += g * g
-                w[k][rows] -= RATE * g / np.sqrt(seen[k][rows])
+                so_far = seen[k].take(rows, 0) + g * g
+                seen[k][rows] = so_far
+                w[k][rows] = w[k].take(rows, 0) - RATE * g / np.sqrt(so_far)
             else:
                 seen[k] += g * g
                 w[k] -= RATE * g / np.sqrt(seen[k])
@@ -238,7 +246,7 @@ def score_all(w: dict, t: dict, coded: list[np.ndarray]) -> list[float]:
     flat = np.full(room.sum(), END, np.int32)
     for lo, ids in zip((base + 1).tolist(), coded, strict=True):
         flat[lo : lo + len(ids)] = ids
-    bucket, target, share = t["bucket"][flat], t["class"][flat], t["share"][flat]
+    bucket, target, share = t["bucket"].take(flat), t["class"].take(flat), t["share"].take(flat)
     of = np.repeat(np.arange(len(coded)), windows)
     first = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     starts, out, along = base[of] + first * stride, np.zeros(len(coded)), np.arange(LENGTH)
@@ -247,7 +255,7 @@ def score_all(w: dict, t: dict, coded: list[np.ndarray]) -> list[float]:
     for lo in range(0, len(of), AT_ONCE):
         here = slice(lo, lo + AT_ONCE)
         place = starts[here, None] + along
-        got = log_probabilities(w, w["e"][bucket[place]] + w["p"], target[place + 1]) + share[place + 1]
+        got = log_probabilities(w, w["e"].take(bucket.take(place), 0) + w["p"], target.take(place + 1)) + share.take(place + 1)
         got[(along < lo_of[here, None]) | (along >= hi_of[here, None])] = 0
         out += np.bincount(of[here], got.sum(1), len(coded))
     return (out / np.log(10)).tolist()

@@ -1,5 +1,6 @@
 """License scan, quality rules, media, packing and language model against plain Python."""
 
+import gc
 import hashlib
 import math
 import random
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from specweave.llm import license_scan, lm_scoring, media, packing, quality_classifier, quality_rules
+from specweave.llm import common, license_scan, lm_scoring, media, packing, quality_classifier, quality_rules
 from specweave.llm.common import stage
 from specweave.llm.subwords import Subwords, tokenizer_path
 
@@ -280,3 +281,11 @@ def test_classifier_learns_grades_and_orders_them(spark, make):
 
 def test_stage_is_written(spark):
     assert stage(spark.range(5), "t").count() == 5
+
+
+def test_memory_is_given_back_without_searching_the_modules_again():
+    common.give_back()
+    assert gc.get_freeze_count() > 10_000  # what is frozen is not searched
+    frozen = gc.get_freeze_count()
+    common.give_back()
+    assert gc.get_freeze_count() <= frozen
