@@ -266,7 +266,7 @@ def entries(size: np.ndarray, h: np.ndarray, at: np.ndarray, name: tuple, ident:
 
 def frequent(texts: DataFrame, levels: bytes) -> np.ndarray:
     """(words in order, blocks) of the words with more than BLOCK entries: at most one for each BLOCK entries."""
-    if not _is_frequent(np.frombuffer(levels, np.uint8)).any():
+    if not _is_frequent(np.frombuffer(levels, np.uint8).max(keepdims=True))[0]:
         return np.zeros((2, 0), np.uint32)
     shared = texts.sparkSession.sparkContext.broadcast(levels)
 

@@ -1,6 +1,7 @@
 """Line dedup, near-duplicates, passages, mixing and the pipeline against brute force."""
 
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -219,6 +220,16 @@ def test_passages_far_apart_are_both_found(make):
     assert want <= found and len(found - want) < 0.05 * len(want)
 
 
+def test_looking_for_frequent_words_takes_little_memory():
+    levels = bytes(line_dedup.TABLE - 1) + b"\x80"
+    tracemalloc.start()
+    try:
+        assert line_dedup.frequent(None, levels).shape == (2, 0)
+        assert tracemalloc.get_traced_memory()[1] < 2 * line_dedup.TABLE
+    finally:
+        tracemalloc.stop()
+
+
 def test_a_passage_whose_seeds_all_occur_earlier_elsewhere_is_found(make):
     rng = random.Random(23)
     other = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(100_000)) for _ in range(n)]
