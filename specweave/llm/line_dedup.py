@@ -41,6 +41,8 @@ SIMILARITY = 0.8
 LEAST_JOINED = 4
 #: Entries of the rarity table (one byte each), in slices of 65,536.
 TABLE, SLICE = 1 << 24, 1 << 16
+#: What a task tells of its counts.
+COUNTS = "part int, task int, counts binary"
 #: Groups in which the counts of a slice are added before they meet.
 GROUPS = 256
 #: Words of the texts for each part of the index, and parts at least.
@@ -89,10 +91,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, texts in wordhash.parts(batch.column(0)):
             at, n = np.unique((wordhash.words(texts).h & np.uint64(TABLE - 1)).astype(np.uint32), return_counts=True)
             table[at] += n.astype(np.uint32)
-    yield _sliced(table, task)
+    yield sliced(table, task)
 
 
-def _sliced(table: np.ndarray, task: int) -> pa.RecordBatch:
+def sliced(table: np.ndarray, task: int) -> pa.RecordBatch:
     at = np.flatnonzero(table)
     of = at // SLICE
     ends = np.flatnonzero(np.diff(of, append=-1)) + 1
@@ -128,11 +130,15 @@ def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def rarity(texts: DataFrame) -> tuple[bytes, int]:
     """(how often each word occurs, by bucket of the table; number of words) over all texts."""
-    counts = texts.select("text").mapInArrow(_count, "part int, task int, counts binary")
+    return levels_of(texts.select("text").mapInArrow(_count, COUNTS))
+
+
+def levels_of(counts: DataFrame) -> tuple[bytes, int]:
+    """(table of levels, sum) of the counts of all tasks, each of them sliced as by sliced."""
     merged = counts.groupBy("part", "task").agg(F.collect_list("counts").alias("counts")).select("part", "counts").mapInArrow(_merge, "part int, counts binary")
     sums = merged.groupBy("part").agg(F.collect_list("counts").alias("counts")).mapInArrow(_levels, "part int, levels binary, n long")
     table, total = np.zeros(TABLE, np.uint8), 0
-    with small_batches(texts.sparkSession):
+    with small_batches(counts.sparkSession):
         rows = sums.collect()  # 256 rows of 64 KB
     for part, levels, n in rows:
         table[part * SLICE : (part + 1) * SLICE] = np.frombuffer(levels, np.uint8)

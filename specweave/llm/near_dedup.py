@@ -35,7 +35,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from specweave.llm import wordhash
 from specweave.llm.common import documents, stage, trimmed
 from specweave.llm.graph import components
-from specweave.llm.line_dedup import wide_parities
+from specweave.llm.line_dedup import COUNTS, GROUPS, TABLE, levels_of, sliced, wide_parities
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -43,6 +43,8 @@ BANDS, ROWS = 24, 3
 SKETCHES = BANDS * ROWS
 #: Hash values held at a time while sketching one text.
 HELD = 4_000_000
+#: Prefix entries of texts put out at a time, and those of one text more.
+HELD_ENTRIES = 1 << 15
 _RNG = np.random.default_rng(977)
 _ODD = (_RNG.integers(0, 1 << 63, SKETCHES, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POWERS = (_RNG.integers(0, 1 << 63, SHINGLE + 3, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
@@ -171,12 +173,37 @@ def _verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
+@trimmed
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often a task's shingles occur, by bucket of the rarity table."""
+    table, task = np.zeros(TABLE, np.uint32), TaskContext.get().partitionId() % GROUPS
+    for batch in batches:
+        h = batch.column(0).flatten().to_numpy().view(np.uint64)
+        at, n = np.unique((h & np.uint64(TABLE - 1)).astype(np.uint32), return_counts=True)
+        table[at] += n.astype(np.uint32)
+    yield sliced(table, task)
+
+
+def prefix(h: np.ndarray, levels: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles of a text in which a similar text must share one, shingles from each on).
+
+    Order is by level, then by hash. A shingle that is alone in its bucket takes its place, but no other text has it.
+    """
+    level = levels[(h & np.uint64(TABLE - 1)).astype(np.int64)]
+    order = np.lexsort((h, level))[: len(h) - int(np.ceil(len(h) * SIMILARITY - 1e-9)) + 1]
+    kept = np.flatnonzero(level[order] > 1)
+    return h[order[kept]], len(h) - kept
+
+
 def _between_classes(rows: DataFrame, sources: DataFrame) -> DataFrame:
     """Pairs (a, b) of different label that may be similar: all that the prefix and positional filters leave.
 
-    Shingles are ordered by rarity among the rows. Those that one row alone has come first and cannot match, so a
-    text with many edits of its own meets nobody, however large its family is. 512 bits of parity of the shingles
-    bound the difference of two texts from below, so of a family whose members are too far apart few pairs remain.
+    Shingles are ordered by rarity among the rows, in a table of fixed size (collisions cost speed, not results), so
+    that each text finds its own prefix and only prefixes move. Shingles that one row alone has come first and cannot
+    match, so a text with many edits of its own meets nobody, however large its family is. A shingle that one class
+    alone has is left out, too; of another's largest class members meet the other classes, not each other. 512 bits
+    of parity of the shingles bound the difference of two texts from below, so of a family whose members are too far
+    apart few pairs remain.
     """
     parity = [f"p{i}" for i in range(8)]
 
@@ -190,19 +217,33 @@ def _between_classes(rows: DataFrame, sources: DataFrame) -> DataFrame:
 
     texts = rows.join(sources.withColumnRenamed("_row", "row"), "row").select("row", "size", "label", "text")
     listed = stage(texts.mapInArrow(sets, "row long, size int, label long, shingles array<long>, " + ", ".join(f"{p} long" for p in parity)), "near-sets")
-    each = listed.select("row", "size", "label", F.explode("shingles").alias("shingle"))
-    common = stage(each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "near-common")
-    # At most the shingles of one text; those of its own stand before them.
-    ordered = each.join(common, "shingle").groupBy("row", "size", "label").agg(F.sort_array(F.collect_list(F.struct("n", "shingle"))).alias("s"))
-    entries = ordered.select("row", "size", "label", F.posexplode("s").alias("i", "e"), (F.col("size") - F.size("s")).alias("own"))
-    rest = F.col("size") - F.col("own") - F.col("i")  # shingles from this one on
-    entries = entries.select("row", "size", "label", F.col("e.shingle").alias("shingle"), rest.alias("rest")).where(F.col("rest") >= F.ceil(F.col("size") * SIMILARITY - 1e-9))
-    entries = stage(entries.join(listed.select("row", *parity), "row").select("row", "size", "label", "shingle", "rest", *parity), "near-entries")
-    other = entries.toDF("b", "size_b", "label_b", "shingle", "rest_b", *(f"{p}_b" for p in parity))
+    table = rows.sparkSession.sparkContext.broadcast(levels_of(listed.select("shingles").mapInArrow(_count, COUNTS))[0])
+
+    @trimmed
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        levels = np.frombuffer(table.value, np.uint8)
+        for batch in batches:
+            lists, lo = batch.column(0), 0
+            while lo < len(lists):
+                found, held = [], 0
+                while lo + len(found) < len(lists) and held < HELD_ENTRIES:
+                    found.append(prefix(lists[lo + len(found)].values.to_numpy().view(np.uint64), levels))
+                    held += len(found[-1][0])
+                of = pa.array(np.repeat(np.arange(lo, lo + len(found)), [len(x) for x, _ in found]))
+                shingles, rest = (np.concatenate([np.zeros(0, kind), *x]) for kind, x in zip((np.uint64, np.int64), zip(*found, strict=True), strict=True))
+                yield pa.RecordBatch.from_arrays([*(x.take(of) for x in batch.columns[1:]), pa.array(shingles.view(np.int64)), pa.array(rest)], ["row", "size", "label", *parity, "shingle", "rest"])
+                lo += len(found)
+
+    schema = "row long, size int, label long, " + ", ".join(f"{p} long" for p in parity) + ", shingle long, rest long"
+    every = stage(listed.select("shingles", "row", "size", "label", *parity).mapInArrow(prefixes, schema), "near-prefixes")
+    held = every.groupBy("shingle", "label").agg(F.count(F.lit(1)).alias("n"))
+    several = held.groupBy("shingle").agg(F.max(F.struct("n", "label")).alias("most"), F.count(F.lit(1)).alias("classes")).where("classes > 1").select("shingle", F.col("most.label").alias("main"))
+    entries = stage(every.join(several, "shingle").withColumn("main", F.col("label") == F.col("main")), "near-entries")
+    other = entries.where("NOT main").drop("main").toDF("shingle", "b", "size_b", "label_b", *(f"{p}_b" for p in parity), "rest_b")
     need = F.ceil((F.col("size") + F.col("size_b")) * (SIMILARITY / (1 + SIMILARITY)) - 1e-9)
     apart = sum((F.bit_count(F.col(p).bitwiseXOR(F.col(f"{p}_b"))) for p in parity), F.lit(0))
-    met = entries.join(other, "shingle").where((F.col("row") < F.col("b")) & (F.col("label") != F.col("label_b")) & (F.least("rest", "rest_b") >= need) & (apart <= F.col("size") + F.col("size_b") - 2 * need))
-    return stage(met.select(F.col("row").alias("a"), "b").distinct(), "near-pairs")
+    met = entries.join(other, "shingle").where((F.col("main") | (F.col("row") < F.col("b"))) & (F.col("label") != F.col("label_b")) & (F.least("rest", "rest_b") >= need) & (apart <= F.col("size") + F.col("size_b") - 2 * need))
+    return stage(met.select(F.least("row", "b").alias("a"), F.greatest("row", "b").alias("b")).distinct(), "near-pairs")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -81,6 +81,51 @@ def test_links_are_named_as_the_checked_ones(make):
     assert all(1 <= r["n_checked_links"] <= 11 for r in got)
 
 
+def joined_rows(spark, run):
+    """(rows that each join on shingle made while run() worked, its result)."""
+    store, made = spark._jsparkSession.sharedState().statusStore(), []
+    before = store.executionsCount()
+    result = run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    told = store.executionsList()
+    for i in range(before, told.size()):
+        key = told.apply(i).executionId()
+        values, nodes = store.executionMetrics(key), store.planGraph(key).allNodes()
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            if "Join" in node.name() and "[shingle" in node.desc():
+                metrics = [node.metrics().apply(k) for k in range(node.metrics().size())]
+                made += [int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId())]
+    return made, result
+
+
+def test_members_of_classes_meet_by_few_rows_and_lose_no_link(spark, monkeypatch):
+    rng = random.Random(31)
+    bases = [words(150, rng), words(150, rng)]
+    own = words(8, rng)
+    texts = [" ".join([*edited(bases[0], rng.randint(0, 3), rng), *own]) for _ in range(80)]
+    texts += [" ".join(edited(bases[i % 2], rng.randint(0, 9), rng)) for i in range(30)]
+    texts += [" ".join([*words(60, rng), *bases[0][:90]]) for _ in range(10)]  # share much, but are not similar
+    label = [0] * 80 + [i for i in range(80, 120)]
+    sets = [near_dedup.labelled_shingles(wordhash.words(pa.array([t]))[0]) for t in texts]
+    rows = spark.createDataFrame([(i, len(sets[i]), label[i]) for i in range(120)], "row long, size int, label long")
+    sources = spark.createDataFrame(list(enumerate(texts)), "_row long, text string")
+    staged, real = {}, near_dedup.stage
+    monkeypatch.setattr(near_dedup, "stage", lambda df, name, *more: staged.setdefault(name, real(df, name, *more)))
+    made, got = joined_rows(spark, lambda: near_dedup._between_classes(rows, sources).collect())
+    listed = [near_dedup.words_of(t) for t in texts]
+    alike = {(a, b) for a in range(120) for b in range(a + 1, 120) if label[a] != label[b] and near_dedup.similarity(listed[a], listed[b]) >= near_dedup.SIMILARITY}
+    assert len(alike) > 100 and alike <= {(r["a"], r["b"]) for r in got}
+    assert all(r["a"] < r["b"] and label[r["a"]] != label[r["b"]] for r in got) and len(set(got)) == len(got)
+    found = defaultdict(set)
+    for r in staged["near-entries"].collect():
+        found[r["shingle"]].add(r["label"])
+    assert found and all(len(x) > 1 for x in found.values())  # what one class alone has meets nobody
+    occurrences = Counter(x for s in sets for x in s.tolist())
+    shared = sum(n for n in occurrences.values() if n > 1)
+    n_prefixes = sum(len(s) - int(np.ceil(0.8 * len(s) - 1e-9)) + 1 for s in sets)
+    assert made and max(made) <= n_prefixes < shared / 2
+
+
 def test_alignment_is_the_longest_common_subsequence():
     rng = random.Random(12)
     for _ in range(60):
