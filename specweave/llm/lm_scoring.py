@@ -93,17 +93,22 @@ _SEEN = np.tril(np.ones((LENGTH, LENGTH), np.float32))
 _MOST = 60.0
 
 
+def _bounded(s: np.ndarray) -> np.ndarray:
+    """s held to _MOST, in place; mostly it is, and a maximum is found sooner than each value is compared."""
+    return np.minimum(s, _MOST, out=s) if s.max(initial=-np.inf) > _MOST else s
+
+
 def _times(x: np.ndarray, m: np.ndarray) -> np.ndarray:
     """x @ m as one product of two matrices."""
     return (x.reshape(-1, x.shape[-1]) @ m).reshape(*x.shape[:-1], m.shape[-1])
 
 
-def _attention(w: dict, x: np.ndarray):
-    """(scaled queries, keys, values, masked exponentials) of a batch of windows x (n, LENGTH, WIDTH)."""
-    q, k, v = _times(x, w["q"] * WIDTH**-0.5), _times(x, w["k"]), _times(x, w["v"])
-    a = q @ k.transpose(0, 2, 1)
-    np.exp(np.minimum(a, _MOST, out=a), out=a)
-    a *= _SEEN
+def _attention(w: dict, x: np.ndarray, skip: int = 0):
+    """(scaled queries, keys, values, masked exponentials) of a batch of windows x (n, LENGTH, WIDTH), for places from skip on."""
+    q, k, v = _times(x[:, skip:], w["q"] * WIDTH**-0.5), _times(x, w["k"]), _times(x, w["v"])
+    a = _bounded(q @ k.transpose(0, 2, 1))
+    np.exp(a, out=a)
+    a *= _SEEN[skip:]
     return q, k, v, a
 
 
@@ -114,9 +119,9 @@ def attend(w: dict, x: np.ndarray):
     return q, k, v, a, a @ v
 
 
-def mixed(w: dict, x: np.ndarray) -> np.ndarray:
+def mixed(w: dict, x: np.ndarray, skip: int = 0) -> np.ndarray:
     """The mixed values alone; a column of ones sums the weights along the way."""
-    _, _, v, a = _attention(w, x)
+    _, _, v, a = _attention(w, x, skip)
     z = a @ np.concatenate([v, np.ones((*v.shape[:-1], 1), v.dtype)], -1)
     return z[..., :-1] / z[..., -1:]
 
@@ -141,12 +146,13 @@ def _down(x: np.ndarray) -> np.ndarray:
 def _scores(h: np.ndarray, u: np.ndarray, c: np.ndarray) -> np.ndarray:
     s = h @ u
     s += c
-    return np.minimum(s, _MOST, out=s)
+    return _bounded(s)
 
 
 def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Natural log probabilities of the target classes at each position."""
-    h, flat = (x + _times(mixed(w, x), w["o"])).reshape(-1, WIDTH), target.ravel()
+    """Natural log probabilities of the target classes at each position; of the last ones, where there are fewer targets."""
+    skip, flat = x.shape[1] - target.shape[1], target.ravel()
+    h = (x[:, skip:] + _times(mixed(w, x, skip), w["o"])).reshape(-1, WIDTH)
     order, ends = _by_group(flat)
     ordered, begin = flat.take(order), np.arange(len(flat)) * GROUP
     h, own = h.take(order, 0), begin + ordered % GROUP
@@ -157,7 +163,7 @@ def log_probabilities(w: dict, x: np.ndarray, target: np.ndarray) -> np.ndarray:
         here = slice(ends[g], ends[g + 1])
         s[here] = h[here] @ w["U"][g]
         s[here] += w["C"][g]
-    np.minimum(s, _MOST, out=s)
+    s = _bounded(s)
     got += s.ravel().take(own)
     got -= np.log(_sums(np.exp(s, out=s)))
     out = np.empty_like(got)
@@ -190,7 +196,7 @@ def gradients(w: dict, buckets: np.ndarray, target: np.ndarray, there: np.ndarra
         here = slice(ends[i], ends[i + 1])
         g[here] = h[here] @ w["U"][i]
         g[here] += w["C"][i]
-    g = excess(np.minimum(g, _MOST, out=g), own)
+    g = excess(_bounded(g), own)
     for i in range(GROUPS):
         here = slice(ends[i], ends[i + 1])
         out["U"][i], out["C"][i] = h[here].T @ g[here], _down(g[here])
@@ -251,13 +257,15 @@ def score_all(w: dict, t: dict, coded: list[np.ndarray]) -> list[float]:
     first = np.arange(len(of)) - np.repeat(np.cumsum(windows) - windows, windows)
     starts, out, along = base[of] + first * stride, np.zeros(len(coded)), np.arange(LENGTH)
     # Which of a window's places count: those behind the overlap with the one before, within the text.
-    lo_of, hi_of = np.where(first > 0, OVERLAP, 0), np.minimum(sizes[of] - first * stride, LENGTH)
-    for lo in range(0, len(of), AT_ONCE):
-        here = slice(lo, lo + AT_ONCE)
-        place = starts[here, None] + along
-        got = log_probabilities(w, w["e"].take(bucket.take(place), 0) + w["p"], target.take(place + 1)) + share.take(place + 1)
-        got[(along < lo_of[here, None]) | (along >= hi_of[here, None])] = 0
-        out += np.bincount(of[here], got.sum(1), len(coded))
+    hi_of = np.minimum(sizes[of] - first * stride, LENGTH)
+    for skip, chosen in ((0, np.flatnonzero(first == 0)), (OVERLAP, np.flatnonzero(first))):
+        for lo in range(0, len(chosen), AT_ONCE):
+            here = chosen[lo : lo + AT_ONCE]
+            place = starts[here, None] + along
+            after = place[:, skip:] + 1
+            got = log_probabilities(w, w["e"].take(bucket.take(place), 0) + w["p"], target.take(after)) + share.take(after)
+            got[along[skip:] >= hi_of[here, None]] = 0
+            out += np.bincount(of[here], got.sum(1), len(coded))
     return (out / np.log(10)).tolist()
 
 
@@ -291,7 +299,7 @@ def _encode(path: str):
         for batch in batches:
             kind = batch.schema.field(0).type
             training = np.array([is_training(x) for x in batch.column(0).to_pylist()], bool)
-            ids = [np.frombuffer(coder.encode(x), "<u4").astype("<u2").tobytes() for x in batch.column(1).to_pylist()]
+            ids = coder.encode_all(batch.column(1))
             none = [pa.nulls(batch.num_rows, pa.int64())] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.arange(row, row + batch.num_rows)), batch.column(1).cast(pa.string()), pa.array(training), pa.array(ids, pa.binary()), *none], names)
             row += batch.num_rows

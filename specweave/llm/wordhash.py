@@ -23,7 +23,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[list(b" \t\n\r\x0b\x0c")] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_VALUE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64)[_LOWER]
+_OWN_VALUE = np.random.default_rng(20240517).integers(1, 1 << 63, 256, dtype=np.uint64)
+_VALUE = _OWN_VALUE[_LOWER]
 _BASE = 0x9E3779B97F4A7C15
 
 
@@ -75,12 +76,13 @@ def borders(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return starts, np.flatnonzero(cut[1:] & ~space) + 1
 
 
-def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """The hash of each word data[starts:ends]; words are in order and do not overlap."""
-    out = np.empty(len(starts), np.uint64)
+def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """The hash of each word data[starts:ends], lower-cased or as it is; words are in order and do not overlap."""
+    out, value = np.empty(len(starts), np.uint64), _VALUE if lower else _OWN_VALUE
     long = np.flatnonzero(ends - starts > PIECE)
     for i in long:
-        out[i] = int.from_bytes(hashlib.blake2b(_LOWER[data[starts[i] : ends[i]]].tobytes(), digest_size=8).digest(), "little")
+        word = data[starts[i] : ends[i]]
+        out[i] = int.from_bytes(hashlib.blake2b((_LOWER[word] if lower else word).tobytes(), digest_size=8).digest(), "little")
     lo = 0
     stops = [*long.tolist(), len(starts)]
     for stop in stops:
@@ -88,7 +90,7 @@ def hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray
             a = starts[lo]
             hi = min(int(np.searchsorted(ends, a + PIECE, "right")), stop)
             total = np.zeros(ends[hi - 1] - a + 1, np.uint64)
-            np.cumsum(_VALUE[data[a : ends[hi - 1]]] * _UP[: len(total) - 1], out=total[1:])
+            np.cumsum(value[data[a : ends[hi - 1]]] * _UP[: len(total) - 1], out=total[1:])
             s = starts[lo:hi] - a
             out[lo:hi] = mix((total[ends[lo:hi] - a] - total[s]) * _DOWN[s])
             lo = hi

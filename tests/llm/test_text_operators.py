@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from specweave.llm import common, license_scan, lm_scoring, media, packing, quality_classifier, quality_rules
+from specweave.llm import common, license_scan, lm_scoring, media, packing, quality_classifier, quality_rules, subwords
 from specweave.llm.common import stage
 from specweave.llm.subwords import Subwords, tokenizer_path
 
@@ -138,6 +139,35 @@ def test_ids_are_those_of_the_tokenizer_file():
         assert s.encode(text) == np.array(t.encode(text, add_special_tokens=False).ids, "<u4").tobytes(), repr(text)
 
 
+@pytest.mark.parametrize("bits", [3, subwords.PLACE_BITS])  # with few places pieces take each other's
+def test_ids_of_whole_columns_are_those_of_the_tokenizer_file(bits, monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(subwords, "PLACE_BITS", bits)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    s = Subwords(tokenizer_path())
+    rng = random.Random(8)
+    some = ["a", "A", "Zeta", " ", "\n", "'s", "é", "漢", "12", ".", "漢字é" * 9, "x", "<|endoftext|>", "\t", "\x1c", "\u00a0", "  "]
+    # In the first half no text has other white space than single spaces and line ends, mostly.
+    texts = ["".join(rng.choice(some[: 12 if i < 400 else None]) for _ in range(rng.randint(0, 12))) for i in range(800)]
+    texts += ["", "end ", "end\n", "tab\t", "\tx y", "a" * 70_000, "A" * 70_000]
+    for lo in [*range(0, len(texts), 90), 0]:
+        ids = s.encode_all(pa.array(["left out", *texts[lo : lo + 90]]).slice(1))
+        want = [np.array(t.encode(x, add_special_tokens=False).ids, "<u2").tobytes() for x in texts[lo : lo + 90]]
+        assert ids == want
+    assert s.encode_all(pa.array([], pa.string())) == []
+
+
+def test_new_pieces_are_encoded_together():
+    s, calls = Subwords(tokenizer_path()), []
+    ids = s._ids
+    s._ids = lambda text: calls.append(text) or ids(text)
+    texts = pa.array([" ".join(f"w{i * j}" for i in range(1, 60)).strip() for j in range(1, 40)])
+    once, n = s.encode_all(texts), len(calls)
+    assert n == 1 and s.encode_all(texts) == once and len(calls) <= 2  # pieces that lost their place come again
+
+
 def test_first_fit_decreasing_is_the_plain_one():
     rng = random.Random(6)
     for _ in range(60):
@@ -198,6 +228,23 @@ def test_windows_score_each_id_once():
         assert lm_scoring.score_all(w, t, [ids])[0] == pytest.approx(want, rel=1e-4)
 
 
+def test_only_places_that_count_are_scored(monkeypatch):
+    t = lm_scoring.tables(np.ones(lm_scoring.IDS))
+    w, n, plain = lm_scoring.start(t["prior"]), [], lm_scoring.log_probabilities
+    monkeypatch.setattr(lm_scoring, "log_probabilities", lambda w, x, target: n.append(target.size) or plain(w, x, target))
+    lm_scoring.score_all(w, t, [np.arange(lm_scoring.LENGTH + 9 * (lm_scoring.LENGTH - lm_scoring.OVERLAP) - 1)])
+    assert sum(n) == lm_scoring.LENGTH + 9 * (lm_scoring.LENGTH - lm_scoring.OVERLAP)  # the end too
+
+
+def test_scores_of_some_places_are_those_of_all():
+    rng, t = np.random.default_rng(4), lm_scoring.tables(np.ones(lm_scoring.IDS))
+    w = {k: x + rng.normal(0, 0.5, x.shape).astype(np.float32) for k, x in lm_scoring.start(t["prior"]).items()}
+    w["q"] *= 40  # some scores are held to the most
+    x, target = rng.normal(size=(5, lm_scoring.LENGTH, lm_scoring.WIDTH)).astype(np.float32), rng.integers(0, lm_scoring.CLASSES, (5, lm_scoring.LENGTH)).astype(np.uint8)
+    got = lm_scoring.log_probabilities(w, x, target)
+    assert np.isfinite(got).all() and np.allclose(lm_scoring.log_probabilities(w, x, target[:, 6:]), got[:, 6:], atol=1e-4)
+
+
 def test_every_id_of_the_training_texts_is_learnt_from(make):
     rng = random.Random(9)
     rows = [*EDGE, *((200 + i, " ".join(rng.choice(["alpha", "Beta", f"rare{i}"]) for _ in range(n))) for i, n in enumerate((31, 32, 33, 700, 5000)))]
